@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from . import decontaminate, quality_rules, url_filter
 from .minhash import near_duplicate_query
+from .secrets import secrets_query
 
 QUERIES = {
     "op2_near_duplicates": near_duplicate_query,
+    "op3_quality_rules": quality_rules.quality_rules_query,
+    "op4_secrets": secrets_query,
+    "op5_decontamination": decontaminate.decontamination_query,
+    "op9_url_filter": url_filter.url_filter_query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
