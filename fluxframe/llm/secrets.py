@@ -87,8 +87,8 @@ def _decided(rows: DataFrame, common: int) -> DataFrame:
 _DECIDED = "array<struct<start:int,rank:int,end:int,copied:boolean>>"
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, common: int = COMMON_OWNERS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, *keep, spans) of every row; spans is array<struct<start, kind, end, copied>> by start and kind.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, common: int = COMMON_OWNERS, keep: tuple[str, ...] = (), out_col: str = "spans") -> DataFrame:
+    """(id_col, *keep, out_col) of every row; out_col is array<struct<start, kind, end, copied>> by start and kind.
 
     start and end count code points. copied tells that at least common owners hold the value. A repository is a row's
     repo_col with its owner; without repo_col every row is one. Null texts are empty; null owners are one owner. Repeated
@@ -107,7 +107,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = out.select("_id", *(f"_keep_{c}" for c in keep), "_decided").unionByName(rows.filter("_key is null").select("_id", *(f"_keep_{c}" for c in keep), none.alias("_decided")))
     names = F.array(*(F.lit(k[0]) for k in KINDS))
     spans = F.transform("_decided", lambda s: F.struct(s["start"].alias("start"), names[s["rank"]].alias("kind"), s["end"].alias("end"), s["copied"].alias("copied")))
-    return out.select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), spans.alias("spans"))
+    return out.select(F.col("_id").alias(id_col), *(F.col(f"_keep_{c}").alias(c) for c in keep), spans.alias(out_col))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -127,8 +127,8 @@ def redact(text: Column, spans: Column) -> Column:
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """docs with text_col masked, all rows kept in the columns they had."""
-    found = scan_secrets(docs, id_col, text_col, owner_col, keep=tuple(c for c in docs.columns if c != id_col))
-    return found.withColumn(text_col, redact(F.col(text_col), F.col("spans"))).select(*docs.columns)
+    found = scan_secrets(docs, id_col, text_col, owner_col, keep=tuple(c for c in docs.columns if c != id_col), out_col="_mask_spans")
+    return found.withColumn(text_col, redact(F.col(text_col), F.col("_mask_spans"))).select(*docs.columns)
 
 
 def _joined(spans: Column) -> Column:
