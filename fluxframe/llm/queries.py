@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_rules, url_filter
+from . import decontaminate, quality_rules, url_filter, warc
+from .gam import quality_query
 from .minhash import near_duplicate_query
+from .packing import packing_query
 from .secrets import secrets_query
 
 QUERIES = {
@@ -11,10 +13,14 @@ QUERIES = {
     "op3_quality_rules": quality_rules.quality_rules_query,
     "op4_secrets": secrets_query,
     "op5_decontamination": decontaminate.decontamination_query,
+    "op6_packing": packing_query,
+    "op7_quality_classifier": quality_query,
     "op9_url_filter": url_filter.url_filter_query,
+    "op10_warc": warc.warc_query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
