@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from . import decontaminate, quality_rules, url_filter, warc
 from .gam import quality_query
+from .license_scan import license_query
 from .minhash import near_duplicate_query
 from .packing import packing_query
 from .secrets import secrets_query
+from .toxicity import toxicity_query
 
 QUERIES = {
+    "op1_toxicity": toxicity_query,
     "op2_near_duplicates": near_duplicate_query,
     "op3_quality_rules": quality_rules.quality_rules_query,
     "op4_secrets": secrets_query,
     "op5_decontamination": decontaminate.decontamination_query,
     "op6_packing": packing_query,
     "op7_quality_classifier": quality_query,
+    "op8_licenses": license_query,
     "op9_url_filter": url_filter.url_filter_query,
     "op10_warc": warc.warc_query,
 }
