@@ -1,4 +1,556 @@
-"""The registered queries over light curves and their SQL."""
+"""The registered queries over light curves, one per operator, and the same in DuckDB's SQL.
 
-QUERIES: dict = {}
+A user of the events table is a target and a value its flux; "dirty" curves are spoilt by their ids, see curves_from_events.
+Numbers are rounded to ten places, moved off ties, and rounded to six, so that sums in another order agree.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import augment, bls, catalog, detrend, metrics, missing, normalize, outliers, quality, statistics, synth, transit, windows
+from .plans.config import Config, Outliers, Windowing
+from .plans.preprocess import Preprocessing
+from .sources.adapters import curves_from_events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SIGMA, SIZE, STRIDE, GAP = 3.0, 32, 8, 3.0
+T0, PERIOD = 20000.25, 2.5
+
+_CLEAN = """with lc as (select cast(user_id as varchar) as target_id, row_number() over (partition by user_id order by ts, event_id) - 1 as seq,
+  epoch_us(ts) / 86400000000.0 as time, value as flux from events)"""
+_DIRTY = """with base as (select cast(user_id as varchar) as target_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as seq,
+  epoch_us(ts) / 86400000000.0 as t, value as v from events),
+lc as (select target_id, seq, case when event_id % 29 = 0 and seq > 0 then lag(t) over (partition by target_id order by t, event_id) else t end as time,
+  case when event_id % 11 = 0 then null when event_id % 97 = 0 then 'infinity'::double when event_id % 53 = 0 then v * 10 else v end as flux from base),
+fin as (select * from lc where flux is not null and not isinf(flux))"""
+
+
+def q(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(F.round(c, 10) + 1e-9, 6) + F.lit(0.0)
+
+
+def r(sql: str) -> str:
+    return f"round(round({sql}, 10) + 1e-9, 6) + 0.0"
+
+
+def curves(spark: SparkSession, sf_dir: str, dirty: bool = True) -> DataFrame:
+    return curves_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), dirty)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _points(lc: DataFrame, value: str = "flux") -> DataFrame:
+    return lc.select("target_id", "seq", q("time").alias("time"), q(value).alias("flux"))
+
+
+_POINTS = f"select target_id, cast(seq as bigint) as seq, {r('time')} as time, {r('flux')} as flux"
+
+
+@query("scan_curves", f"{_CLEAN} {_POINTS} from lc")
+def _(spark, sf):
+    return _points(curves(spark, sf, False))
+
+
+_NOISE = """d as (select target_id, flux - lag(flux) over (partition by target_id order by seq) as d from fin),
+m as (select target_id, median(d) as m from d where d is not null group by target_id),
+noise as (select d.target_id, median(abs(d - m)) * 1.4826 / sqrt(2.0) as noise from d join m on d.target_id = m.target_id where d is not null group by d.target_id)"""
+_GAPS = """s as (select target_id, time - lag(time) over (partition by target_id order by time, seq) as s from lc where time is not null),
+cad as (select target_id, coalesce(median(s) filter (where s > 0), 0) as cadence from s group by target_id),
+gaps as (select s.target_id, any_value(cadence) as cadence, count(*) filter (where s > {f} * cadence and cadence > 0) as gap_count, count(*) as n_times from s join cad on s.target_id = cad.target_id group by s.target_id)"""
+
+
+@query("lc_statistics", f"""{_DIRTY}, {_NOISE}, {_GAPS.format(f=10)},
+a as (select target_id, count(*) as n, count(*) filter (where flux is null or isinf(flux)) as miss, max(time) - min(time) as span from lc group by target_id),
+f as (select target_id, avg(flux) as mean, median(flux) as med, stddev_pop(flux) as sd, var_pop(flux) as va, min(flux) as lo, max(flux) as hi, sqrt(avg(flux * flux)) as rms from fin group by target_id)
+select a.target_id, {r('mean')} as mean_flux, {r('med')} as median_flux, {r('sd')} as std_flux, {r('va')} as variance_flux, {r('lo')} as min_flux, {r('hi')} as max_flux, {r('rms')} as rms,
+  {r('noise')} as estimated_noise, n as n_samples, {r('span')} as observation_duration, miss as missing_value_count, gap_count
+from a join f on a.target_id = f.target_id join noise on a.target_id = noise.target_id join gaps on a.target_id = gaps.target_id""")
+def _(spark, sf):
+    s = statistics.light_curve_statistics(curves(spark, sf))
+    return s.select(*(q(c).alias(c) if t == "double" else c for c, t in s.dtypes))
+
+
+@query("noise_estimate", f"{_DIRTY}, {_NOISE} select target_id, {r('noise')} as noise from noise")
+def _(spark, sf):
+    return quality.noise_estimate(curves(spark, sf)).select("target_id", q("noise").alias("noise"))
+
+
+@query("cadence_and_gaps", f"{_DIRTY}, {_GAPS.format(f=GAP)} select target_id, {r('cadence')} as median_cadence, gap_count, n_times as n_finite_times from gaps")
+def _(spark, sf):
+    return quality.cadence_and_gaps(curves(spark, sf), factor=GAP).select("target_id", q("median_cadence").alias("median_cadence"), "gap_count", "n_finite_times")
+
+
+@query("duplicate_timestamps", f"{_DIRTY} select target_id, count(time) - count(distinct time) as n_duplicates from lc group by target_id")
+def _(spark, sf):
+    return quality.duplicate_timestamps(curves(spark, sf))
+
+
+@query("missing_summary", f"""{_DIRTY} select target_id, count(*) as n_observations, {r('100.0 * count(*) filter (where flux is null) / count(*)')} as missing_value_pct,
+  count(*) filter (where isinf(flux)) as n_infinite, count(*) filter (where flux < 0 and not isinf(flux)) as n_negative from lc group by target_id""")
+def _(spark, sf):
+    return quality.missing_summary(curves(spark, sf)).withColumn("missing_value_pct", q("missing_value_pct"))
+
+
+@query("time_span", f"{_DIRTY} select target_id, {r('min(time)')} as time_start, {r('max(time)')} as time_end, {r('max(time) - min(time)')} as duration_days from lc group by target_id")
+def _(spark, sf):
+    return quality.time_span(curves(spark, sf)).select("target_id", *(q(c).alias(c) for c in ("time_start", "time_end", "duration_days")))
+
+
+@query("validation_report", f"""{_DIRTY}, {_NOISE}, {_GAPS.format(f=10)},
+a as (select target_id, count(*) as n, 100.0 * count(*) filter (where flux is null) / count(*) as pct, count(*) filter (where isinf(flux)) as inf, count(*) filter (where flux < 0) as neg,
+  count(time) - count(distinct time) as dup from lc group by target_id),
+f as (select target_id, avg(flux) as mean from fin group by target_id)
+select a.target_id, n as n_observations, {r('cadence')} as median_cadence, {r('noise')} as noise, {r('mean')} as mean_flux, concat_ws('|',
+  case when pct > 0 then printf('%.2f%% of flux values are missing (NaN).', pct) end, case when inf > 0 then inf || ' infinite flux value(s) found.' end,
+  case when neg > 0 then neg || ' negative flux value(s) found.' end, case when dup > 0 then dup || ' duplicate timestamp(s) found.' end,
+  case when gap_count > 0 then gap_count || ' large observation gap(s) (>10x median cadence) detected.' end) as warnings, true as is_valid
+from a join f on a.target_id = f.target_id join noise on a.target_id = noise.target_id join gaps on a.target_id = gaps.target_id""")
+def _(spark, sf):
+    v = quality.validation_report(curves(spark, sf))
+    return v.select("target_id", "n_observations", q("median_cadence").alias("median_cadence"), q("noise").alias("noise"), q("flux_stats.mean").alias("mean_flux"), F.array_join("warnings", "|").alias("warnings"), "is_valid")
+
+
+_FILL = """v as (select *, case when flux is not null then {{'t': time, 'f': flux}} end as p from lc),
+near as (select *, last_value(p ignore nulls) over (partition by target_id order by time, seq rows between unbounded preceding and current row) as a,
+  first_value(p ignore nulls) over (partition by target_id order by time, seq rows between current row and unbounded following) as b,
+  first_value(flux ignore nulls) over (partition by target_id order by seq rows between unbounded preceding and unbounded following) as ff,
+  last_value(flux ignore nulls) over (partition by target_id order by seq rows between unbounded preceding and unbounded following) as lf from v),
+filled as (select target_id, seq, time, case when flux is not null then flux when a is null then ff when b is null then lf else {inside} end as flux from near)"""
+_LINEAR = _FILL.format(inside="case when b.t = a.t then a.f else a.f + (b.f - a.f) * (time - a.t) / (b.t - a.t) end")
+_NEAREST = _FILL.format(inside="case when time - a.t <= b.t - time then a.f else b.f end")
+_SAFE = "case when isinf(flux) or isnan(flux) then null else flux end"
+
+
+def _fill_sql(body: str) -> str:
+    return f"{_DIRTY}, {body} select target_id, cast(seq as bigint) as seq, {r('time')} as time, {r(_SAFE)} as flux from filled"
+
+
+def _safe_points(lc: DataFrame) -> DataFrame:
+    """Infinite flux as NULL, which both engines round alike."""
+    return _points(lc.withColumn("flux", F.when((F.abs("flux") < float("inf")) & ~F.isnan("flux"), F.col("flux"))))
+
+
+_FF = "coalesce(last_value(flux ignore nulls) over (partition by target_id order by seq rows between unbounded preceding and current row), first_value(flux ignore nulls) over (partition by target_id order by seq rows between current row and unbounded following))"
+_BF = "coalesce(first_value(flux ignore nulls) over (partition by target_id order by seq rows between current row and unbounded following), last_value(flux ignore nulls) over (partition by target_id order by seq rows between unbounded preceding and current row))"
+for _name, _sql in (("linear", _LINEAR), ("nearest", _NEAREST), ("ffill", f"filled as (select target_id, seq, time, {_FF} as flux from lc)"), ("bfill", f"filled as (select target_id, seq, time, {_BF} as flux from lc)"), ("cubic", None)):
+    query(f"fill_{_name}", _fill_sql(_sql) if _sql else None)(lambda spark, sf, n=_name: _safe_points(missing.fill_missing(curves(spark, sf), n)))
+
+
+@query("fill_counts", f"{_DIRTY} select target_id, count(*) filter (where flux is null) as n_missing, count(*) filter (where flux is null) as n_filled from lc group by target_id")
+def _(spark, sf):
+    lc = curves(spark, sf)
+    return missing.fill_counts(lc, missing.fill_missing(lc))
+
+
+_KEEP = {
+    "sigma_clip": f"m as (select target_id, median(flux) as m, stddev_pop(flux) as s from fin group by target_id), kept as (select fin.* from fin join m on fin.target_id = m.target_id where s = 0 or abs(flux - m) <= {SIGMA} * s)",
+    "mad": "m0 as (select target_id, median(flux) as m from fin group by target_id), m as (select fin.target_id, any_value(m) as m, median(abs(flux - m)) as s from fin join m0 on fin.target_id = m0.target_id group by fin.target_id), kept as (select fin.* from fin join m on fin.target_id = m.target_id where s = 0 or abs(0.6745 * (flux - m)) <= 3.5 * s)",
+    "percentile": "m as (select target_id, quantile_cont(flux, 0.025) as a, quantile_cont(flux, 0.975) as b from fin group by target_id), kept as (select fin.* from fin join m on fin.target_id = m.target_id where flux between a and b)",
+    "legacy": f"m as (select target_id, median(flux) as m, stddev_pop(flux) as s from fin group by target_id), kept as (select fin.* from fin join m on fin.target_id = m.target_id where abs(flux - m) < {SIGMA} * s)",
+}
+_LIMITS = {"sigma_threshold": SIGMA, "percentile_lower": 2.5, "percentile_upper": 97.5}
+
+
+def _clip(method: str):
+    def run(spark, sf):
+        lc = curves(spark, sf)
+        return _points(outliers.clip_strict(lc, SIGMA) if method == "legacy" else outliers.remove_outliers(lc, method, **_LIMITS))
+
+    return run
+
+
+for _name in _KEEP:
+    query(f"clip_{_name}", f"{_DIRTY}, {_KEEP[_name]} {_POINTS} from kept")(_clip(_name))
+
+
+@query("outlier_stats", f"""{_DIRTY}, {_KEEP['sigma_clip']}, k as (select target_id, count(*) as k from kept group by target_id), n as (select target_id, count(*) as n from lc group by target_id)
+select n.target_id, 'sigma_clip' as method, n as n_input, n - coalesce(k, 0) as n_removed, {r('100.0 * (n - coalesce(k, 0)) / n')} as pct_removed from n left join k on n.target_id = k.target_id""")
+def _(spark, sf):
+    lc = curves(spark, sf)
+    return outliers.outlier_stats(lc, outliers.remove_outliers(lc, "sigma_clip", **_LIMITS), "sigma_clip").withColumn("pct_removed", q("pct_removed"))
+
+
+_STATS = "st as (select target_id, min(flux) as lo, max(flux) as hi, avg(flux) as mean, stddev_pop(flux) as sd, median(flux) as med, quantile_cont(flux, 0.25) as q1, quantile_cont(flux, 0.75) as q3 from lc group by target_id)"
+for _name, _sql in (("minmax", "(flux - lo) / (hi - lo)"), ("zscore", "(flux - mean) / sd"), ("median", "flux / med - 1"), ("robust", "(flux - med) / (q3 - q1)")):
+    query(f"norm_{_name}", f"{_CLEAN}, {_STATS} select lc.target_id, cast(seq as bigint) as seq, {r('time')} as time, {r(_sql)} as flux from lc join st on lc.target_id = st.target_id")(
+        lambda spark, sf, n=_name: _points(normalize.normalize(curves(spark, sf, False), n))
+    )
+
+
+@query("norm_params", f"{_CLEAN}, {_STATS} select target_id, 'robust' as method, {r('med')} as median, {r('q1')} as q1, {r('q3')} as q3, {r('q3 - q1')} as iqr from st")
+def _(spark, sf):
+    p = normalize.normalization_params(curves(spark, sf, False), "robust")
+    return p.select("target_id", "method", *(q(c).alias(c) for c in ("median", "q1", "q3", "iqr")))
+
+
+@query("norm_inverse", f"{_CLEAN} {_POINTS} from lc")
+def _(spark, sf):
+    lc = curves(spark, sf, False)
+    return _points(normalize.denormalize(normalize.normalize(lc, "zscore"), normalize.normalization_params(lc, "zscore"), "zscore"))
+
+
+@query("detrend_linear", f"""{_CLEAN}, b as (select target_id, regr_slope(flux, seq) as b, regr_intercept(flux, seq) as a from lc group by target_id)
+select lc.target_id, cast(seq as bigint) as seq, {r('time')} as time, {r('flux / (a + b * seq)')} as flux from lc join b on lc.target_id = b.target_id""")
+def _(spark, sf):
+    return _points(detrend.detrend(curves(spark, sf, False), "polynomial", polynomial_degree=1))
+
+
+@query("detrend_poly")
+def _(spark, sf):
+    return _points(detrend.detrend(curves(spark, sf, False), "polynomial", polynomial_degree=3))
+
+
+@query("detrend_savgol")
+def _(spark, sf):
+    return _points(detrend.detrend(curves(spark, sf, False), "savgol", savgol_window=11))
+
+
+@query("detrend_running_median", f"""{_CLEAN}, n as (select target_id, count(*) as n from lc group by target_id),
+e as (select lc.*, n, unnest(range(case when seq = 0 then -5 else 0 end, case when seq = n - 1 then 6 else 1 end)) as k from lc join n on lc.target_id = n.target_id),
+t as (select *, median(flux) over (partition by target_id order by seq, k rows between 5 preceding and 5 following) as trend from e)
+select target_id, cast(seq as bigint) as seq, {r('time')} as time, {r('flux / trend')} as flux from t where k = 0""")
+def _(spark, sf):
+    return _points(detrend.detrend(curves(spark, sf, False), "running_median", running_median_window=11))
+
+
+_W = """n as (select target_id, count(*) as n from lc group by target_id),
+w as (select target_id, n, unnest(range(0, {limit}, {stride})) as s from n),
+x as (select target_id, n, s, cast(s // {stride} as integer) as idx, s + {size} as e, greatest({size} - n, 0) as p0, greatest(n, {size}) as m from w)"""
+_WMETA = "select target_id, idx, format('window_{:04d}', idx) as window_id, cast(s as bigint) as start_index, cast(least(e, n) as bigint) as end_index, cast(greatest(e - m, 0) + case when s = 0 then p0 else 0 end as bigint) as n_padded"
+
+
+@query("windows_meta", f"{_CLEAN}, {_W.format(limit='n', stride=STRIDE, size=SIZE)} {_WMETA} from x")
+def _(spark, sf):
+    return windows.window_index(curves(spark, sf, False), SIZE, 1 - STRIDE / SIZE)
+
+
+@query("windows_short", f"{_CLEAN}, {_W.format(limit='n', stride=20, size=64)} {_WMETA} from x")
+def _(spark, sf):
+    return windows.generate_windows(curves(spark, sf, False), 64, stride=20).drop("time", "flux")
+
+
+@query("windows_legacy", f"{_CLEAN}, {_W.format(limit='greatest(n, 64)', stride=20, size=64)} {_WMETA} from x")
+def _(spark, sf):
+    return windows.create_windows(curves(spark, sf, False), 64, 20).drop("time", "flux")
+
+
+@query("windows_rows", f"{_CLEAN}, {_W.format(limit='n', stride=STRIDE, size=SIZE)} select x.target_id, idx, cast(seq as bigint) as seq, cast(seq - s as integer) as pos, {r('flux')} as flux from x join lc on x.target_id = lc.target_id and seq >= s and seq < e")
+def _(spark, sf):
+    return windows.window_rows(curves(spark, sf, False), SIZE, stride=STRIDE).select("target_id", "idx", "seq", "pos", q("flux").alias("flux"))
+
+
+_EDGE = "last(flux order by seq)"
+_WVALUES = f"""y as (select x.target_id, idx, any_value(format('window_{{:04d}}', idx)) as window_id, any_value(n) as n, any_value(s) as s, sum(flux) as total, count(*) as c, {_EDGE} as edge
+  from x join lc on x.target_id = lc.target_id and seq >= s and seq < e group by x.target_id, idx)
+select target_id, idx, window_id, cast(s as bigint) as start_index, cast(least(s + {SIZE}, n) as bigint) as end_index, cast(greatest(s + {SIZE} - n, 0) as bigint) as n_padded, {r(f'total + ({SIZE} - c) * edge')} as flux_sum from y"""
+
+
+def _window_sums(w: DataFrame) -> DataFrame:
+    return w.select("target_id", "idx", "window_id", "start_index", "end_index", "n_padded", q(F.aggregate("flux", F.lit(0.0), lambda a, x: a + x)).alias("flux_sum"))
+
+
+@query("windows_padded", f"{_CLEAN}, {_W.format(limit='n', stride=STRIDE, size=SIZE)}, {_WVALUES}")
+def _(spark, sf):
+    return _window_sums(windows.generate_windows(curves(spark, sf, False), SIZE, stride=STRIDE))
+
+
+def _ephemeris(lc: DataFrame) -> DataFrame:
+    return quality.targets_of(lc).select("target_id", F.lit(PERIOD).alias("period"), F.lit(T0).alias("t0"))
+
+
+_FOLD = f"g as (select *, (time - {T0}) / {PERIOD} - floor((time - {T0}) / {PERIOD}) as u from lc), fold as (select *, case when u > 0.5 then u - 1 else u end as phase from g)"
+
+
+@query("phase_fold", f"{_CLEAN}, {_FOLD} select target_id, cast(seq as bigint) as seq, {r('phase')} as phase, {r('flux')} as flux from fold")
+def _(spark, sf):
+    lc = curves(spark, sf, False)
+    return transit.fold(lc, _ephemeris(lc)).select("target_id", "seq", q("phase").alias("phase"), q("flux").alias("flux"))
+
+
+@query("phase_binned", f"""{_CLEAN}, {_FOLD}, b as (select target_id, min(phase) as lo, (max(phase) - min(phase)) / 20 as w from fold group by target_id),
+k as (select fold.target_id, cast(floor((phase - lo) / w) as integer) as bin, lo, w, flux from fold join b on fold.target_id = b.target_id)
+select target_id, bin, {r('any_value(lo + (bin + 0.5) * w)')} as center, {r('median(flux)')} as median_flux from k where bin < 20 group by target_id, bin""")
+def _(spark, sf):
+    lc = curves(spark, sf, False)
+    return transit.binned_phase(transit.fold(lc, _ephemeris(lc)), 20).select("target_id", "bin", q("center").alias("center"), q("median_flux").alias("median_flux"))
+
+
+_TRANSIT = f"""{_FOLD}, b0 as (select target_id, min(time) as t1, max(time) as t2,
+  case when count(*) filter (where abs(phase) > 0.15) < 10 then median(flux) filter (where abs(phase) > 0.25) else median(flux) filter (where abs(phase) > 0.15) end as base,
+  case when count(*) filter (where abs(phase) < 0.05) < 3 then min(flux) filter (where abs(phase) < 0.10) else min(flux) filter (where abs(phase) < 0.05) end as low,
+  median(flux) filter (where abs(phase) >= 0.05) as o, median(flux) filter (where abs(phase) < 0.05) as i, stddev_pop(flux) filter (where abs(phase) >= 0.05) as s from fold group by target_id),
+b as (select *, coalesce(base - low, 0) as depth from b0),
+w as (select fold.target_id, max(phase) - min(phase) as w from fold join b on fold.target_id = b.target_id where flux < base - depth / 2 group by fold.target_id)"""
+
+
+@query("transit_params", f"""{_CLEAN}, {_TRANSIT} select b.target_id, {r('depth')} as depth, {r(f'coalesce(w, 0) * {PERIOD} * 24')} as duration_hours, {r('case when i is null then 0 else abs(o - i) / s end')} as snr,
+  cast(greatest(floor((t2 - t1) / {PERIOD}), 1) as bigint) as n_transits, {r('base')} as baseline from b left join w on b.target_id = w.target_id""")
+def _(spark, sf):
+    lc = curves(spark, sf, False)
+    return transit.transit_parameters(transit.fold(lc, _ephemeris(lc))).select("target_id", q("depth").alias("depth"), q("duration_hours").alias("duration_hours"), q("snr").alias("snr"), "n_transits", q("baseline").alias("baseline"))
+
+
+@query("snr", f"{_CLEAN}, {_TRANSIT} select target_id, {r('case when i is null then 0 else abs(o - i) / s end')} as snr from b")
+def _(spark, sf):
+    lc = curves(spark, sf, False)
+    return transit.compute_snr(transit.fold(lc, _ephemeris(lc))).withColumn("snr", q("snr"))
+
+
+_BLS_GRID, _BLS_DURATIONS = (0.5, 10.0, 20), (0.2, 0.4)
+_BLS = f"""c as (select target_id, time - min(time) over (partition by target_id) as t, flux - median(flux) over (partition by target_id) as y, min(time) over (partition by target_id) as t_min from lc),
+grid as (select cast(i as integer) as period_id, {_BLS_GRID[0]}::double + i * {(_BLS_GRID[1] - _BLS_GRID[0]) / (_BLS_GRID[2] - 1)!r}::double as period from range({_BLS_GRID[2]}) t(i)),
+b as (select target_id, period_id, period, cast(floor(fmod(t, period) / 0.1::double) as integer) as bin, sum(y) as s, count(*) as n, any_value(t_min) as t_min from c, grid group by 1, 2, 3, 4),
+b2 as (select *, sum(s) over (partition by target_id, period_id) as ss, sum(n) over (partition by target_id, period_id) as nn, cast(ceil(period / 0.1::double) as integer) as bb from b),
+u as (select *, bin as spot, 0 as again from b2 union all select *, bin + bb as spot, 1 as again from b2 where bin < 4),
+k as (select *, 2 as k, 0.2::double as duration, sum(s) over (partition by target_id, period_id order by spot range between current row and 1 following) as s_in, sum(n) over (partition by target_id, period_id order by spot range between current row and 1 following) as n_in from u
+  union all select *, 4, 0.4::double, sum(s) over (partition by target_id, period_id order by spot range between current row and 3 following), sum(n) over (partition by target_id, period_id order by spot range between current row and 3 following) from u),
+g as (select *, (ss - s_in) / (nn - n_in) - s_in / n_in as gap from k where again = 0 and n_in < nn),
+p as (select *, round(case when gap > 0 then 0.5 * n_in * gap * gap else 0 end, 12) as power from g),
+o as (select target_id, period_id, period, power, duration, t_min + (bin + k / 2.0) * 0.1::double as t0, greatest(gap, 0) as depth, row_number() over (partition by target_id, period_id order by round(power, 6) desc, bin, k) as rn from p)"""
+_BLS_OUT = f"select target_id, period_id, {r('period')} as period, {r('power')} as power, {r('duration')} as duration, {r('t0')} as t0, {r('depth')} as depth"
+
+
+def _bls(spark, sf):
+    return bls.periodogram(curves(spark, sf, False), bls.period_grid(spark, *_BLS_GRID), _BLS_DURATIONS)
+
+
+def _bls_out(df):
+    return df.select("target_id", "period_id", *(q(c).alias(c) for c in ("period", "power", "duration", "t0", "depth")))
+
+
+@query("bls_periodogram", f"{_CLEAN}, {_BLS} {_BLS_OUT} from o where rn = 1")
+def _(spark, sf):
+    return _bls_out(_bls(spark, sf))
+
+
+@query("bls_best", f"{_CLEAN}, {_BLS}, best as (select *, row_number() over (partition by target_id order by round(power, 6) desc, period_id) as k from o where rn = 1) {_BLS_OUT} from best where k = 1")
+def _(spark, sf):
+    return _bls_out(bls.best_period(_bls(spark, sf)))
+
+
+@query("bls_fast", f"{_CLEAN}, {_BLS} {_BLS_OUT} from o where rn = 1")
+def _(spark, sf):
+    return _bls_out(bls.fast_periodogram(curves(spark, sf, False), *_BLS_GRID, _BLS_DURATIONS, chunk=10))
+
+
+@query("transit_features")
+def _(spark, sf):
+    lc = curves(spark, sf, False)
+    return bls.transit_features(lc, bls.fast_periodogram(lc, *_BLS_GRID, _BLS_DURATIONS))
+
+
+_CATALOG = "cat(ordinal, target, period, depth, duration) as (values " + ", ".join(f"({i}, '{p[0]}', {p[4]}::double, {p[5]}::double, {p[6]}::double)" for i, p in enumerate(catalog.PLANETS)) + ")"
+_NAMES = ("Kepler-10b", "kepler-22B", "Kepler", "HAT-P-7b", "TRES-2b")
+
+
+@query("catalog_lookup", f"""with {_CATALOG}, n(planet) as (values {", ".join(f"('{n}')" for n in _NAMES)}),
+h as (select planet, cat.*, row_number() over (partition by planet order by ordinal) as k from n left join cat on lower(target) = lower(planet) or contains(lower(target), lower(planet)))
+select planet, regexp_replace(planet, '([^ ])([A-Za-z])$', '\\1 \\2') as archive_name, target, period as known_period_days, depth as known_depth_ppm, duration as known_duration_hours from h where k = 1""")
+def _(spark, sf):
+    return catalog.lookup(spark.createDataFrame([(n,) for n in _NAMES], "planet string"), catalog.catalog(spark))
+
+
+#: Detections made of the orders table: a planet for each key, values near the known ones.
+_DETECTED = """det as (select o_orderkey as id, cat.target, case when o_orderkey % 13 = 0 then 0 else period * (1 + (o_orderkey % 7 - 3) / 200.0) end as p,
+  depth * (1 + (o_orderkey % 11 - 5) / 12.0) / case when o_orderkey % 2 = 0 then 1000000 else 1 end as d, duration * (1 + (o_orderkey % 5 - 2) / 5.0) as h from orders join cat on ordinal = o_orderkey % 5)"""
+
+
+def _detections(spark, sf) -> DataFrame:
+    k = F.col("o_orderkey")
+    d = spark.read.parquet(f"{sf}/orders.parquet").join(F.broadcast(catalog.catalog(spark)), F.col("ordinal") == k % 5)
+    return d.select(
+        k.alias("id"), "target", F.when(k % 13 == 0, 0.0).otherwise(F.col("known_period_days") * (1 + (k % 7 - 3) / 200.0)).alias("period"),
+        (F.col("known_depth_ppm") * (1 + (k % 11 - 5) / 12.0) / F.when(k % 2 == 0, 1000000).otherwise(1)).alias("depth"), (F.col("known_duration_hours") * (1 + (k % 5 - 2) / 5.0)).alias("duration_hours"),
+    )
+
+
+@query("detection_check", f"""with {_CATALOG}, {_DETECTED},
+c as (select det.target, p <> 0 as ok, abs(p - period) / period as e, abs(case when d < 1 then d * 1000000 else d end - depth) / depth as ed, abs(h - duration) / duration as eh from det join cat on det.target = cat.target)
+select target, count(*) as n, count(*) filter (where ok and e <= 0.01) as period_pass, count(*) filter (where ed <= 0.3) as depth_pass, count(*) filter (where eh <= 0.3) as duration_pass, {r('avg(case when ok then e end)')} as period_error from c group by target""")
+def _(spark, sf):
+    c = catalog.check_detections(_detections(spark, sf), catalog.catalog(spark))
+    return c.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_if("overall_pass").alias("period_pass"), F.count_if("depth.pass").alias("depth_pass"), F.count_if("duration.pass").alias("duration_pass"), q(F.avg("period.relative_error")).alias("period_error"))
+
+
+@query("benchmark_table", f"""with {_CATALOG}, one as (select target, period * 1.005 as p, depth * 1.5 as d, duration * 0.9 as h from cat where ordinal < 3)
+select cat.target, {r('p')} as detected_period, one.target is not null as overall_pass, case when one.target is null then 'Data not found' end as error, case when one.target is not null then false end as depth_pass
+from cat left join one on cat.target = one.target""")
+def _(spark, sf):
+    known = catalog.catalog(spark)
+    made = known.filter("ordinal < 3").select(F.col("target").alias("target_id"), F.lit("x").alias("mission"), F.lit(0).cast("bigint").alias("seq"), F.lit(0.0).alias("time"), F.lit(1.0).alias("flux"))
+
+    def detect(lc: DataFrame) -> DataFrame:
+        return lc.join(F.broadcast(known), F.col("target_id") == F.col("target")).select("target_id", (F.col("known_period_days") * 1.005).alias("period"), (F.col("known_depth_ppm") * 1.5).alias("depth"), (F.col("known_duration_hours") * 0.9).alias("duration_hours"))
+
+    t = catalog.benchmark_table(made, known, detect)
+    return t.select("target", q("detected_period").alias("detected_period"), "overall_pass", "error", "depth_pass")
+
+
+#: Scored labels made of the orders table; scores tie often.
+_SCORED = "sc as (select case when o_orderstatus = 'F' then 1 else 0 end as y, round(o_totalprice / 600000.0, 3) as p from orders), s as (select y, p, case when p >= 0.5 then 1 else 0 end as h from sc)"
+
+
+def _scored(spark, sf) -> DataFrame:
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    d = o.select(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("y_true"), F.round(F.col("o_totalprice") / 600000.0, 3).alias("y_prob"))
+    return d.withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
+
+
+@query("classification_metrics", f"""with {_SCORED}, c as (select count(*) filter (where y = 1 and h = 1) as tp, count(*) filter (where y = 0 and h = 1) as fp, count(*) filter (where y = 0 and h = 0) as tn, count(*) filter (where y = 1 and h = 0) as fn from s)
+select {r('(tp + tn)::double / (tp + fp + tn + fn)')} as accuracy, {r('coalesce(tp::double / nullif(tp + fp, 0), 0)')} as precision, {r('coalesce(tp::double / nullif(tp + fn, 0), 0)')} as recall, {r('coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)::double')} as f1,
+  {r('tn::double / (tn + fp)')} as specificity, tp as true_positives, fp as false_positives, tn as true_negatives, fn as false_negatives from c""")
+def _(spark, sf):
+    m = metrics.classification_metrics(_scored(spark, sf))
+    return m.select(*(q(c).alias(c) if t == "double" else c for c, t in m.dtypes))
+
+
+@query("roc_auc", f"""with {_SCORED}, k as (select y, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as k from s)
+select {r('(sum(case when y = 1 then k end) - sum(y) * (sum(y) + 1) / 2.0)::double / (sum(y) * sum(1 - y))::double')} as auc_roc from k""")
+def _(spark, sf):
+    return metrics.roc_auc(_scored(spark, sf)).select(q("auc_roc").alias("auc_roc"))
+
+
+@query("average_precision", f"""with {_SCORED}, d as (select p, sum(y) as pos, count(*) as n from s group by p), c as (select pos, sum(pos) over (order by p desc) as tp, sum(n) over (order by p desc) as n, sum(pos) over () as t from d)
+select {r('sum(pos::double / t::double * tp::double / n::double)')} as average_precision from c""")
+def _(spark, sf):
+    return metrics.average_precision(_scored(spark, sf)).select(q("average_precision").alias("average_precision"))
+
+
+@query("class_balance", f"select {r('avg(toxic)')} as positive_share, count(*) as n from labels")
+def _(spark, sf):
+    return metrics.class_balance(spark.read.parquet(f"{sf}/labels.parquet"), "toxic").withColumn("positive_share", q("positive_share"))
+
+
+@query("confidence_tier", f"with {_SCORED} select case when p >= 0.7 then 'high' when p >= 0.5 then 'medium' else 'low' end as tier, count(*) as n from s group by 1")
+def _(spark, sf):
+    return _scored(spark, sf).groupBy(catalog.confidence_tier(F.col("y_prob")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("denoise_quality", f"""{_CLEAN}, d as (select target_id, flux, avg(flux) over (partition by target_id order by seq rows between 2 preceding and 2 following) as g from lc)
+select target_id, {r('avg((g - flux) * (g - flux))')} as mse, {r('100.0 * (stddev_pop(flux) - stddev_pop(g)) / stddev_pop(flux)')} as noise_reduction_pct from d group by target_id""")
+def _(spark, sf):
+    from .functions.expr import by_seq
+
+    d = curves(spark, sf, False).select("target_id", F.col("flux").alias("raw"), F.avg("flux").over(by_seq().rowsBetween(-2, 2)).alias("denoised"))
+    return metrics.denoise_quality(d).select("target_id", q("mse").alias("mse"), q("noise_reduction_pct").alias("noise_reduction_pct"))
+
+
+def _u(seed: int, *parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(parts)})), 1, 8))::bigint / 4294967296.0::double)"
+
+
+def _g(seed: int, *parts: str) -> str:
+    return f"(sqrt(-2.0 * ln({_u(seed, chr(39) + 'u' + chr(39), *parts)} + 1.0::double / 8589934592.0)) * cos({_u(seed, chr(39) + 'v' + chr(39), *parts)} * 6.283185307179586::double))"
+
+
+_N, _WIN = 40, 101
+_SYNTH = f"""b as (select i as sample_id, case when i < {_N // 2} then 1 else 0 end as label, 0.0005::double + 0.0195::double * {_u(42, "'depth'", 'i')} as depth,
+  cast(greatest(floor((0.01::double + 0.04::double * {_u(42, "'duration'", 'i')}) * {_WIN}), 5) as bigint) as dur, 1.0::double + 2.0::double * {_u(42, "'cycles'", 'i')} as cyc,
+  0.0002::double + 0.0018::double * {_u(42, "'amplitude'", 'i')} as amp, 6.283185307179586::double * {_u(42, "'angle'", 'i')} as ang, {_u(42, "'center'", 'i')} as uc from range({_N}) t(i)),
+c as (select *, cast(dur + floor(uc * ({_WIN} - 2 * dur)) as bigint) as center from b),
+e as (select *, greatest(center - dur // 2, 0) as s, least(center + dur // 2, {_WIN}) as t, unnest(range({_WIN})) as i from c),
+p as (select sample_id, label, i, case when label = 1 and i >= s and i < t then -depth * 0.5 * (1 - cos(case when t - s > 1 then 3.141592653589793::double * (i - s) / (t - s - 1) else 0 end)) else 0 end as clean,
+  amp * sin(6.283185307179586::double * cyc * i / {_WIN} + ang) as trend from e)"""
+
+
+@query("synthetic_curves", f"with {_SYNTH} select sample_id, label, cast(i as integer) as i, {r('clean')} as clean, {r('clean + 0.001::double * ' + _g(42, chr(39) + 'noise' + chr(39), 'sample_id', 'i') + ' + trend')} as noisy from p")
+def _(spark, sf):
+    return synth.synthetic_points(spark, _N, _WIN).select("sample_id", "label", "i", q("clean").alias("clean"), q("noisy").alias("noisy"))
+
+
+@query("synthetic_arrays", f"with {_SYNTH} select sample_id, label, {r('sum(clean)')} as clean_sum, {r('sum(clean + 0.001::double * ' + _g(42, chr(39) + 'noise' + chr(39), 'sample_id', 'i') + ' + trend)')} as noisy_sum from p group by sample_id, label")
+def _(spark, sf):
+    total = lambda c: q(F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
+    return synth.synthetic_dataset(spark, _N, _WIN).select("sample_id", "label", total("clean").alias("clean_sum"), total("noisy").alias("noisy_sum"))
+
+
+@query("inject_transit", f"""{_CLEAN}, n as (select target_id, count(*) as n from lc group by target_id), e as (select lc.*, greatest(30 - 5, 0) as s, least(30 + 5, n) as t from lc join n on lc.target_id = n.target_id)
+select target_id, cast(seq as bigint) as seq, {r('time')} as time, {r("flux + case when seq >= s and seq < t then -3.0::double * 0.5 * (1 - cos(3.141592653589793::double * (seq - s) / (t - s - 1))) else 0 end")} as flux from e""")
+def _(spark, sf):
+    return _points(synth.inject_transit(curves(spark, sf, False), 3.0, 30, 10))
+
+
+@query("stratified_split", f"""with l as (select doc_id, quality, row_number() over (partition by quality order by {_u(42, "'split'", 'doc_id')}, doc_id) as k, count(*) over (partition by quality) as n from labels)
+select doc_id, quality, k <= floor(0.2 * n + 0.5) as is_test from l""")
+def _(spark, sf):
+    return synth.stratified_split(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), key="doc_id", label="quality")
+
+
+@query("demo_curve")
+def _(spark, sf):
+    return synth.demo_curves(spark, 3, 501)
+
+
+_AN = "n as (select lc.*, count(*) over (partition by target_id) as n from lc)"
+_AUG = {
+    "gaussian_noise": f"select target_id, seq, time, flux + (0.0005::double + 0.0025::double * {_u(42, chr(39) + 'sigma' + chr(39), 'target_id')}) * {_g(42, chr(39) + 'noise' + chr(39), 'target_id', 'seq')} as flux from n",
+    "time_shift": f"""select a.target_id, a.seq, a.time, b.flux from n a join (select target_id, n, seq, flux, greatest(floor(n * 0.02::double), 1) as most, {_u(42, chr(39) + 'shift' + chr(39), 'target_id')} as u from n) b
+      on a.target_id = b.target_id and a.seq = (b.seq + cast(floor(u * (2 * most + 1)) - most as bigint) + b.n) % b.n""",
+    "flux_scaling": f"select target_id, seq, time, flux * (0.98::double + 0.04::double * {_u(42, chr(39) + 'scale' + chr(39), 'target_id')}) as flux from n",
+    "random_masking": f"""select target_id, seq, time, case when seq >= s and seq < s + len then 0 else flux end as flux from (select *, greatest(least(floor({_u(42, chr(39) + 'start' + chr(39), 'target_id')} * (greatest(n - len, 1) + 1)), n - len), 0) as s
+      from (select *, 1 + floor({_u(42, chr(39) + 'mask' + chr(39), 'target_id')} * greatest(floor(n * 0.05::double), 1)) as len from n))""",
+    "baseline_drift": f"""select target_id, seq, time, flux + (0.0002::double + 0.0018::double * {_u(42, chr(39) + 'amplitude' + chr(39), 'target_id')}) * sin(6.283185307179586::double * (1.0::double + 2.0::double * {_u(42, chr(39) + 'cycles' + chr(39), 'target_id')}) * seq / n
+      + 6.283185307179586::double * {_u(42, chr(39) + 'angle' + chr(39), 'target_id')}) as flux from n""",
+}
+for _name, _sql in _AUG.items():
+    query(f"aug_{_name}", f"{_CLEAN}, {_AN}, a as ({_sql}) {_POINTS} from a")(lambda spark, sf, n=_name: _points(augment.TECHNIQUES[n](curves(spark, sf, False))))
+
+
+@query("aug_all")
+def _(spark, sf):
+    return _points(augment.augment(curves(spark, sf, False)))
+
+
+@query("segment_stitch", f"""{_DIRTY}, g as (select *, seq // 20 as segment from lc where flux is not null and not isinf(flux)), m as (select target_id, segment, median(flux) as m from g group by target_id, segment)
+select g.target_id, cast(row_number() over (partition by g.target_id order by time, g.segment, seq) - 1 as bigint) as seq, {r('time')} as time, {r('flux / m')} as flux from g join m on g.target_id = m.target_id and g.segment = m.segment""")
+def _(spark, sf):
+    lc = curves(spark, sf).filter(F.col("flux").isNull() | (F.abs("flux") < float("inf"))).withColumn("segment", F.floor(F.col("seq") / 20))
+    return _points(synth.stitch(lc))
+
+
+_FINAL = f"""{_LINEAR}, ok as (select * from filled where time is not null and not isinf(flux) and not isnan(flux)),
+m as (select target_id, median(flux) as m, stddev_pop(flux) as s from ok group by target_id),
+kept as (select ok.target_id, row_number() over (partition by ok.target_id order by seq) - 1 as seq, time, flux from ok join m on ok.target_id = m.target_id where s = 0 or abs(flux - m) <= {SIGMA} * s),
+med as (select target_id, median(flux) as med from kept group by target_id),
+final as (select kept.target_id, seq, time, flux / med - 1 as flux from kept join med on kept.target_id = med.target_id)"""
+
+
+def _plan() -> Preprocessing:
+    return Preprocessing(Config(outliers=Outliers(sigma_threshold=SIGMA), windowing=Windowing(SIZE, 1 - STRIDE / SIZE)))
+
+
+@query("pipeline_final", f"{_DIRTY}, {_FINAL} {_POINTS} from final")
+def _(spark, sf):
+    return _points(_plan().run(curves(spark, sf)).final)
+
+
+@query("pipeline_windows", f"{_DIRTY}, {_FINAL}, lc2 as (select * from final), {_W.format(limit='n', stride=STRIDE, size=SIZE).replace('from lc ', 'from lc2 ')}, {_WVALUES.replace('join lc on x.target_id = lc.target_id', 'join lc2 on x.target_id = lc2.target_id')}")
+def _(spark, sf):
+    return _window_sums(_plan().run(curves(spark, sf)).windows)
+
+
+@query("pipeline_report")
+def _(spark, sf):
+    report = _plan().run(curves(spark, sf)).report()
+    return report.select("target_id", F.to_json("validation").alias("validation"), F.to_json("statistics").alias("statistics"), F.to_json("outliers").alias("outliers"), F.to_json("normalization").alias("normalization"), "n_windows")
+
+
+@query("train_and_score")
+def _(spark, sf):
+    from .plans.detect import train
+
+    return train(spark, 200, 101).metrics
