@@ -1,7 +1,7 @@
 """Packing of tokenized documents into windows, best fit decreasing.
 
-Documents are tokenized in batches; each unit between white space is encoded once and kept in a bounded cache, since the
-tokenizer never joins over white space. An overlong document is cut into full windows and a rest. The rests are packed
+Documents are tokenized in batches; a piece that the tokenizer would look at alone is encoded once and kept in a bounded
+cache, since the tokenizer never joins over the ends of pieces. An overlong document is cut into full windows and a rest. The rests are packed
 longest first: a segment tree over remaining capacities finds the tightest open window in a logarithm of its size.
 
 Packing runs in shards of a bounded number of pieces, dealt out evenly, so the windows of one shard never need another.
@@ -10,7 +10,9 @@ Text never leaves the task that tokenizes it; what is shuffled are the pieces' c
 
 from __future__ import annotations
 
+import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,9 +26,16 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of a shard: some ten MB in a task.
 SHARD = 50_000
-#: Units that a worker's cache holds before it is emptied.
-CACHE = 300_000
+#: Pieces that a worker's cache holds before it is emptied: some 50 MB.
+CACHE = 250_000
 _UNITS = re.compile(r"[^ \t-\r]+")
+_LATIN = [chr(c) for c in range(0x250)]
+_L = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "L")
+_N = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "N")
+#: The vocabulary's own split of normalized text.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+#: Texts with control characters, other scripts, the one Latin letter whose small form is two characters, or special tokens.
+_ODD = re.compile(r"[^\t-\r -~\xa0-\u012f\u0131-\u024f]|<\|")
 PIECES = "doc bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
 
 
@@ -36,39 +45,84 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, spare = [""] * 256, 256
+    for b in range(256):
+        if b in plain:
+            out[b] = chr(b)
+        else:
+            out[b], spare = chr(spare), spare + 1
+    return out
+
+
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit numbers, equal to the tokenizer's own for whole texts."""
+    """Texts to ids as little-endian unsigned 32-bit numbers, equal to the tokenizer's own for whole texts.
+
+    Texts of Latin letters are split here into the pieces that the tokenizer would split them into, and each new piece goes
+    to its model alone; other texts are split at white space and each new unit goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def _piece(self, piece: str) -> bytes:
+        if len(self.pieces) >= self.limit:
+            self.pieces.clear()
+        word = "".join([self.letters[b] for b in piece.encode()])
+        found = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+        return found
+
+    def _plain(self, text: str) -> bytes:
+        known, out = self.pieces.get, []
+        for piece in _PIECES.findall(text.lower()):
+            out.append(known(piece) or self._piece(piece))
+        return b"".join(out)
+
+    def _other(self, text: str) -> bytes:
+        units = _UNITS.findall(text)
+        new = list({u for u in units if u not in self.units})
+        if len(self.units) + len(new) > self.limit // 4:
+            self.units.clear()
+            new = list(set(units))
+        for at in range(0, len(new), 2_000):
+            part = new[at : at + 2_000]
+            for unit, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                self.units[unit] = np.array(e.ids, "<u4").tobytes()
+        return b"".join(map(self.units.__getitem__, units))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        units = [_UNITS.findall(t) for t in texts]
-        new = list({u for doc in units for u in doc if u not in self.known})
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = list({u for doc in units for u in doc})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for unit, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[unit] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, doc)) for doc in units]
+        return [self._other(t) if _ODD.search(t) else self._plain(t) for t in texts]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _tokenize(path: str, window: int, end_id: int) -> Callable:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows: list[tuple] = []
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), own.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                     ids += end
                     total = len(ids) // 4
                     rows += [(doc, s, min(window, total - s), ids[4 * s : 4 * (s + window)], total) for s in range(0, total, window)]
