@@ -85,9 +85,9 @@ def running_median_trend(lc: DataFrame, window: int) -> DataFrame:
     at = F.row_number().over(by)
     d = d.withColumns({"_at": at, "_near": near})
     first = F.greatest(F.col("_at") - (half + 1), F.lit(1))
-    d = d.filter("_r = 0").withColumn("_own", F.slice("_near", (F.col("_at") - F.col("_h") - first + 1).cast("int"), 2 * F.col("_h") + 1))
-    ordered = F.array_sort("_own")
-    return d.withColumn("trend", F.element_at(ordered, F.col("_h") + 1)).select(*lc.columns, "trend")
+    d = d.filter("_r = 0").withColumn("_own", F.slice("_near", F.greatest(F.col("_at") - F.col("_h") - first + 1, F.lit(1)).cast("int"), 2 * F.col("_h") + 1))
+    # get, as a filter on the trend may be tried on the copies too, whose frames are cut off
+    return d.withColumn("trend", F.get(F.array_sort("_own"), F.col("_h"))).select(*lc.columns, "trend")
 
 
 def add_trend(lc: DataFrame, method: str = "savgol", polynomial_degree: int = 3, savgol_window: int = 401, savgol_polyorder: int = 3, running_median_window: int = 101) -> DataFrame:

@@ -70,8 +70,10 @@ class Result:
 
 
 class Preprocessing:
-    def __init__(self, config: Config | None = None, count: bool = False):
-        self.config, self.count = config or Config(), count
+    def __init__(self, config: Config | None = None, count: bool = False, persist: bool = False):
+        """count takes each stage's number of samples. persist keeps the filled and the processed curves, on memory or disk,
+        for callers that read several tables of a result; without it every table runs the plan from its source."""
+        self.config, self.count, self.persist = config or Config(), count, persist
         self.stages: list[StageLog] = []
 
     @contextmanager
@@ -93,6 +95,9 @@ class Preprocessing:
             entry.n_samples = df.count()
         return df
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return df.persist() if self.persist else df
+
     def run(self, lc: DataFrame, training: bool = True, save_to: str | None = None, metadata: dict | None = None) -> Result:
         """All stages in order. Curves that validation finds invalid go on; rows that are not finite go with the outliers."""
         c = self.config
@@ -102,7 +107,7 @@ class Preprocessing:
         with self._stage("validate"):
             validation = validation_report(raw)
         with self._stage("handle_missing_values", c.missing_values) as s:
-            filled = self._counted(s, fill_missing(raw, c.missing_values.strategy))
+            filled = self._counted(s, self._kept(fill_missing(raw, c.missing_values.strategy)))
             counts = fill_counts(raw, filled)
         with self._stage("remove_outliers", c.outliers) as s:
             o = asdict(c.outliers)
@@ -118,7 +123,7 @@ class Preprocessing:
                 d = asdict(c.detrending)
                 d.pop("enabled")
                 processed = detrend(normalized, d.pop("method"), d.pop("mode"), **d)
-            self._counted(s, processed)
+            processed = self._counted(s, self._kept(processed))
         with self._stage("window_generation", c.windowing) as s:
             windows = self._counted(s, generate_windows(processed, c.windowing.window_size, c.windowing.overlap, c.windowing.padding_mode))
         with self._stage("statistics"):
