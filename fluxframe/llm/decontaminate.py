@@ -80,11 +80,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     hit_keys = maybe_broadcast(diagonals.select("_key", "_key2").distinct())
     again = worded.join(hit_keys, ["_key", "_key2"], "left_semi").drop("_id").dropDuplicates(["_key", "_key2"])
-    lined = diagonals.join(again, ["_key", "_key2"]).join(maybe_broadcast(items.withColumnRenamed("words", "item_words"), n_fp), "item")
-    # the document's words beside the item's, from where the item would begin
-    lined = lined.select("_key", "_key2", "item", "item_words", "shift", F.expr("slice(words, greatest(shift, 0) + 1, greatest(size(item_words) + least(shift, 0), 0))").alias("seg"), F.expr("greatest(-shift, 0)").alias("skip"))
-    apart = "concat(array(-1), filter(sequence(0, size(item_words) - 1), i -> not coalesce(item_words[i] = get(seg, i - skip), false)), array(size(item_words)))"
-    runs = lined.withColumn("_apart", F.expr(apart)).withColumn("_need", F.expr(f"least({SHARED}, size(item_words))"))
+    # a document's diagonals meet its words in one row, and words are read by place: a text that repeats an item very often
+    # costs no more than its diagonals times the item
+    lined = diagonals.join(maybe_broadcast(items.withColumnRenamed("words", "item_words"), n_fp), "item")
+    lined = lined.groupBy("_key", "_key2").agg(F.collect_list(F.struct("item", "shift", "item_words")).alias("_d")).join(again, ["_key", "_key2"])
+    differ = "filter(sequence(0, size(d.item_words) - 1), i -> not coalesce(d.item_words[i] = get(words, i + d.shift), false))"
+    each = f"transform(_d, d -> named_struct('item', d.item, 'shift', d.shift, 'm', size(d.item_words), 'apart', concat(array(-1), {differ}, array(size(d.item_words)))))"
+    runs = lined.select("_key", "_key2", F.explode_outer(F.expr(each)).alias("_x")).select("_key", "_key2", "_x.item", "_x.shift", F.col("_x.apart").alias("_apart"), F.expr(f"least({SHARED}, _x.m)").alias("_need"))
     runs = runs.withColumn("_run", F.explode_outer(F.expr("filter(transform(_apart, (a, i) -> named_struct('a', a + 1, 'b', coalesce(get(_apart, i + 1), a + 1))), r -> r.b - r.a >= _need)"))).filter("_run is not null")
     # an item of fewer than 13 words is one window, so its run is its whole length
     runs = runs.select("_key", "_key2", "item", (F.col("shift") + F.col("_run.a")).alias("a"), (F.col("shift") + F.col("_run.b")).alias("b"))
@@ -101,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated rows, in the columns they had. Rows that share an id go together."""
+    """docs without the contaminated rows, in the columns they had. Rows that share an id go together; rows without one stay."""
     bad = cut(contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_bad")).distinct())
     return docs.join(maybe_broadcast(bad), F.col(id_col) == F.col("_bad"), "left_anti")
 
