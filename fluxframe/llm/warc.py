@@ -68,21 +68,38 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def parse(chunks: Iterator[bytes]) -> Iterator[tuple]:
-    """Records of a stream that is given without its separators: the stream is every chunk followed by CR LF CR LF."""
-    for head in chunks:
+    """Records of a stream that is given without its separators: the stream is every chunk followed by CR LF CR LF.
+
+    Records are told by Content-Length alone: a block that ends with CR LF moves the cuts after it by two bytes. The last
+    chunk of a file has no separator then, and the one that is added to it is left over and dropped.
+    """
+    end = END.encode()
+    held = b""
+    while True:
+        if held in (b"", end):
+            chunk = next(chunks, None)
+            if chunk is None:
+                return
+            held = chunk + end
+        head, _, held = held.partition(end)
         lines = head.split(b"\r\n")
         if lines[0] != b"WARC/1.1":
             raise ValueError(f"no record starts with {head[:60]!r}")
         named = dict(x.split(b": ", 1) for x in lines[1:])
         need = int(named[b"Content-Length"])
-        parts, held = [], -4
-        while held < need:  # the separator after a chunk is part of the block unless the block is complete
-            parts.append(next(chunks))
-            held += len(parts[-1]) + 4
-        block = b"\r\n\r\n".join(parts)
-        if len(block) != need:
-            raise ValueError(f"a block has {len(block)} bytes, its record says {need}")
-        payload = block.partition(b"\r\n\r\n")[2]
+        parts, size = [held], len(held)
+        while size < need + len(end):
+            chunk = next(chunks, None)
+            if chunk is None:
+                raise ValueError(f"a block has less than the {need} bytes that its record says")
+            parts += (chunk, end)
+            size += len(chunk) + len(end)
+        whole = b"".join(parts)
+        if not whole.startswith(end, need):
+            raise ValueError(f"a block does not end after the {need} bytes that its record says")
+        held = whole[need + len(end) :]
+        at = whole.find(end, 0, need)
+        payload = whole[at + len(end) : need] if at >= 0 else b""
         text = lambda k: named[k].decode() if k in named else None
         page = text(b"X-Page-ID")
         kind = text(b"WARC-Type")

@@ -29,3 +29,17 @@ def test_round_trip_of_odd_payloads(spark, tmp_path):
     assert any(gzip.open(f).read().startswith(b"WARC/1.1\r\n") for f in Path(path).glob("*.gz"))
     write_archives(df.limit(0), path)
     assert read_archives(spark, path).count() == 0 and with_originals(read_archives(spark, path)).count() == 0
+
+
+def test_payloads_that_end_with_line_ends(spark, tmp_path):
+    ends = ["\r\n", "\r\n" * 3, "\r\n" * 2, "\n\r\n", "\r\r\n", "\r\n\r"]
+    pages = [e for e in ends] + [f"<p>{i}</p>\r\n<p>line</p>{e}" for i, e in enumerate(ends)] + ["x" * 150 + "\r\n", "x" * 150 + "\r\n", "last\r\n"]
+    df = spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in enumerate(pages)], "page_id int, url string, html string")
+    for parts in (1, 5):  # every file ends with such a payload at some place, and one task reads several files
+        path = f"{tmp_path}/warc{parts}"
+        write_archives(df.repartition(parts), path)
+        records = read_archives(spark, path).collect()
+        assert len(records) == len(pages) and [r.page_id for r in records if r.record_type == "revisit"] == [13]
+        assert {r.page_id: bytes(r.payload).decode() for r in records if r.payload is not None} == {i: h for i, h in enumerate(pages) if i != 13}
+    write_archives(df.filter("page_id = 14"), f"{tmp_path}/one")
+    assert [bytes(r.payload) for r in read_archives(spark, f"{tmp_path}/one").collect()] == [b"last\r\n"]
