@@ -8,6 +8,8 @@ unless a rule allows one of its members. Everything is DataFrame expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .common import ascii_lower, connected_components, cut, maybe_broadcast, tex
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 _CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
+_BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -29,21 +32,73 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then names it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _without_dots(path: Column) -> Column:
+    """path without its . and .. segments, as RFC 3986, 5.2.4 says; a path that is not empty begins with a slash."""
+    segments = F.split(path, "/")
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+
+    def finish(kept: Column) -> Column:
+        folder = F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0)
+        return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+
+    rest = F.slice(segments, 2, F.size(segments))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.aggregate(rest, F.array().cast("array<string>"), step, finish)).otherwise(path)
+
+
+def resolve_reference(base: Column, to: Column) -> Column:
+    """The absolute URL that to means on the page base, by RFC 3986, 5.2; null for one without a host, or where base has none."""
+
+    def whole(x: Column) -> Column:
+        base, to = x["base"], x["to"]
+        root, path = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), path_of(base)
+        folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+        return (
+            F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+            .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (root == ""), F.lit(None))
+            .when(to.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), to))
+            .when(to.startswith("/"), F.concat(root, to))
+            .when(to.startswith("?"), F.concat(root, path, to))
+            .when(to.startswith("#") | (to == ""), F.regexp_extract(base, "(?s)^([^#]*)", 1))
+            .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), to))
+        )
+
+    def clean(w: Column) -> Column:
+        part = lambda i: F.regexp_extract(w, r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$", i)
+        return F.concat(part(1), _let(part(2), _without_dots), part(3))
+
+    return _let(_let(F.struct(base.alias("base"), to.alias("to")), whole), clean)
+
+
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(src, dst): every page's URL and the absolute URL that its canonical link or refresh names."""
+    """(src, dst): every page's URL and the absolute URLs that its canonical links and refreshes name."""
     html = text_or_empty(html_col)
+    low = F.lower(html)
+    every = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    none = F.array().cast("array<string>")
     # the plain search first: few pages have either, and the patterns cost more
-    canonical = F.when(F.instr(F.lower(html), "canonical") > 0, F.regexp_extract(html, _CANONICAL, 1))
-    refresh = F.when(F.instr(F.lower(html), "http-equiv") > 0, F.regexp_extract(html, _REFRESH, 1))
-    named = pages.select(F.col(url_col).alias("src"), F.explode(F.array(canonical, refresh)).alias("to")).filter("to is not null and to <> '' and src is not null")
-    root = F.regexp_extract("src", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to")).when(F.col("to").startswith("/"), F.concat(root, "to")).otherwise(F.concat(root, F.lit("/"), F.col("to")))
-    return named.select("src", to.alias("dst"))
+    canonical = F.when(F.instr(low, "canonical") > 0, every(_CANONICAL)).otherwise(none)
+    refresh = F.when(F.instr(low, "http-equiv") > 0, every(_REFRESH)).otherwise(none)
+    base = F.when(F.instr(low, "<base") > 0, F.regexp_extract(html, _BASE, 1)).otherwise("")
+    named = pages.select(F.col(url_col).cast("string").alias("src"), base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("to")).filter("to <> '' and src is not null")
+    on = F.coalesce(resolve_reference(F.col("src"), F.col("base")), F.col("src"))
+    return named.select("src", resolve_reference(on, F.col("to")).alias("dst")).filter("dst is not null")
 
 
 def alias_key(url: Column) -> Column:
-    """URLs that differ in nothing but their fragment are one page."""
-    return F.regexp_replace(url, r"(?s)#.*$", "")
+    """URLs that differ in nothing but their fragment, or the case of scheme and host, are one page."""
+
+    def lower(u: Column) -> Column:
+        part = lambda i: F.regexp_extract(u, r"(?s)^(.*?://)((?:[^/?#@]*@)?)([^/?#]*)(.*)$", i)
+        return F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(ascii_lower(part(1)), part(2), ascii_lower(part(3)), part(4))).otherwise(u)
+
+    return _let(F.regexp_replace(url, r"(?s)#.*$", ""), lower)
 
 
 def fitting_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:

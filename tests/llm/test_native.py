@@ -92,3 +92,30 @@ def test_redirects_carry_verdicts(spark):
     assert out.count() == len(pages) and uf.filter_urls(df.limit(0), rules).count() == 0
     known = spark.createDataFrame([("http://net", "http://q.net/x")], "src string, dst string")
     assert {r.page_id: r.verdict for r in uf.filter_urls(df.filter("page_id = 12"), rules, known).collect()} == {12: "block"}
+
+
+def test_references_resolve(spark):
+    base = "http://a/b/c/d;p?q"  # the examples of RFC 3986, 5.4
+    want = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "g#s": "http://a/b/c/g#s", ";x": "http://a/b/c/;x",
+        "": base, ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g",
+        "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./g/.": "http://a/b/c/g/", "g/../h": "http://a/b/c/h", "g?y/../x": "http://a/b/c/g?y/../x", "HTTP://Z/../x": "HTTP://Z/x", "mailto:g": None, "javascript:void(0)": None,
+    }
+    df = spark.createDataFrame(list(want.items()), "to string, want string")
+    assert {r.to: r.got for r in df.select("to", uf.resolve_reference(F.lit(base), F.col("to")).alias("got")).collect()} == want
+    odd = spark.createDataFrame([("http://a", "g"), ("no scheme", "/p"), (None, "g"), ("https://a?x=/y/z", "g")], "base string, to string")
+    assert [r[0] for r in odd.select(uf.resolve_reference(F.col("base"), F.col("to"))).collect()] == ["http://a/g", None, None, "https://a/g"]
+
+
+def test_every_alias_reaches_the_block(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    blocked = [
+        ("http://m1.org/p/q", link.format("//x.bad.net/a")), ("http://m2.org/p/q", refresh.format("//x.bad.net/a")), ("http://m3.org/p/q", link.format("HTTP://X.Bad.NET/a#f")),
+        ("http://m4.org/p/q", link.format("http://one.org/") + '<link href="http://x.bad.net/a" rel=canonical>'), ("http://m5.org/p/q", refresh.format("http://one.org/") + refresh.format("http://x.bad.net/a")),
+        ("http://m6.org/p/q", '<base href="//x.bad.net/b/">' + link.format("../a")), ("HTTP://M7.org/p/q", link.format("http://x.bad.net/a")), ("http://m7.org/p/q", None), ("http://m8.org/p/q", link.format("bad")),
+    ]
+    pages = [*blocked, ("http://m8.org/q", link.format("bad"))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id int, url string, html string")
+    rules = spark.createDataFrame([("block", "x.bad.net/a"), ("block", "m8.org/p/bad")], "verdict string, rule string")
+    got = {r.page_id: (r.verdict, r.equivalent) for r in uf.filter_urls(df, rules).collect()}
+    assert got == dict.fromkeys(range(len(blocked)), ("block", True)) | {len(blocked): ("allow", False)}
