@@ -1,6 +1,6 @@
 """License scans by patience alignment with templates.
 
-A template is laid over a text wherever one of its rarest telling words occurs. There, words unique to both sides anchor the
+A template is laid over a text wherever enough of its telling words vote for about the same place. There, words unique to both sides anchor the
 alignment: the longest increasing subsequence of the anchors' places is kept, and the gaps between them are aligned the
 same way, after common beginnings and ends are taken off. Coverage is the share of the template's words that are aligned.
 A text is looked at once, in the task that reads it; nothing is shuffled.
@@ -9,10 +9,11 @@ A text is looked at once, in the task that reads it; nothing is shuffled.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +36,7 @@ TEMPLATES = (
 )
 #: Words too common to tell a notice.
 COMMON = frozenset("a an and any are as at by for in is it of on or that the this to under use with without you".split())
-#: A text without any of these holds no notice of the templates.
-HINTS = ("licen", "permi", "redistribut", "copyright")
 COVERAGE = 0.8
-RAREST = 3
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -93,43 +91,94 @@ class Template:
     text: str
     words: list[str] = field(init=False)
     marks: frozenset[str] = field(init=False)
+    places: dict[str, list[int]] = field(init=False)
 
     def __post_init__(self) -> None:
         self.words = [m[0].lower() for m in _WORD.finditer(self.text)]
         self.marks = frozenset(self.words) - COMMON
+        self.places = {}
+        for i, w in enumerate(self.words):
+            self.places.setdefault(w, []).append(i)
+
+    def telling(self, coverage: float) -> tuple[list[str], int, int]:
+        """(words, need, spare): a text that reaches the coverage lacks spare places of the template at most, so it holds need places of words.
+
+        words are the marks, or all words where the common ones alone could reach the coverage.
+        """
+        least = ceil(coverage * len(self.words) - 1e-9)
+        words = sorted(self.marks)
+        need = least - len(self.words) + sum(len(self.places[w]) for w in words)
+        if need < 1:
+            words, need = sorted(self.places), max(least, 1)
+        return words, need, len(self.words) - least
+
+    def hints(self, coverage: float) -> frozenset[str]:
+        """Words of which every text that reaches the coverage holds one: the longest, of more places than it may lack."""
+        words, _, spare = self.telling(coverage)
+        out, left = set(), spare
+        for w in sorted(words, key=lambda w: (-len(w), w)):
+            if left < 0:
+                break
+            out.add(w)
+            left -= len(self.places[w])
+        return frozenset(out)
+
+
+def hints(templates: list[Template], coverage: float) -> tuple[str, ...]:
+    """A text without any of these as a part holds no notice of the templates; those that hold another are left out."""
+    every = frozenset().union(*(t.hints(coverage) for t in templates))
+    return tuple(sorted(w for w in every if not any(v != w and v in w for v in every)))
+
+
+def placements(at: dict[str, list[int]], t: Template, coverage: float, slack: int) -> list[int]:
+    """Places in the text where the template may begin, those of most votes first.
+
+    An occurrence of a telling word votes for the place that it gives the template. In an alignment that reaches the
+    coverage within slack words of a place, votes are spare words farther away at most.
+    """
+    words, need, spare = t.telling(coverage)
+    if sum(len(t.places[w]) for w in words if w in at) < need:
+        return []
+    votes = Counter(p - q for w in words for p in at.get(w, ()) for q in t.places[w])
+    order = sorted(votes)
+    upto = [0]
+    for d in order:
+        upto.append(upto[-1] + votes[d])
+    near = slack + spare
+    good = [d for d in order if upto[bisect_right(order, d + near)] - upto[bisect_left(order, d - near)] >= need]
+    return sorted(good, key=lambda d: (-votes[d], d))
+
 
+def scan(text: str, templates: list[Template], coverage: float = COVERAGE, known: tuple[str, ...] | None = None) -> list[tuple[int, int, str, float]]:
+    """(start, end, name, coverage) of every notice found, in code points; of overlapping ones the best covered, then that of most words.
 
-def scan(text: str, templates: list[Template], coverage: float = COVERAGE) -> list[tuple[int, int, str, float]]:
-    """(start, end, name, coverage) of every notice found, in code points; of overlapping ones the best covered, then that of most words."""
+    known are the hints of the templates, where the caller has them.
+    """
     low = text.lower()
-    if not any(h in low for h in HINTS):
+    if not any(h in low for h in (hints(templates, coverage) if known is None else known)):
         return []
     found = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
     words = [w for _, _, w in found]
     at: dict[str, list[int]] = {}
-    marks = frozenset().union(*(t.marks for t in templates))
+    marks = frozenset().union(*(t.places for t in templates))
     for i, w in enumerate(words):
         if w in marks:
             at.setdefault(w, []).append(i)
     hits = []
     for t in templates:
-        held = [w for w in t.marks if w in at]
-        if len(held) < coverage * len(t.marks) * 0.75:
-            continue
         size = len(t.words)
         slack = size // 4 + 2
-        tried = set()
-        # the rarest telling words place the template; three of them, as an edited notice may lack one
-        for w in sorted(held, key=lambda w: (len(at[w]), t.words.index(w)))[:RAREST]:
-            for p, q in ((p, q) for p in at[w] for q, x in enumerate(t.words) if x == w):
-                if p - q in tried:
-                    continue
-                tried.add(p - q)
-                lo, hi = max(0, p - q - slack), min(len(words), p - q + size + slack)
-                pairs = align(t.words, words[lo:hi])
-                if len(pairs) >= coverage * size:
-                    first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                    hits.append((len(pairs) / size, len(pairs), found[first][0], found[last][1], t.name))
+        whole: list[int] = []
+        for d in placements(at, t, coverage, slack):
+            if any(abs(d - x) <= slack for x in whole):  # it could only find the whole notice there again
+                continue
+            lo, hi = max(0, d - slack), min(len(words), d + size + slack)
+            pairs = align(t.words, words[lo:hi])
+            if len(pairs) >= coverage * size:
+                first, last = lo + pairs[0][1], lo + pairs[-1][1]
+                hits.append((len(pairs) / size, len(pairs), found[first][0], found[last][1], t.name))
+                if len(pairs) == size and last - first == size - 1:
+                    whole.append(first)
     out: list[tuple[int, int, str, float]] = []
     for share, _, s, e, name in sorted(hits, key=lambda h: (-h[0], -h[1], h[2], h[4])):
         if all(e <= s2 or s >= e2 for s2, e2, _, _ in out):
@@ -140,11 +189,12 @@ def scan(text: str, templates: list[Template], coverage: float = COVERAGE) -> li
 def _scan(pairs: tuple, coverage: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = [Template(*p) for p in pairs]
+        known = hints(templates, coverage)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("coverage", pa.float64())]))
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                rows = [[dict(zip(("start", "end", "license", "coverage"), h, strict=True)) for h in scan(t or "", templates, coverage)] for t in b.column(1).to_pylist()]
+                rows = [[dict(zip(("start", "end", "license", "coverage"), h, strict=True)) for h in scan(t or "", templates, coverage, known)] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], [b.schema.names[0], "notices"])
 
     return run

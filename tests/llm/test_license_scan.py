@@ -61,3 +61,22 @@ def test_odd_rows(spark):
     got = [(r.doc_id, [(n.license, n.start, n.end) for n in r.notices]) for r in scan_licenses(df).collect()]
     assert got == [(1, []), (2, []), (3, [("MIT", 0, 30)]), (3, [("MIT", 0, 30)]), (None, [("CC-BY-NC-4.0", 2, 29)]), (5, [])]
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_edited_copy_beside_a_whole_one():
+    mit = TEMPLATES[2][1]
+    edited = " ".join(w for w in mit.split() if w.strip(",") not in ("charge", "person", "files"))
+    for text in (f"{mit}\n{'x ' * 80}\n{edited}", f"{edited}\n{'x ' * 80}\n{mit}"):
+        assert [n for *_, n, _ in scan(text, ALL)] == ["MIT", "MIT"]
+
+
+def test_prefilter_drops_nothing_that_reaches_the_coverage():
+    assert [n for *_, n, _ in scan("under CC BY 4.0", ALL)] == ["CC-BY-4.0"]
+    assert [n for *_, n, _ in scan("released under the MIT", ALL)] == ["MIT"]
+    rng = random.Random(4)
+    for t in ALL:
+        for _ in range(20):  # as many words left out as the coverage allows
+            gone = set(rng.sample(range(len(t.words)), len(t.words) - -int(-0.8 * len(t.words) // 1)))
+            left = " ".join(w for i, w in enumerate(t.words) if i not in gone)
+            if len(align(t.words, left.split())) >= 0.8 * len(t.words):
+                assert scan(f"{t.text} {'x ' * 80}{left}", ALL) and len(scan(f"{t.text} {'x ' * 80}{left}", ALL)) == 2
