@@ -2,7 +2,8 @@
 
 A template is laid over a text wherever enough of its telling words vote for about the same place. There, words unique to both sides anchor the
 alignment: the longest increasing subsequence of the anchors' places is kept, and the gaps between them are aligned the
-same way, after common beginnings and ends are taken off. Coverage is the share of the template's words that are aligned.
+same way, after common beginnings and ends are taken off. Coverage is the share of the template's words that are aligned; the
+words that tell a licence from others must be among them.
 A text is looked at once, in the task that reads it; nothing is shuffled.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -31,9 +32,20 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 )
+#: What tells a licence from others, for those of its templates that hold it: name and version, as neighbouring words of
+#: which those with ? may lack, and clauses, which the coverage holds for.
+NAMES = {
+    "MIT": ("mit license?",), "Apache-2.0": ("apache license version? 2.0", "apache org licenses license 2.0"), "GPL-3.0": ("gnu general public license", "version 3"),
+    "CC-BY-NC-4.0": ("cc by nc 4.0",), "CC-BY-4.0": ("cc by 4.0",), "CC-BY-SA-4.0": ("cc by sa 4.0",),
+}
+CLAUSES = {
+    "MIT": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
+    "BSD-3-Clause": ("nor the names of its contributors may be used to endorse or promote products derived from this software",),
+    "ISC": ("provided that the above copyright notice and this permission notice appear in all copies",),
+}
 #: Words too common to tell a notice.
 COMMON = frozenset("a an and any are as at by for in is it of on or that the this to under use with without you".split())
 COVERAGE = 0.8
@@ -92,6 +104,8 @@ class Template:
     words: list[str] = field(init=False)
     marks: frozenset[str] = field(init=False)
     places: dict[str, list[int]] = field(init=False)
+    names: list[tuple[int, list[str]]] = field(init=False)
+    clauses: list[range] = field(init=False)
 
     def __post_init__(self) -> None:
         self.words = [m[0].lower() for m in _WORD.finditer(self.text)]
@@ -99,6 +113,22 @@ class Template:
         self.places = {}
         for i, w in enumerate(self.words):
             self.places.setdefault(w, []).append(i)
+        self.names = [(i, p.split()) for p in NAMES.get(self.name, ()) for i in self._where(p)]
+        self.clauses = [range(i, i + len(p.split())) for p in CLAUSES.get(self.name, ()) for i in self._where(p)]
+
+    def _where(self, phrase: str) -> list[int]:
+        words = phrase.replace("?", "").split()
+        return [i for i in range(len(self.words)) if self.words[i : i + len(words)] == words]
+
+    def told(self, pairs: list[tuple[int, int]], coverage: float) -> bool:
+        """The alignment holds the names and clauses that tell the licence from others."""
+        to = dict(pairs)
+        for i, phrase in self.names:
+            spots = [to.get(i + k) for k in range(len(phrase))]
+            held = [x for x in spots if x is not None]
+            if any(x is None and not w.endswith("?") for w, x in zip(phrase, spots, strict=True)) or held != list(range(held[0], held[0] + len(held))):
+                return False
+        return all(sum(k in to for k in clause) >= coverage * len(clause) for clause in self.clauses)
 
     def telling(self, coverage: float) -> tuple[list[str], int, int]:
         """(words, need, spare): a text that reaches the coverage lacks spare places of the template at most, so it holds need places of words.
@@ -174,7 +204,7 @@ def scan(text: str, templates: list[Template], coverage: float = COVERAGE, known
                 continue
             lo, hi = max(0, d - slack), min(len(words), d + size + slack)
             pairs = align(t.words, words[lo:hi])
-            if len(pairs) >= coverage * size:
+            if len(pairs) >= coverage * size and t.told(pairs, coverage):
                 first, last = lo + pairs[0][1], lo + pairs[-1][1]
                 hits.append((len(pairs) / size, len(pairs), found[first][0], found[last][1], t.name))
                 if len(pairs) == size and last - first == size - 1:

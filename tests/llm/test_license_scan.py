@@ -78,5 +78,21 @@ def test_prefilter_drops_nothing_that_reaches_the_coverage():
         for _ in range(20):  # as many words left out as the coverage allows
             gone = set(rng.sample(range(len(t.words)), len(t.words) - -int(-0.8 * len(t.words) // 1)))
             left = " ".join(w for i, w in enumerate(t.words) if i not in gone)
-            if len(align(t.words, left.split())) >= 0.8 * len(t.words):
+            pairs = align(t.words, left.split())
+            if len(pairs) >= 0.8 * len(t.words) and t.told(pairs, 0.8):
                 assert scan(f"{t.text} {'x ' * 80}{left}", ALL) and len(scan(f"{t.text} {'x ' * 80}{left}", ALL)) == 2
+
+
+def test_other_licences_are_not_taken_for_these():
+    bsd = dict(TEMPLATES)["BSD-3-Clause"]
+    two = bsd[: bsd.index("3. Neither")] + bsd[bsd.index("THIS SOFTWARE IS") :]
+    mit = TEMPLATES[2][1]
+    no_attribution = mit.replace("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "")
+    gpl = next(t for n, t in TEMPLATES if n == "GPL-3.0" and "redistribute" in t)
+    others = [
+        "Licensed under the BSD License.", "Licensed under CC BY 3.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under the Apache License, Version 1.1.", "Released under the MIT No Attribution License.",
+        gpl.replace("version 3", "version 2"), gpl.replace("GNU General", "GNU Affero General"), gpl.replace("GNU General", "GNU Lesser General"), "This work is licensed under the GNU General Public License, version 2.", two, no_attribution,
+    ]
+    assert {t: scan(f"{'x ' * 40}{t}{' x' * 40}", ALL) for t in others} == {t: [] for t in others}
+    assert [n for *_, n, _ in scan(bsd.replace("the copyright holder", "Example Ltd."), ALL)] == ["BSD-3-Clause"]
+    assert [n for *_, n, _ in scan("Licensed under the Apache License 2.0", ALL)] == ["Apache-2.0"]
