@@ -6,9 +6,10 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if it is counted and has at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if it is measured and has at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: White space of the word contracts, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,11 +17,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder stands in for it in local mode alone; on a cluster no executor would find it
+    again, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext.getCheckpointDir()
-        base = known.rsplit("/", 1)[0] if known else "file://" + tempfile.mkdtemp(prefix="shared_")
+        if known:
+            base = known.rsplit("/", 1)[0]
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            base = "file://" + tempfile.mkdtemp(prefix="shared_")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -32,13 +42,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit; else unchanged, so that Spark shuffles it.
+def _row_bytes(df: DataFrame) -> Column:
+    """What a row of df takes in memory, about: 16 bytes a column and the text of those that have no fixed size."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    sized = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema.fields if not isinstance(f.dataType, fixed)]
+    total = F.lit(16 * len(df.columns)).cast("bigint")
+    for size in sized:
+        total = total + size
+    return total
+
 
-    Give rows if they are known; otherwise df is counted, so it should be cheap or cut() before.
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is measured to be within both limits; else unchanged, so that Spark shuffles it.
+
+    df is counted for that, up to the limit, so it should be cheap or cut() before.
     """
-    n = df.limit(limit + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    n, held = df.select(_row_bytes(df).alias("b")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def ascii_lower(col: Column | str) -> Column:
@@ -55,17 +75,21 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _print_of(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _state_of(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges(u, v), and whether they are stars: every u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    each = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n"))
+    r = each.agg(F.coalesce(F.sum("ups"), F.lit(0)).alias("n"), F.coalesce(F.max((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("n") > F.col("ups")))), F.lit(False)).alias("open")).first()
+    return r["n"], not r["open"]
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(node, component) of every node that an edge touches; component is the smallest node reachable.
 
     Alternating large-star and small-star rounds: every round replaces a node's links by links to its smallest neighbour.
-    A round is two partially aggregated minima and two joins that Spark can split where a node has very many links; its
-    result is cut in the shared folder. Null ends, loops and repeated edges are ignored. No link or label reaches the
-    driver but for a count and a hash of the links, which tell that a round changed nothing.
+    A round is two partially aggregated minima and two joins. The minima are cut before they are joined, so each join
+    stands right above two exchanges and Spark splits it where a node has very many links. Null ends, loops and repeated
+    edges are ignored. No link or label reaches the driver but for the number of links and whether they are stars.
     """
     e = (
         edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
@@ -74,20 +98,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct()
     )
     e = cut(e)
-    before = _print_of(e)
     for _ in range(max_rounds):
-        if not before[0]:
+        n, stars = _state_of(e)
+        if stars:
             break
+        # a minimum has a row of two numbers for a node, and there are twice as many nodes as edges at most
+        small = 2 * n <= BROADCAST_ROWS
+        ready = F.broadcast if small else cut
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        after = _print_of(e)
-        if after == before:
-            break
-        before = after
+        least = ready(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
+        large = cut(both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = ready(large.groupBy("u").agg(F.min("v").alias("m")))
+        e = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(e.union(least.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,8 +6,6 @@ import pytest
 from fluxframe.llm import minhash
 from fluxframe.llm.minhash import near_duplicates
 
-SF = "/root/testdata/sf0.01"
-
 
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -42,13 +40,48 @@ def brute(rows, percent=75):
     return {(d, len(sets[i]), least[root(i)], d == least[root(i)]) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 3000])
-def test_agrees_with_brute_force(spark, block):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {tuple(r) for r in near_duplicates(docs, block=block).collect()}
+@pytest.mark.parametrize("sf,block,members", [("sf0.01", 3000, 20), ("sf0.1", minhash.BLOCK, minhash.MEMBERS)])
+def test_agrees_with_brute_force(spark, sf, block, members):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = {tuple(r) for r in near_duplicates(docs, block=block, members=members).collect()}
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def variants(n, edits, of=120, seed=0):
+    """n texts, each the same words but for a few of its own."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        words = [f"w{j}" for j in range(of)]
+        for j in rng.choice(of, edits, replace=False).tolist():
+            words[j] = f"x{i}_{j}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("edits", [5, 8])
+def test_large_groups_of_copies_around_the_limit(spark, edits):
+    texts = variants(300, edits) + variants(60, edits, seed=1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {tuple(r) for r in near_duplicates(df, block=4000, members=50).collect()}
+    assert got == brute(list(enumerate(texts)))
+
+
+def test_sets_sent_grow_with_the_group(spark):
+    sent = {}
+    for n in (200, 2000):
+        df = spark.createDataFrame(list(enumerate(variants(n, 1))), "doc_id bigint, text string")
+        dealt = []
+        real = minhash._compare
+        minhash._compare = lambda d, *rest: dealt.append(d.count()) or real(d, *rest)
+        try:
+            assert near_duplicates(df, block=10_000).filter("kept").count() == 1
+        finally:
+            minhash._compare = real
+        sent[n] = sum(dealt)
+    assert sent[2000] < 12 * sent[200]
+
+
 def test_odd_cases(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     rows = [(9, None), (4, ""), (5, " \t\n"), (6, "A b"), (2, "a B"), (7, long), (3, long + " tail"), (8, "one two three four five six"), (8, "one two three four five six"), (None, "a b"), (1, "a b")]
