@@ -26,16 +26,19 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of a shard: some ten MB in a task.
 SHARD = 50_000
-#: Pieces that a worker's cache holds before it is emptied: some 50 MB.
-CACHE = 250_000
+#: Pieces that a worker's cache holds before it is emptied: some 20 MB.
+CACHE = 100_000
 _UNITS = re.compile(r"[^ \t-\r]+")
 _LATIN = [chr(c) for c in range(0x250)]
 _L = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "L")
 _N = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "N")
 #: The vocabulary's own split of normalized text.
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
-#: Texts with control characters, other scripts, the one Latin letter whose small form is two characters, or special tokens.
-_ODD = re.compile(r"[^\t-\r -~\xa0-\u012f\u0131-\u024f]|<\|")
+#: White space, printable ASCII and Latin letters whose small form is one of these characters again: some capitals of
+#: African and Turkic languages have theirs farther on, and one has two characters.
+_PLAIN = [c for c in _LATIN if (c in "\t\n\v\f\r" or c >= " ") and not "\x7f" <= c < "\xa0" and len(c.lower()) == 1 and c.lower() in _LATIN]
+#: Texts with other characters, or special tokens.
+_ODD = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}]|<\\|")
 PIECES = "doc bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
 
 
@@ -195,14 +198,16 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 
 def _pack(window: int) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc", "start", "ids_crc32"], kind="stable")  # the same sequences whatever order the rows came in
         where, offset = best_fit_decreasing(pdf["length"].to_numpy(), window)
-        return pdf.assign(sequence_id=pdf.pop("_shard").to_numpy() * (1 << 32) + where, offset=offset)
+        shard = pdf.pop("_shard").to_numpy()
+        return pdf.assign(sequence_id=shard * (1 << 32) + where, offset=offset)
 
     return run
 
 
 def pack(pieces: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
-    """pieces with sequence_id and offset. Ids are unique over shards; offsets in a sequence are gapless from 0."""
+    """pieces(doc, start, length, ids_crc32, ...) with sequence_id and offset. Ids are unique over shards; offsets in a sequence are gapless from 0."""
     dealt = pieces.withColumn("_shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return dealt.groupBy("_shard").applyInPandas(_pack(window), f"{fields}, sequence_id bigint, offset bigint")
@@ -217,8 +222,9 @@ def shards_for(docs: DataFrame, text_col: str = "text", window: int = WINDOW, sh
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """(id_col, start, length, [ids,] ids_crc32, doc_tokens, sequence_id, offset) of every piece of every row.
 
-    Null and empty texts are one id. Repeated rows are packed each. An empty table gives an empty result. Ids that docs
-    share, or nulls, do no harm: pieces are dealt out by their place, not by key. Other columns are not looked at.
+    Null and empty texts are one id. A very long text is encoded whole and cut into full windows. Repeated rows are packed
+    each; pieces of one length are placed by id and start. An empty table gives an empty result. Ids that docs share, or
+    nulls, do no harm: pieces are dealt out by their place, not by key. Other columns are not looked at, whatever their names.
     """
     pieces = tokenize(docs, id_col, text_col, path, window).withColumn("ids_crc32", F.crc32("ids"))
     if not with_ids:

@@ -67,3 +67,13 @@ def test_tightest_window_is_found():
 def test_small_cache_changes_nothing():
     texts = ["a b c d e f g", "h i j k", "a h z"]
     assert Encoder(tokenizer_path(), 3).ids(texts) == Encoder(tokenizer_path()).ids(texts)
+
+
+def test_ids_of_every_code_point_are_the_tokenizers():
+    known, own = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path())
+    texts = [f"{c} a{c}b {c}{c} {c.upper()}C{c.lower()} x{c.upper()} 1{c}2" for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff"]
+    texts += ["ŞƏHƏR", "Əliyev", "AZƏRBAYCAN", "Ɓauna", "Ɗan", "Ewe: Ɖe", "\U0001f600 x\U00010400y"]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        for text, want, got in zip(part, known.encode_batch(part, add_special_tokens=False), own.ids(part), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, [hex(ord(x)) for x in text]
