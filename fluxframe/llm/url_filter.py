@@ -8,12 +8,10 @@ unless a rule allows one of its members. Everything is DataFrame expressions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, connected_components, cut, maybe_broadcast, text_or_empty
+from .common import ascii_lower, connected_components, cut, let, maybe_broadcast, text_or_empty
 
 #: verdict, rule
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -32,11 +30,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value computed once however often then names it."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _without_dots(path: Column) -> Column:
     """path without its . and .. segments, as RFC 3986, 5.2.4 says; a path that is not empty begins with a slash."""
     segments = F.split(path, "/")
@@ -71,9 +64,9 @@ def resolve_reference(base: Column, to: Column) -> Column:
 
     def clean(w: Column) -> Column:
         part = lambda i: F.regexp_extract(w, r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$", i)
-        return F.concat(part(1), _let(part(2), _without_dots), part(3))
+        return F.concat(part(1), let(part(2), _without_dots), part(3))
 
-    return _let(_let(F.struct(base.alias("base"), to.alias("to")), whole), clean)
+    return let(let(F.struct(base.alias("base"), to.alias("to")), whole), clean)
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
@@ -98,7 +91,7 @@ def alias_key(url: Column) -> Column:
         part = lambda i: F.regexp_extract(u, r"(?s)^(.*?://)((?:[^/?#@]*@)?)([^/?#]*)(.*)$", i)
         return F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(ascii_lower(part(1)), part(2), ascii_lower(part(3)), part(4))).otherwise(u)
 
-    return _let(F.regexp_replace(url, r"(?s)#.*$", ""), lower)
+    return let(F.regexp_replace(url, r"(?s)#.*$", ""), lower)
 
 
 def fitting_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 
 from fluxframe.llm import decontaminate as dc
 from fluxframe.llm import quality_rules as qr
+from fluxframe.llm import secrets
 from fluxframe.llm import url_filter as uf
 from fluxframe.llm.common import connected_components
-from fluxframe.llm.secrets import secrets_query
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("query,sql", [(qr.quality_rules_query, qr.ORACLE), (dc.decontamination_query, dc.ORACLE), (uf.url_filter_query, uf.ORACLE)])
+@pytest.mark.parametrize("query,sql", [(qr.quality_rules_query, qr.ORACLE), (secrets.secrets_query, secrets.ORACLE), (dc.decontamination_query, dc.ORACLE), (uf.url_filter_query, uf.ORACLE)])
 def test_agrees_with_sql(spark, query, sql):
     assert_same(query(spark, SF), sql, SF)
 
 
-@pytest.mark.parametrize("query", [qr.quality_rules_query, dc.decontamination_query, uf.url_filter_query, secrets_query])
+@pytest.mark.parametrize("query", [qr.quality_rules_query, dc.decontamination_query, uf.url_filter_query, secrets.secrets_query])
 def test_plan_has_no_python(spark, query):
     plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"))

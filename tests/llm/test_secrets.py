@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -62,3 +63,29 @@ def test_masking_keeps_rows_and_columns(spark):
     assert out.columns == df.columns
     text = {r.doc_id: r.text for r in out.collect()}
     assert out.count() == 12 and text[1] == "é [secret]' end" and text[2] is None and "whatever1" not in text[21]
+
+
+def test_many_repositories_of_one_owner_are_an_example(spark):
+    rows = [(i, "token = manual-example-1", "hot") for i in range(120)] + [(i, "token = own-live-value-2", "hot") for i in range(200, 250)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r.doc_id: r.spans[0].copied for r in scan_secrets(df).collect()}
+    assert all(got[i] for i in range(120)) and not any(got[i] for i in range(200, 250))
+
+
+def test_a_long_dump_costs_in_proportion(spark):
+    took = {}
+    for n in (2_000, 100_000):  # 5 MB
+        text = "é " + "secret: whatever1 token=é password = 'hunter22x' " * n
+        df = spark.createDataFrame([(1, text, "a")], "doc_id int, text string, source string")
+        began = time.time()
+        r = mask_secrets(df).select("text").first()
+        took[n] = time.time() - began
+        assert r.text == "é " + "[secret] token=é [secret]' " * n
+    assert took[100_000] < 60
+
+
+def test_overlaps_are_merged(spark):
+    text = "x secret=" + "0a" * 20 + "Zz9-" + "AKIA" + "B1" * 12 + " é end"
+    df = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (1, "plain", "b"), (2, None, None)], "doc_id int, text string, source string").withColumn("_key", F.lit(1)).withColumn("_spans", F.lit(2))
+    out = mask_secrets(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r.text or "") for r in out.collect()) == [(1, "plain"), (1, "x [secret] é end"), (1, "x [secret] é end"), (2, "")]
