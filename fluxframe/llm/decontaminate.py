@@ -104,8 +104,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated rows, in the columns they had. Rows that share an id go together; rows without one stay."""
-    bad = cut(contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_bad")).distinct())
-    return docs.join(maybe_broadcast(bad), F.col(id_col) == F.col("_bad"), "left_anti")
+    bad = cut(contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("id")).distinct())
+    bad = maybe_broadcast(bad)
+    return docs.join(bad, docs[id_col] == bad["id"], "left_anti")
 
 
 def decontamination_query(spark, sf_dir: str) -> DataFrame:

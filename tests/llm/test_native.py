@@ -1,5 +1,6 @@
 """The native operators against their SQL, and on odd rows."""
 
+import numpy as np
 import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
@@ -41,13 +42,40 @@ def test_quality_rules_on_odd_rows(spark):
     assert qr.quality_rules(df).count() == 8 and qr.quality_rules(df.limit(0)).count() == 0
 
 
+def _measured(spark, rows):
+    """Rows as quality_rules measures them, from (n_symbols in a thousand letters, source)."""
+    v = spark.createDataFrame(rows, "n_symbols bigint, _source string").withColumns({"word_chars": F.lit(1000).cast("bigint"), "_lang": F.lit("en")})
+    return v.withColumns({c: F.lit(k).cast("bigint") for c, k in (("n_dup_lines", 0), ("n_lines", 1), ("n_repeat_words", 0), ("n_words", 100), ("n_upper", 0), ("n_marks", 0))})
+
+
 def test_fences_follow_the_group(spark):
-    v = spark.range(400).select(F.col("id").alias("n_symbols"), F.lit(1000).cast("bigint").alias("word_chars"), F.lit("en").alias("_lang"), F.when(F.col("id") < 300, "a").otherwise("b").alias("_source"))
-    v = v.withColumns({c: F.lit(k).cast("bigint") for c, k in (("n_dup_lines", 0), ("n_lines", 1), ("n_repeat_words", 0), ("n_words", 100), ("n_upper", 0), ("n_marks", 0))})
-    got = {r._source: r.f_symbols for r in qr.fences(v, "_lang", "_source").collect()}
-    for source, n in (("a", 300), ("b", 400)):  # b has few rows and takes those of the language
-        q1, q3 = n / 4, 3 * n / 4
-        assert got[source] == pytest.approx(q3 + 3 * (q3 - q1), rel=0.08)
+    rows = [(i, "a") for i in range(300)] + [(i, "b") for i in range(300, 400)] + [(900, "one")]
+    got = {r._source: r for r in qr.fences(_measured(spark, rows), "_lang", "_source", prior=100).collect()}
+    whole = sorted(v for v, _ in rows)
+    stats = lambda v: (np.median(v), np.mean(np.maximum(np.array(v) - np.median(v), 0)), np.mean(np.maximum(np.median(v) - np.array(v), 0)))
+    for source in ("a", "b", "one"):  # every group is drawn towards the whole by its rows, without a step
+        own = [v for v, s in rows if s == source]
+        med, up, down = ((len(own) * x + 100 * y) / (len(own) + 100) for x, y in zip(stats(own), stats(whole), strict=True))
+        assert got[source].hi_symbols == pytest.approx(med + qr.SPREAD * up, rel=0.06)
+        assert got[source].lo_symbols == pytest.approx(med - qr.SPREAD * down, rel=0.15)
+    assert got["a"].hi_upper == got["a"].lo_upper == 0
+
+
+def test_one_text_gets_the_verdict_of_its_source(spark):
+    prose = "the quick brown fox jumps over a lazy dog near the old mill by the river " + " ".join(f"w{i}" for i in range(40))
+    marked = prose + " #### " * 12
+    rows = [(i, f"{prose} {i}", "en", "prose") for i in range(400)] + [(1000 + i, f"{marked} {i}", "en", "code") for i in range(400)] + [(1, marked, "en", "prose"), (2, marked, "en", "code")]
+    df = spark.createDataFrame([(5000 + i, *r[1:]) for i, r in enumerate(rows)], "doc_id int, text string, lang string, source string")
+    got = {(r.doc_id): r for r in qr.quality_rules(df, prior=10).collect()}
+    assert "symbols" in got[5800].failed_rules and not got[5800].kept
+    assert "symbols" not in got[5801].failed_rules
+
+
+def test_repeated_windows_of_long_texts(spark):
+    words = [f"w{i}" for i in range(6000)]
+    again = words[:4000] + words[100:107] + words[4000:] + ["w9", "w10", "w11", "w12"]
+    df = spark.createDataFrame([(1, " ".join(again)), (2, " ".join(again[:300] + again[100:106]))], "doc_id int, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    assert {r.doc_id: r.n_repeat_words for r in qr.quality_rules(df).collect()} == {1: 14, 2: 12}
 
 
 def test_decontamination_on_odd_rows(spark):

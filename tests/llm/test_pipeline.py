@@ -57,6 +57,26 @@ def test_every_stage_agrees_with_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in ran.collect()) == sorted((r.doc_id, r.start, r.ids_crc32) for r in seen[4])
 
 
-def test_repeated_ids_leave_one_row(spark):
-    df = spark.createDataFrame([(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1), (None, "a b c d e f", "en", "s", 1), (3, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    assert sorted((r.doc_id for r in cp.near_duplicate(spark, df, SF).collect()), key=str) == [1, 3, None]
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "totally different words of one more row"), (2, "A b c d e f"), (None, "a b c d e f"), (3, None)]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(((r.doc_id, r.text) for r in cp.near_duplicate(spark, df, SF).collect()), key=str)
+    assert got == sorted([(1, "a b c d e f"), (1, "totally different words of one more row"), (3, None), (None, "a b c d e f")], key=str)
+
+
+def test_odd_rows_pass_through_every_stage(spark):
+    long = " ".join(f"word{i}" for i in range(30_000)) + " token = abcdef123"
+    rows = [(1, None, None, None, None), (2, "", "", "", 0), (3, " \n\t", "en", "s", 3), (4, long, "en", "s", 5), (4, long, "en", "s", 5), (None, "secret: whatever1 x", "en", None, 19), (6, "plain words of a short text here", "en", "s", 6)]
+    clash = ["_gone", "_again", "_bad", "_mask_spans", "_in", "_key", "_spans", "id", "rep", "spans", "kept", "component_id", "words"]
+    df = spark.createDataFrame([(*r, *range(len(clash))) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` int" for c in clash))
+    for docs in (df, df.limit(0)):
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, SF)
+            if name == "packing":
+                assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and (out.count() > 0) == (docs is df)
+            else:
+                assert out.columns == docs.columns
+                got = out.collect()
+                assert all([r[c] for c in clash] == list(range(len(clash))) for r in got) and (len(got) == 7 or docs is not df or name in ("quality_classifier", "near_dedup"))
+                if name == "secrets" and docs is df:
+                    assert {(r.doc_id, r.n_chars) for r in got if r.doc_id != 4} == {(1, None), (2, 0), (3, 3), (None, 10), (6, 32)}
