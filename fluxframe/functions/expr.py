@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INFINITY = float("inf")
 MAD_TO_SIGMA = 1.4826
@@ -79,3 +80,23 @@ def between(low: float, high: float, u: Column) -> Column:
 def resequence(lc: DataFrame) -> DataFrame:
     """seq counted anew from 0 in the old order; after rows were dropped."""
     return lc.withColumn("seq", (F.row_number().over(by_seq()) - 1).cast("bigint"))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """The entries of two maps; second's value where both have a key, unless it is null."""
+    return F.map_zip_with(first, second, lambda k, a, b: F.coalesce(b, a))
+
+
+#: A side of a join is broadcast only if it is measured to have at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is measured to be within the limits; else unchanged, so that Spark shuffles it. df is counted for that, up to the limit."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+    width = F.lit(16 * len(df.columns)).cast("bigint")
+    for f in df.schema.fields:
+        if not isinstance(f.dataType, fixed):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
+    n, size = df.select(width.alias("b")).limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df

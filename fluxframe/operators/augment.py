@@ -18,7 +18,7 @@ class Step:
     params: dict = field(default_factory=dict)
 
 
-#: Technique, chance, parameters; applied in this order.
+# Technique, chance and parameters, applied in this order.
 DEFAULTS = {
     "gaussian_noise": Step(0.5, {"sigma_range": (0.0005, 0.003)}),
     "time_shift": Step(0.3, {"max_shift_fraction": 0.02}),
@@ -38,15 +38,22 @@ def gaussian_noise(lc: DataFrame, sigma_range: tuple = (0.0005, 0.003), seed: in
     return _apply(lc, F.col("flux") + sigma * normal(seed, F.lit("noise"), KEY, "seq"), when)
 
 
+#: The name that the noise step had before it drew its deviation.
+augment_with_noise = gaussian_noise
+
+
 def time_shift(lc: DataFrame, max_shift_fraction: float = 0.02, seed: int = 42, when: Column | None = None) -> DataFrame:
-    """Flux turned round by some samples either way; rows must be numbered 0, 1, ... in seq."""
-    d = lc.withColumn("_n", _n())
+    """Flux turned round by some samples either way; rows must be numbered 0, 1, ... in seq.
+
+    A curve becomes one row of its points, whose flux is turned as an array, and its points again, so nothing is joined.
+    """
+    point = F.struct("seq", *(c for c in lc.columns if c not in (KEY, "seq")), *([when.alias("_when")] if when is not None else []))
+    d = lc.groupBy(KEY).agg(F.array_sort(F.collect_list(point)).alias("_p")).withColumn("_n", F.size("_p"))
     most = F.greatest(F.floor(F.col("_n") * max_shift_fraction), F.lit(1))
     shift = F.floor(uniform(seed, F.lit("shift"), KEY) * (2 * most + 1)) - most
-    d = d.withColumn("_s", F.pmod(shift, F.col("_n")).cast("bigint"))
-    # sorted by its new place, the k-th flux belongs to the k-th row
-    moved = d.select(KEY, F.pmod(F.col("seq") + F.col("_s"), F.col("_n")).alias("seq"), F.col("flux").alias("_moved"))
-    return _apply(d.join(moved, [KEY, "seq"]), F.col("_moved"), when, lc.columns)
+    d = d.withColumn("_s", F.pmod(shift, F.col("_n")).cast("int")).withColumn("_f", F.expr("concat(slice(_p.flux, _n - _s + 1, _s), slice(_p.flux, 1, _n - _s))"))
+    d = d.select(KEY, F.explode(F.arrays_zip("_p", "_f")).alias("_x")).select(KEY, "_x._p.*", F.col("_x._f").alias("_moved"))
+    return _apply(d, F.col("_moved"), F.col("_when") if when is not None else None, lc.columns)
 
 
 def flux_scaling(lc: DataFrame, scale_range: tuple = (0.98, 1.02), seed: int = 42, when: Column | None = None) -> DataFrame:

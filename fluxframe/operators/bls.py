@@ -1,14 +1,17 @@
 """Box least squares (Kovács, Zucker, Mazeh 2002): the search for periodic dips.
 
-The relational form sums flux per phase bin and slides boxes over the bins with range frames, so it spreads over curves
-and periods alike. The fast form hands a curve and a chunk of periods to NumPy. Boxes begin at occupied bins; both forms
-try the same boxes.
+Boxes begin at every bin of the folded curve, empty ones too, as a box that begins in a gap can end sooner. The relational
+form sums flux per bin and slides boxes over the bins with range frames; its rows are curves times periods times bins, so
+it is the form that SQL can check, for grids of some hundred periods. The fast form deals curves and chunks of periods out
+to tasks and lets NumPy try a block of periods at once. Both try the same boxes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +21,12 @@ from .transit import fold, transit_parameters
 PERIODS = (0.5, 400.0, 50_000)
 DURATIONS = (0.05, 0.10, 0.15, 0.20, 0.25, 0.33)
 OVERSAMPLE = 2
-DIGITS = 12
+#: Powers, in units of the curve's variance, are compared to so many digits, so that sums in another order rank alike.
+DIGITS = 8
+#: Curve points times periods, or bins times periods, that NumPy holds at once: some 30 MB.
+CELLS = 400_000
+#: Periods that the relational form takes at most: it is the checked form, and rows times periods do not scale.
+MOST_PERIODS = 1_000
 
 
 def period_grid(spark: SparkSession, low: float, high: float, n: int) -> DataFrame:
@@ -29,7 +37,8 @@ def period_grid(spark: SparkSession, low: float, high: float, n: int) -> DataFra
 
 def _centred(lc: DataFrame) -> DataFrame:
     d = lc.filter(finite("flux") & finite("time"))
-    return d.select(KEY, (F.col("time") - F.min("time").over(by_target())).alias("t"), (F.col("flux") - F.median("flux").over(by_target())).alias("y"), F.min("time").over(by_target()).alias("t_min"))
+    own = by_target()
+    return d.select(KEY, (F.col("time") - F.min("time").over(own)).alias("t"), (F.col("flux") - F.median("flux").over(own)).alias("y"), F.min("time").over(own).alias("t_min"), F.var_pop("flux").over(own).alias("v"))
 
 
 def _boxes(durations: tuple, oversample: int) -> tuple[float, list[int]]:
@@ -41,79 +50,177 @@ def periodogram(lc: DataFrame, grid: DataFrame, durations: tuple = DURATIONS, ov
     """(target_id, period_id, period, power, duration, t0, depth): the best box of every curve and period.
 
     power is half the gain in squared error, over dips alone; ties go to the earlier bin, then the shorter box. A period
-    without a dip has power 0. grid is a table of two numbers a row, made by the caller, and so is broadcast.
+    without a dip has power 0. grid(period_id, period) is counted, and more than MOST_PERIODS are refused: fast_periodogram
+    takes those. So its broadcast is bounded.
     """
+    n = grid.count()
+    if n > MOST_PERIODS:
+        raise ValueError(f"{n} periods; the relational form takes {MOST_PERIODS} at most, fast_periodogram any number")
     width, lengths = _boxes(durations, oversample)
-    d = _centred(lc).crossJoin(F.broadcast(grid))
-    d = d.withColumn("bin", F.floor(F.pmod("t", F.col("period")) / width).cast("int"))
-    bins = d.groupBy(KEY, "period_id", "period", "bin").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"), F.first("t_min").alias("t_min"))
+    grid = F.broadcast(grid.withColumn("_B", F.ceil(F.col("period") / width).cast("int")))
+    centred = _centred(lc)
+    d = centred.join(grid).select(KEY, "period_id", "period", "_B", F.floor(F.pmod("t", F.col("period")) / width).cast("int").alias("bin"), F.col("y").alias("s"), F.lit(1).alias("n"), "t_min", "v")
+    empty = centred.groupBy(KEY).agg(F.first("t_min").alias("t_min"), F.first("v").alias("v")).join(grid)
+    empty = empty.select(KEY, "period_id", "period", "_B", F.explode(F.sequence(F.lit(0), F.col("_B") - 1)).alias("bin"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), "t_min", "v")
+    bins = d.unionByName(empty).groupBy(KEY, "period_id", "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("period", "_B", "t_min", "v")))
     by = Window.partitionBy(KEY, "period_id")
-    bins = bins.withColumns({"_S": F.sum("s").over(by), "_N": F.sum("n").over(by), "_B": F.ceil(F.col("period") / width).cast("int")})
+    bins = bins.withColumns({"_S": F.sum("s").over(by), "_N": F.sum("n").over(by)})
     turned = bins.withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.col("bin") + F.col("_again") * F.col("_B")).filter((F.col("_again") == 0) | (F.col("bin") < max(lengths)))
     order = by.orderBy("at")
     boxes = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("duration"), F.sum("s").over(order.rangeBetween(0, k - 1)).alias("s_in"), F.sum("n").over(order.rangeBetween(0, k - 1)).alias("n_in")) for k, q in zip(lengths, durations, strict=True)))
-    tried = turned.withColumn("_x", boxes).filter("_again = 0").withColumn("x", F.explode("_x")).filter(F.col("x.n_in") < F.col("_N"))
+    tried = turned.withColumn("_x", boxes).filter("_again = 0").withColumn("x", F.explode("_x")).filter((F.col("x.n_in") > 0) & (F.col("x.n_in") < F.col("_N")))
     gap = (F.col("_S") - F.col("x.s_in")) / (F.col("_N") - F.col("x.n_in")) - F.col("x.s_in") / F.col("x.n_in")
     power = F.when(gap > 0, 0.5 * F.col("x.n_in") * gap * gap).otherwise(0.0)
-    scored = tried.select(KEY, "period_id", "period", "bin", F.col("x.k").alias("k"), F.col("x.duration").alias("duration"), F.round(power, DIGITS).alias("power"), F.greatest(gap, F.lit(0.0)).alias("depth"), (F.col("t_min") + (F.col("bin") + F.col("x.k") / 2.0) * width).alias("t0"))
-    first = Window.partitionBy(KEY, "period_id").orderBy(F.desc("power"), "bin", "k")
-    return scored.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(KEY, "period_id", "period", "power", "duration", "t0", "depth")
-
-
-def search_arrays(t: np.ndarray, y: np.ndarray, periods: np.ndarray, durations: tuple = DURATIONS, oversample: int = OVERSAMPLE) -> list[tuple]:
-    """(power, duration, t0 after the first time, depth) for each period, of one centred curve."""
+    scored = tried.select(KEY, "period_id", "period", "bin", F.col("x.k").alias("k"), F.col("x.duration").alias("duration"), power.alias("power"), "v", F.greatest(gap, F.lit(0.0)).alias("depth"), (F.col("t_min") + (F.col("bin") + F.col("x.k") / 2.0) * width).alias("t0"))
+    # one minimum that combines on the map side: the greatest power, then the earliest bin, then the shortest box
+    rank = F.struct((-F.round(F.try_divide("power", "v"), DIGITS)).alias("less"), "bin", "k", "period", "power", "duration", "t0", "depth")
+    return scored.groupBy(KEY, "period_id").agg(F.min(rank).alias("x")).select(KEY, "period_id", *(f"x.{c}" for c in ("period", "power", "duration", "t0", "depth")))
+
+
+def _gaps(s_in: np.ndarray, n_in: np.ndarray, total: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Depth of the dip and power of boxes by their sums; power 0 without a dip."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = (total - s_in) / (n - n_in) - s_in / n_in
+    power = np.where((n_in > 0) & (n_in < n) & (gap > 0), 0.5 * n_in * gap**2, 0.0)
+    return gap, power
+
+
+def _over_bins(at: np.ndarray, y: np.ndarray, bins: np.ndarray, lengths: list[int]) -> Iterator[tuple]:
+    """(k's place, starts, gap, power) for every box length: all bins of the folded curve as starts, a row for each period."""
+    rows, most = len(at), max(lengths)
+    size = int(max(bins.max(), at.max() + 1)) + most
+    flat = (at + np.arange(rows)[:, None] * size).ravel()
+    index = np.arange(most)
+    again = (np.arange(rows)[:, None], bins[:, None] + index)
+    sums = []
+    for h in (np.bincount(flat, np.tile(y, rows), rows * size), np.bincount(flat, minlength=rows * size).astype(float)):
+        h = h.reshape(rows, size)
+        h[again] += np.where(index < bins[:, None], h[:, :most], 0)  # boxes run on over the end of the period
+        sums.append(np.pad(h.cumsum(axis=1), ((0, 0), (1, 0))))
+    starts = np.arange(int(bins.max()))
+    outside = starts >= bins[:, None]
+    for q, k in enumerate(lengths):
+        s_in, n_in = (c[:, k : k + len(starts)] - c[:, : len(starts)] for c in sums)
+        gap, power = _gaps(s_in, n_in, y.sum(), len(y))
+        power[outside] = 0
+        yield q, np.broadcast_to(starts, power.shape), gap, power
+
+
+def _over_points(at: np.ndarray, y: np.ndarray, bins: np.ndarray, lengths: list[int]) -> Iterator[tuple]:
+    """The same for curves with fewer points than bins: what a box holds changes only where it has just left a point or just reached one, so two starts a point are all."""
+    rows, n = at.shape
+    order = np.argsort(at, axis=1, kind="stable")
+    at = np.take_along_axis(at, order, axis=1)
+    twice = np.concatenate([at, at + bins[:, None]], axis=1)
+    sums = np.zeros((rows, 2 * n + 1))
+    np.cumsum(np.tile(y[order], 2), axis=1, out=sums[:, 1:])
+    step = int(twice.max()) + max(lengths) + 2
+    lift, base = np.arange(rows)[:, None] * step, np.arange(rows)[:, None] * 2 * n
+    flat = (twice + lift).ravel()
+    first = lambda x: np.searchsorted(flat, (x + lift).ravel()).reshape(x.shape) - base
+    after = first(twice + 1)  # places after the points of each point's own bin
+    left = at + 1
+    wrapped = left >= bins[:, None]
+    left = np.where(wrapped, 0, left)
+    left_from = np.where(wrapped, 0, after[:, :n])
+    for q, k in enumerate(lengths):
+        reach = at - k + 1
+        before = reach < 0
+        reach = np.where(before, reach + bins[:, None], reach)
+        ok = reach >= 0  # a box longer than the period twice over has no such start
+        lo = np.concatenate([left_from, first(np.maximum(reach, 0))], axis=1)
+        hi = np.concatenate([first(left + k), np.where(before, after[:, n:], after[:, :n])], axis=1)
+        gap, power = _gaps(np.take_along_axis(sums, hi, axis=1) - np.take_along_axis(sums, lo, axis=1), hi - lo, y.sum(), n)
+        power[:, n:] = np.where(ok, power[:, n:], 0)
+        yield q, np.concatenate([left, reach], axis=1), gap, power
+
+
+def search_arrays(t: np.ndarray, y: np.ndarray, periods: np.ndarray, durations: tuple = DURATIONS, oversample: int = OVERSAMPLE) -> tuple[np.ndarray, ...]:
+    """(power, duration, t0 after the first time, depth), each for every period, of one curve centred on its median, t from 0."""
     width, lengths = _boxes(durations, oversample)
-    out = []
-    for period in periods:
-        n_bins = int(np.ceil(period / width))
-        at = np.floor(np.mod(t, period) / width).astype(int)
-        size = max(n_bins, at.max() + 1)
-        s, n = np.bincount(at, y, size), np.bincount(at, minlength=size)
-        occupied = np.flatnonzero(n)
-        long = n_bins + max(lengths)
-        s2, n2 = np.zeros(max(long, size)), np.zeros(max(long, size))
-        s2[:size] += s
-        n2[:size] += n
-        m = min(max(lengths), size, len(s2) - n_bins)
-        s2[n_bins : n_bins + m] += s[:m]
-        n2[n_bins : n_bins + m] += n[:m]
-        cs, cn = np.append(0, s2.cumsum()), np.append(0, n2.cumsum())
-        best = (0.0, occupied[0], 0, durations[0], 0.0)
-        for k, q in zip(lengths, durations, strict=True):
-            end = np.minimum(occupied + k, len(s2))
-            s_in, n_in = cs[end] - cs[occupied], cn[end] - cn[occupied]
-            ok = (n_in < n.sum()) & (n_in > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gap = (s.sum() - s_in) / (n.sum() - n_in) - s_in / n_in
-            power = np.where(ok & (gap > 0), np.round(0.5 * n_in * gap**2, DIGITS), 0.0)
-            i = int(power.argmax())
-            if power[i] > best[0] or (power[i] == best[0] and power[i] > 0 and occupied[i] < best[1]):
-                best = (float(power[i]), int(occupied[i]), k, q, float(gap[i]))
-        power, b, k, q, depth = best
-        out.append((power, q, (b + k / 2) * width, depth))
-    return out
-
-
-def fast_periodogram(lc: DataFrame, low: float = PERIODS[0], high: float = PERIODS[1], n: int = PERIODS[2], durations: tuple = DURATIONS, oversample: int = OVERSAMPLE, chunk: int = 5_000) -> DataFrame:
-    """periodogram over an even grid, by NumPy: a task has one curve and chunk periods, so one long curve spreads too."""
+    bins = np.ceil(periods / width).astype(int)
+    power, depth, start, chosen = np.zeros(len(periods)), np.zeros(len(periods)), np.zeros(len(periods), int), np.zeros(len(periods), int)
+    scale = y.var() or 1.0
+    at = 0
+    while at < len(periods):
+        dense = bins[at] <= 4 * len(t)
+        per_row = int(bins[at]) + max(lengths) + len(t) if dense else 4 * len(t)
+        to = min(len(periods), at + max(1, CELLS // per_row))
+        if dense:
+            to = max(at + 1, min(to, int(np.searchsorted(bins[at:to], max(4 * len(t), bins[at]), "right")) + at))
+        own = periods[at:to, None]
+        folded = np.floor(np.mod(t, own) / width).astype(int)
+        best = np.full(to - at, -1.0)
+        for q, starts, gap, found in (_over_bins if dense else _over_points)(folded, y, bins[at:to], lengths):
+            rank = np.round(found / scale, DIGITS)
+            top = rank.max(axis=1)
+            # the earliest of the best starts
+            begin = np.where((rank == top[:, None]) & (found > 0), starts, np.iinfo(int).max)
+            i = begin.argmin(axis=1)
+            row = np.arange(to - at)
+            better = (top > best) | ((top == best) & (found[row, i] > 0) & (begin[row, i] < start[at:to]))
+            better &= found[row, i] > 0
+            best = np.where(better, top, best)
+            power[at:to] = np.where(better, found[row, i], power[at:to])
+            depth[at:to] = np.where(better, gap[row, i], depth[at:to])
+            start[at:to] = np.where(better, begin[row, i], start[at:to])
+            chosen[at:to] = np.where(better, q, chosen[at:to])
+        at = to
+    return power, np.array(durations)[chosen], (start + np.array(lengths)[chosen] / 2) * width, depth
+
+
+def _search(grid: np.ndarray, chunk: int, durations: tuple, oversample: int) -> Callable:
+    names = [KEY, "period_id", "period", "power", "duration", "t0", "depth"]
+
+    def one(key: str, c: int, time: np.ndarray, flux: np.ndarray) -> pa.RecordBatch:
+        own = grid[c * chunk : (c + 1) * chunk]
+        found = search_arrays(time - time.min(), flux - np.median(flux), own, durations, oversample)
+        power, duration, t0, depth = found
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.string()), pa.array(np.arange(c * chunk, c * chunk + len(own)), pa.int32()), *map(pa.array, (own, power, duration, t0 + time.min(), depth))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by curve and chunk; a curve is held until the next one begins."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now, out, size = None, [], 0
+        whole = lambda: one(*now, *(np.concatenate(x) for x in zip(*held, strict=True)))
+        for b in batches:
+            keys, chunks, time, flux = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cuts = (np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1).tolist()
+            for x, y in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if now != (keys[x], chunks[x]):
+                    if held:
+                        out.append(whole())
+                        size += out[-1].num_rows
+                    now, held = (keys[x], chunks[x]), []
+                held.append((time[x:y], flux[x:y]))
+            if size > 20_000:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out, size = [], 0
+        if held:
+            out.append(whole())
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return run
+
+
+def fast_periodogram(lc: DataFrame, low: float = PERIODS[0], high: float = PERIODS[1], n: int = PERIODS[2], durations: tuple = DURATIONS, oversample: int = OVERSAMPLE, chunk: int = 5_000, tasks: int | None = None) -> DataFrame:
+    """periodogram over an even grid, by NumPy: curves and chunks of periods are dealt out to tasks, so one long curve spreads too.
+
+    tasks is twice the cluster's cores by default. A task holds one curve at a time.
+    """
     grid = np.linspace(low, high, n)
     parts = -(-n // chunk)
-    d = _centred(lc).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = int(pdf["_chunk"].iloc[0])
-        own = grid[c * chunk : (c + 1) * chunk]
-        found = search_arrays(pdf["t"].to_numpy(), pdf["y"].to_numpy(), own, durations, oversample)
-        power, duration, t0, depth = map(np.array, zip(*found, strict=True))
-        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "period_id": np.arange(c * chunk, c * chunk + len(own)), "period": own, "power": power, "duration": duration, "t0": t0 + pdf["t_min"].iloc[0], "depth": depth})
-
-    return d.groupBy(KEY, "_chunk").applyInPandas(one, f"{KEY} string, period_id int, period double, power double, duration double, t0 double, depth double")
+    d = lc.filter(finite("flux") & finite("time")).select(F.col(KEY).cast("string").alias(KEY), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_chunk"), "time", "flux", "seq")
+    dealt = d.repartition(tasks or 2 * lc.sparkSession.sparkContext.defaultParallelism, KEY, "_chunk").sortWithinPartitions(KEY, "_chunk", "seq").drop("seq")
+    return dealt.mapInArrow(_search(grid, chunk, durations, oversample), f"{KEY} string, period_id int, period double, power double, duration double, t0 double, depth double")
 
 
 def best_period(power: DataFrame) -> DataFrame:
-    """The row of the greatest power for each target; the first of equal ones."""
-    by = Window.partitionBy(KEY).orderBy(F.desc("power"), "period_id")
-    return power.withColumn("_r", F.row_number().over(by)).filter("_r = 1").drop("_r")
+    """The row of the greatest power for each target; the first of those that equal it but for the rounding of sums."""
+    own = Window.partitionBy(KEY)
+    ranked = power.withColumn("_p", F.round(F.coalesce(F.try_divide("power", F.max("power").over(own)), F.lit(0.0)), DIGITS))
+    return ranked.withColumn("_r", F.row_number().over(own.orderBy(F.desc("_p"), "period_id"))).filter("_r = 1").drop("_r", "_p")
 
 
 def transit_features(lc: DataFrame, power: DataFrame) -> DataFrame:

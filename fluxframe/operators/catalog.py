@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import broadcast_if_small
 from ..schema import CATALOG
 
+log = logging.getLogger(__name__)
+
 # Published parameters of the planets.
 PLANETS = (
     ("Kepler-10b", "Kepler-10", 11904151, "Kepler", 0.837495, 152.0, 1.81, "first confirmed rocky exoplanet"),
@@ -35,13 +40,61 @@ def archive_name(name: Column) -> Column:
 def lookup(names: DataFrame, known: DataFrame, name_col: str = "planet") -> DataFrame:
     """names with the first catalog entry that equals or contains the name, whatever its case; nulls if there is none.
 
-    An equal name is found by an equi-join; only names without one meet the whole catalog, which the caller keeps small.
+    Entries are looked up by their parts: every part of a target's name is a key, so containment is an equi-join and
+    neither side meets the whole other one.
     """
     entry = F.struct("ordinal", "target", "known_period_days", "known_depth_ppm", "known_duration_hours")
-    n = names.select(F.col(name_col).alias("planet")).distinct()
-    fits = (F.lower("target") == F.lower("planet")) | F.contains(F.lower("target"), F.lower("planet"))
-    best = n.join(F.broadcast(known), fits, "left").groupBy("planet").agg(F.min(F.when(F.col("target").isNotNull(), entry)).alias("e"))
-    return names.select(F.col(name_col).alias("planet")).join(best, "planet", "left").select("planet", archive_name(F.col("planet")).alias("archive_name"), *(F.col(f"e.{c}").alias(c) for c in ("target", "known_period_days", "known_depth_ppm", "known_duration_hours")))
+    low = F.lower("target")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(F.sequence(F.lit(1), F.length(low) - i + 1), lambda n: F.substring(low, i, n))))
+    keys = known.filter("target is not null").select(entry.alias("e"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.when(low != "", parts).otherwise(F.array().cast("array<string>"))))).alias("_part"))
+    first = keys.groupBy("_part").agg(F.min("e").alias("e"))
+    n = names.select(F.col(name_col).alias("planet"), F.lower(name_col).alias("_part"))
+    found = n.join(broadcast_if_small(first), "_part", "left")
+    return found.select("planet", archive_name(F.col("planet")).alias("archive_name"), *(F.col(f"e.{c}").alias(c) for c in ("target", "known_period_days", "known_depth_ppm", "known_duration_hours")))
+
+
+#: What an archive tells of a planet, by the names that its table has for them.
+ARCHIVE_FIELDS = {"period_days": "pl_orbper", "depth_ppm": "pl_trandep", "duration_hours": "pl_trandur", "transit_midpoint": "pl_tranmid", "planet_radius_earth": "pl_rade"}
+
+
+def archive_query(name: str) -> str:
+    """The question for one planet's default parameters, for an archive that speaks ADQL."""
+    quoted = name.replace("'", "''")
+    return f"select pl_name, {', '.join(ARCHIVE_FIELDS.values())} from ps where pl_name = '{quoted}' and default_flag = 1"
+
+
+def known_parameters(names: DataFrame, known: DataFrame, ask: Callable[[str], list[dict]] | None = None, name_col: str = "planet") -> DataFrame:
+    """(planet, archive_name, planet_name, period_days, depth_ppm, duration_hours, transit_midpoint, planet_radius_earth, origin) of every name.
+
+    ask takes an archive_query and returns its rows as mappings; it runs in the tasks, once for each distinct name. Where it
+    is not given, fails or finds nothing, the parameters are those of lookup, and origin tells which: archive, catalog or null.
+    """
+    fields = list(ARCHIVE_FIELDS)
+    numbers = ", ".join(f"{f} double" for f in fields)
+    local = lookup(names, known, name_col).distinct()
+    local = local.select("planet", "archive_name", F.col("target").alias("_t"), *(F.col(f"known_{f}").cast("double").alias(f"_{f}") for f in fields[:3]), *(F.lit(None).cast("double").alias(f"_{f}") for f in fields[3:]))
+
+    def answers(batches):
+        for pdf in batches:
+            out = []
+            for planet, name in zip(pdf["planet"], pdf["archive_name"], strict=True):
+                try:
+                    row = next(iter(ask(archive_query(name))), None) if name else None
+                except Exception as e:
+                    log.warning("no answer for %s: %s", name, e)
+                    row = None
+                if row is not None:
+                    out.append([planet, str(row.get("pl_name") or name), *(None if row.get(c) is None else float(row[c]) for c in ARCHIVE_FIELDS.values())])
+            yield pd.DataFrame(out, columns=["planet", "planet_name", *fields])
+
+    asked = names.select(F.col(name_col).alias("planet")).distinct().withColumn("archive_name", archive_name(F.col("planet")))
+    found = asked.mapInPandas(answers, f"planet string, planet_name string, {numbers}") if ask else names.sparkSession.createDataFrame([], f"planet string, planet_name string, {numbers}")
+    j = names.select(F.col(name_col).alias("planet")).join(local, "planet", "left").join(found, "planet", "left")
+    here = F.col("planet_name").isNotNull()
+    return j.select(
+        "planet", "archive_name", F.coalesce("planet_name", "_t").alias("planet_name"), *(F.when(here, F.nanvl(F.col(f), F.lit(None).cast("double"))).otherwise(F.col(f"_{f}")).alias(f) for f in fields),
+        F.when(here, "archive").when(F.col("_t").isNotNull(), "catalog").alias("origin"),
+    )
 
 
 def _check(detected: Column, known: Column, tolerance: float) -> Column:
@@ -55,7 +108,7 @@ def check_detections(found: DataFrame, known: DataFrame, tolerances: dict[str, f
 
     A depth below 1 is a fraction and is compared in parts per million. Zero or missing values fail. The period alone decides.
     """
-    d = found.join(F.broadcast(known.select("target", "known_period_days", "known_depth_ppm", "known_duration_hours")), "target", "left")
+    d = found.join(broadcast_if_small(known.select("target", "known_period_days", "known_depth_ppm", "known_duration_hours")), "target", "left")
     depth = F.when(F.col("depth") < 1, F.col("depth") * 1e6).otherwise(F.col("depth"))
     out = d.select("target", _check(F.col("period"), F.col("known_period_days"), tolerances["period"]).alias("period"), _check(depth, F.col("known_depth_ppm"), tolerances["depth"]).alias("depth"), _check(F.col("duration_hours"), F.col("known_duration_hours"), tolerances["duration"]).alias("duration"))
     return out.withColumn("overall_pass", F.col("period.pass"))
@@ -67,7 +120,7 @@ def benchmark_table(curves: DataFrame, known: DataFrame, detect: Callable[[DataF
     detect turns light curves into detections(target_id, period, depth, duration_hours[, confidence]).
     """
     wanted = known.select("target")
-    found = detect(curves.join(F.broadcast(wanted), F.col("target_id") == F.col("target"), "left_semi")).withColumnRenamed("target_id", "target")
+    found = detect(curves.join(broadcast_if_small(wanted), F.col("target_id") == F.col("target"), "left_semi")).withColumnRenamed("target_id", "target")
     confidence = F.col("confidence") if "confidence" in found.columns else F.lit(None).cast("double")
     checked = check_detections(found, known).join(found.select("target", confidence.alias("confidence")), "target")
     flat = checked.select(
@@ -78,25 +131,30 @@ def benchmark_table(curves: DataFrame, known: DataFrame, detect: Callable[[DataF
     return flat.unionByName(absent, allowMissingColumns=True)
 
 
+def comparison_table(checked: DataFrame) -> DataFrame:
+    """(target, parameter, unit, detected, known, error_pct, status) of check_detections' rows: a row for each of period, depth and duration."""
+    parts = F.array(*(F.struct(F.lit(p).alias("parameter"), F.lit(u).alias("unit"), F.col(f"{p}.detected").alias("detected"), F.col(f"{p}.known").alias("known"), (100 * F.col(f"{p}.relative_error")).alias("error_pct"), F.when(F.col(f"{p}.pass"), "pass").otherwise("fail").alias("status")) for p, u in (("period", "d"), ("depth", "ppm"), ("duration", "h"))))
+    return checked.select("target", F.explode(parts).alias("x")).select("target", "x.*")
+
+
 def benchmark_report(table: DataFrame) -> str:
-    """The benchmark as text, for tables of catalog size."""
+    """The benchmark as a text table, for tables of catalog size: a line a target, detected values with their errors."""
     rows = table.orderBy("target").collect()
     passed = sum(r["overall_pass"] for r in rows)
-    share = f" ({100 * passed / len(rows):.0f}%)" if rows else ""
-    lines = ["=" * 70, "  Transit detection benchmark", "=" * 70, "", f"  Targets tested: {len(rows)}", f"  Passed:         {passed}/{len(rows)}{share}", ""]
-    mark = {True: "ok", False: "off"}
-    for r in rows:
-        lines.append(f"  {r['target']}: {'PASS' if r['overall_pass'] else 'FAIL'}")
-        if r["error"] if "error" in r else None:
-            lines += [f"    Error: {r['error']}"]
-            continue
-        for name, unit, a, b, form in (("period", "days", "detected_period", "known_period", ".4f"), ("depth", "ppm", "detected_depth_ppm", "known_depth_ppm", ".1f"), ("duration", "hrs", "detected_duration", "known_duration", ".2f")):
-            if r[a] is not None and r[b] is not None:
-                lines.append(f"    {name.capitalize() + ':':<10}{r[a]:{form}} {unit} (known: {r[b]:{form}}) [error: {100 * r[f'{name}_error']:.2f}%] {mark[r[f'{name}_pass']]}")
-        if r["confidence"] is not None:
-            lines.append(f"    Confidence: {r['confidence']:.2%}")
-        lines.append("")
-    return "\n".join([*lines, "=" * 70])
+    head = ["target", "result", "period d", "depth ppm", "duration h", "confidence"]
+
+    def cells(r) -> list[str]:
+        d = r.asDict()
+        if d.get("error"):
+            return [r["target"], d["error"], "-", "-", "-", "-"]
+        value = lambda a, e, form: "-" if d[a] is None else f"{d[a]:{form}}" + ("" if d[e] is None else f" ({100 * d[e]:.2f} % off)")
+        sure = "-" if d["confidence"] is None else f"{d['confidence']:.3f}"
+        return [r["target"], "pass" if d["overall_pass"] else "fail", value("detected_period", "period_error", ".4f"), value("detected_depth_ppm", "depth_error", ".1f"), value("detected_duration", "duration_error", ".2f"), sure]
+
+    body = [head, *map(cells, rows)]
+    width = [max(len(line[i]) for line in body) for i in range(len(head))]
+    lines = ["  ".join(c.ljust(w) for c, w in zip(line, width, strict=True)).rstrip() for line in body]
+    return "\n".join([*lines, f"{passed} of {len(rows)} targets pass"])
 
 
 def confidence_tier(probability: Column, threshold: float = CONFIDENCE, high: float = HIGH_CONFIDENCE) -> Column:

@@ -13,17 +13,28 @@ METHODS = ("polynomial", "savgol", "running_median")
 FLAT = 1e-10
 
 
-def polynomial_trend(index: np.ndarray, flux: np.ndarray, degree: int) -> np.ndarray:
-    """A least-squares polynomial over the sample index; a constant where finite samples are too few for it."""
-    good = np.isfinite(flux)
-    if good.sum() <= degree:
-        return np.full(len(flux), np.median(flux[good]) if good.any() else 1.0)
-    scale = max(index.max(), 1.0)  # a scaled index keeps the normal equations well conditioned
-    return np.polynomial.polynomial.Polynomial.fit(index[good] / scale, flux[good], degree)(index / scale)
+def _polynomial_trend(lc: DataFrame, degree: int) -> DataFrame:
+    """trend: a least-squares polynomial over the sample index; a constant where finite samples are too few for it.
+
+    Orthogonal polynomials by Forsythe's recurrence, from window sums of the curve, so every degree stays in the plan and
+    nothing is shuffled again.
+    """
+    own, fin, y = by_target(), finite("flux"), over_finite("flux")
+    total = lambda c: F.sum(F.when(fin, c)).over(own)
+    d = lc.withColumns({"_x": F.col("seq") / F.greatest(F.max("seq").over(own), F.lit(1)), "_n": F.count(y).over(own), "_m": F.median(y).over(own), "_p0": F.lit(1.0)})
+    trend = F.lit(0.0)
+    for k in range(degree + 1):
+        p = F.col(f"_p{k}")
+        d = d.withColumns({f"_q{k}": total(p * p), f"_y{k}": total(y * p), f"_a{k}": total(F.col("_x") * p * p)})
+        trend = trend + F.try_divide(f"_y{k}", f"_q{k}") * p
+        if k < degree:
+            back = F.try_divide(f"_q{k}", f"_q{k - 1}") * F.col(f"_p{k - 1}") if k else F.lit(0.0)
+            d = d.withColumn(f"_p{k + 1}", (F.col("_x") - F.try_divide(f"_a{k}", f"_q{k}")) * p - back)
+    return d.withColumn("trend", F.when(F.col("_n") > degree, trend).otherwise(F.coalesce("_m", F.lit(1.0)))).select(*lc.columns, "trend")
 
 
 def savgol_window(n: int, window: int, polyorder: int) -> int:
-    """The window length that is used for n samples: odd, at most n, above polyorder."""
+    """The window length that is used for n samples: odd, at most n, above polyorder. Fixed rules: results depend on them."""
     window += window % 2 == 0
     if window > n:
         window = n if n % 2 else n - 1
@@ -32,6 +43,13 @@ def savgol_window(n: int, window: int, polyorder: int) -> int:
     return window
 
 
+def savgol_weights(window: int, polyorder: int) -> np.ndarray:
+    """Row i: the weights of a window's samples in the value fitted at place i."""
+    x = np.arange(window) - (window - 1) / 2
+    basis = np.vander(x / max(window // 2, 1), min(polyorder, window - 1) + 1, increasing=True)
+    return basis @ np.linalg.pinv(basis)
+
+
 def savgol_trend(flux: np.ndarray, window: int, polyorder: int) -> np.ndarray:
     """Smoothing by local least squares; the ends take the polynomials of the first and last window."""
     n = len(flux)
@@ -39,10 +57,7 @@ def savgol_trend(flux: np.ndarray, window: int, polyorder: int) -> np.ndarray:
     window = savgol_window(n, window, polyorder)
     if window > n or window < 1:
         return np.full(n, np.median(filled) if n else 1.0)
-    half = window // 2
-    x = np.arange(window) - (window - 1) / 2
-    basis = np.vander(x / max(half, 1), min(polyorder, window - 1) + 1, increasing=True)
-    hat = basis @ np.linalg.pinv(basis)  # rows: the fitted value at each place of a window
+    half, hat = window // 2, savgol_weights(window, polyorder)
     out = np.convolve(filled, hat[half][::-1], "same") if window > 1 else filled.copy()
     out[:half] = (hat @ filled[:window])[:half]
     if window - half - 1:
@@ -58,14 +73,6 @@ def _per_curve(lc: DataFrame, trend) -> DataFrame:
     return lc.groupBy(KEY).applyInPandas(one, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in lc.schema.fields)}, trend double")
 
 
-def _linear_trend(lc: DataFrame) -> DataFrame:
-    x, y = F.col("seq").cast("double"), over_finite("flux")
-    have = F.when(finite("flux"), x)
-    n = F.count(y).over(by_target())
-    d = lc.withColumns({"_a": F.regr_intercept(y, have).over(by_target()), "_b": F.regr_slope(y, have).over(by_target()), "_m": F.median(y).over(by_target()), "_n": n})
-    return d.withColumn("trend", F.when(F.col("_n") > 1, F.col("_a") + F.col("_b") * x).otherwise(F.coalesce("_m", F.lit(1.0)))).drop("_a", "_b", "_m", "_n")
-
-
 def running_median_trend(lc: DataFrame, window: int) -> DataFrame:
     """trend: the median of window samples about each; beyond the ends the first and last sample repeat, missing ones are the curve's median.
 
@@ -98,9 +105,7 @@ def add_trend(lc: DataFrame, method: str = "savgol", polynomial_degree: int = 3,
         return running_median_trend(lc, running_median_window)
     if method == "savgol":
         return _per_curve(lc, lambda f: savgol_trend(f, savgol_window, savgol_polyorder))
-    if polynomial_degree == 1:
-        return _linear_trend(lc)
-    return _per_curve(lc, lambda f: polynomial_trend(np.arange(len(f), dtype=float), f, polynomial_degree))
+    return _polynomial_trend(lc, polynomial_degree)
 
 
 def detrend(lc: DataFrame, method: str = "savgol", mode: str = "divide", **settings: int) -> DataFrame:

@@ -53,56 +53,49 @@ def fill_missing(lc: DataFrame, strategy: str = "linear") -> DataFrame:
 
 
 def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A cubic spline with not-a-knot ends through (x, y), x strictly increasing with four points or more."""
+    """A cubic spline with not-a-knot ends through (x, y), x strictly increasing with four points or more.
+
+    The second derivatives solve a tridiagonal system: the third derivative goes on through the second and the last but one
+    knot, which gives the outermost two from the others, so memory and time grow with the points.
+    """
     n = len(x)
     h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    a = np.zeros((n, n))
-    rhs = np.zeros(n)
-    i = np.arange(1, n - 1)
-    a[i, i - 1], a[i, i], a[i, i + 1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
-    rhs[1:-1] = 6 * np.diff(slope)
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]  # the third derivative goes on through the second and the last but one knot
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = _solve_banded(a) if n > 400 else None
-    m = np.linalg.solve(a, rhs) if m is None else m(rhs)
+    low, mid, up, rhs = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 6 * np.diff(slope)
+    # m[0] = (1 + a) m[1] - a m[2] with a = h[0] / h[1], and alike at the other end
+    a, z = h[0] / h[1], h[-1] / h[-2]
+    mid[0] += h[0] * (1 + a)
+    up[0] -= h[0] * a
+    mid[-1] += h[-1] * (1 + z)
+    low[-1] -= h[-1] * z
+    inner = _tridiagonal(low, mid, up, rhs)
+    m = np.concatenate(([(1 + a) * inner[0] - a * inner[1]], inner, [(1 + z) * inner[-1] - z * inner[-2]]))
     k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
     left, right = at - x[k], x[k + 1] - at
     return (m[k] * right**3 + m[k + 1] * left**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * right + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * left
 
 
-def _solve_banded(a: np.ndarray):
-    """Elimination within two diagonals each side, for long curves."""
-    low = [np.diag(a, -k).copy() for k in (1, 2)]
-    mid = np.diag(a).copy()
-    up = [np.diag(a, k).copy() for k in (1, 2)]
-
-    def solve(rhs: np.ndarray) -> np.ndarray:
-        n, r = len(mid), rhs.copy()
-        lo1, lo2, d, u1, u2 = low[0].copy(), low[1].copy(), mid.copy(), up[0].copy(), up[1].copy()
-        for i in range(n - 1):
-            for lower, k in ((lo1, 1), (lo2, 2)):
-                j = i + k
-                if j < n and lower[i]:
-                    f = lower[i] / d[i]
-                    r[j] -= f * r[i]
-                    if k == 1:
-                        d[j] -= f * u1[i]
-                        if i + 2 < n:
-                            u1[j] -= f * u2[i]
-                    else:
-                        lo1[i + 1] -= f * u1[i]
-                        d[j] -= f * u2[i]
-        out = np.zeros(n)
-        for i in range(n - 1, -1, -1):
-            s = r[i]
-            if i + 1 < n:
-                s -= u1[i] * out[i + 1]
-            if i + 2 < n:
-                s -= u2[i] * out[i + 2]
-            out[i] = s / d[i]
-        return out
-
-    return solve
+def _tridiagonal(low: np.ndarray, mid: np.ndarray, up: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """The solution of low[i] u[i-1] + mid[i] u[i] + up[i] u[i+1] = rhs[i], by cyclic reduction: every round halves the unknowns with whole-array steps."""
+    n = len(mid)
+    if n == 1:
+        return rhs / mid
+    low, up = low.copy(), up.copy()
+    low[0] = up[-1] = 0
+    odd = np.arange(1, n, 2)
+    last = odd + 1 < n  # an odd place that has a right-hand neighbour
+    f = low[odd] / mid[odd - 1]
+    g = np.zeros(len(odd))
+    g[last] = up[odd[last]] / mid[odd[last] + 1]
+    right = np.minimum(odd + 1, n - 1)
+    u = _tridiagonal(-f * low[odd - 1], mid[odd] - f * up[odd - 1] - g * low[right] * last, -g * up[right] * last, rhs[odd] - f * rhs[odd - 1] - g * rhs[right] * last)
+    out = np.empty(n)
+    out[odd] = u
+    even = np.arange(0, n, 2)
+    before, after = np.where(even > 0, out[np.maximum(even - 1, 0)], 0) if n > 1 else 0, np.zeros(len(even))
+    has = even + 1 < n
+    after[has] = out[even[has] + 1]
+    out[even] = (rhs[even] - low[even] * before - up[even] * after) / mid[even]
+    return out
 
 
 def _fill_cubic(lc: DataFrame) -> DataFrame:

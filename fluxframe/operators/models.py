@@ -7,11 +7,12 @@ autoencoder of that width; the classifier is a logistic regression or a multilay
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLASS_WEIGHTS = {0: 1.0, 1: 5.0}
@@ -48,6 +49,16 @@ class Denoiser:
         back = F.transform("_pc", lambda r: F.aggregate(F.zip_with(r, F.col("_z"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b))
         return z.crossJoin(F.broadcast(parts)).withColumn(out, back).drop("_v", "_z", "_pc")
 
+    def denoise(self, spark: SparkSession, curves: np.ndarray) -> np.ndarray:
+        """Windows as an array of one window, of windows, or of windows with one channel; the result has the same shape. For what fits the driver."""
+        shape = np.shape(curves)
+        if len(shape) not in (1, 2, 3) or (len(shape) == 3 and shape[2] != 1):
+            raise ValueError(f"windows of shape {shape}; give (n,), (windows, n) or (windows, n, 1)")
+        rows = np.reshape(np.asarray(curves, float), (1, -1) if len(shape) == 1 else (shape[0], -1))
+        d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "i int, noisy array<double>")
+        got = {r["i"]: r["denoised"] for r in self.transform(d).select("i", "denoised").collect()}
+        return np.array([got[i] for i in range(len(rows))]).reshape(shape)
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
@@ -69,12 +80,13 @@ def window_features(samples: DataFrame, col: str = "noisy", parts: int = 16) ->
 
 
 def train_classifier(samples: DataFrame, kind: str = "logistic", weights: dict[int, float] = CLASS_WEIGHTS, seed: int = 42, iterations: int = 50) -> PipelineModel:
-    """A classifier of samples(features, label). Class weights apply to the logistic kind."""
+    """A classifier of samples(features, label). Class weights weigh a row's loss; the perceptron, which takes no weights, gets rows repeated by whole weights."""
     d = samples.withColumns({"_f": array_to_vector("features"), "_w": F.when(F.col("label") == 1, weights[1]).otherwise(weights[0])})
     scaler = StandardScaler(inputCol="_f", outputCol="_x", withMean=True)
     if kind == "logistic":
         stage = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_w", maxIter=iterations, regParam=1e-3)
     elif kind == "perceptron":
+        d = d.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.greatest(F.round("_w"), F.lit(1)).cast("int")))).drop("_again")
         width = len(samples.select("features").first()[0])
         stage = MultilayerPerceptronClassifier(featuresCol="_x", labelCol="label", layers=[width, 16, 2], maxIter=iterations, seed=seed)
     else:

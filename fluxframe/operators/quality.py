@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import by_seq, by_target, by_time, INFINITY, KEY, MAD_TO_SIGMA, count_where, finite, over_finite, where
@@ -14,12 +14,41 @@ def targets_of(lc: DataFrame) -> DataFrame:
     return lc.select(KEY).distinct()
 
 
+def stepped(lc: DataFrame) -> DataFrame:
+    """lc with _d, the step from the finite flux before in array order, _s, that from the finite time before in time order, and their typical sizes _m and _c.
+
+    All windows are of the target alone, so they and any group by target share one exchange; what a caller does not use
+    is pruned from the plan.
+    """
+    flux, time = over_finite("flux"), over_finite("time")
+    before = lambda c, by: F.last(c, True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    d = lc.withColumns({"_d": flux - before(flux, by_seq()), "_s": time - before(time, by_time())})
+    return d.withColumns({"_m": F.median("_d").over(by_target()), "_c": F.median(where(F.col("_s") > 0, "_s")).over(by_target())})
+
+
+def noise_of() -> Column:
+    """Over a group of stepped rows: the scaled median absolute deviation of steps; 0 for under two finite fluxes."""
+    return F.coalesce(F.median(F.abs(F.col("_d") - F.col("_m"))) * (MAD_TO_SIGMA / 2**0.5), F.lit(0.0))
+
+
+def cadence_of() -> Column:
+    return F.coalesce(F.first("_c"), F.lit(0.0))
+
+
+def gaps_of(factor: float = GAP_FACTOR) -> Column:
+    return count_where((F.col("_c") > 0) & (F.col("_s") > factor * F.col("_c")))
+
+
+def _for(targets: DataFrame | None, found: DataFrame, **default: float | int) -> DataFrame:
+    """found, or a row for every target where they are given, with the defaults where it has none."""
+    if targets is None:
+        return found
+    return targets.select(KEY).join(found, KEY, "left").fillna(default)
+
+
 def noise_estimate(lc: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(target_id, noise): the scaled median absolute deviation of steps between finite fluxes in array order; 0 for under two."""
-    steps = lc.filter(finite("flux")).withColumn("_d", F.col("flux") - F.lag("flux").over(by_seq())).filter("_d is not null")
-    centred = steps.withColumn("_m", F.median("_d").over(by_target()))
-    noise = centred.groupBy(KEY).agg((F.median(F.abs(F.col("_d") - F.col("_m"))) * (MAD_TO_SIGMA / 2**0.5)).alias("noise"))
-    return (targets if targets is not None else targets_of(lc)).join(noise, KEY, "left").select(KEY, F.coalesce("noise", F.lit(0.0)).alias("noise"))
+    return _for(targets, stepped(lc).groupBy(KEY).agg(noise_of().alias("noise")), noise=0.0)
 
 
 def cadence_and_gaps(lc: DataFrame, targets: DataFrame | None = None, factor: float = GAP_FACTOR) -> DataFrame:
@@ -27,17 +56,13 @@ def cadence_and_gaps(lc: DataFrame, targets: DataFrame | None = None, factor: fl
 
     The cadence is the median of positive spacings, 0 without one; a gap is a spacing above factor cadences.
     """
-    timed = lc.filter(finite("time")).withColumn("_s", F.col("time") - F.lag("time").over(by_time()))
-    timed = timed.withColumn("_c", F.median(where(F.col("_s") > 0, "_s")).over(by_target()))
-    found = timed.groupBy(KEY).agg(F.coalesce(F.first("_c"), F.lit(0.0)).alias("median_cadence"), count_where((F.col("_c") > 0) & (F.col("_s") > factor * F.col("_c"))).alias("gap_count"), F.count(F.lit(1)).alias("n_finite_times"))
-    base = (targets if targets is not None else targets_of(lc)).join(found, KEY, "left")
-    return base.select(KEY, F.coalesce("median_cadence", F.lit(0.0)).alias("median_cadence"), F.coalesce("gap_count", F.lit(0)).alias("gap_count"), F.coalesce("n_finite_times", F.lit(0)).alias("n_finite_times"))
+    found = stepped(lc).groupBy(KEY).agg(cadence_of().alias("median_cadence"), gaps_of(factor).alias("gap_count"), F.count(over_finite("time")).alias("n_finite_times"))
+    return _for(targets, found, median_cadence=0.0, gap_count=0, n_finite_times=0)
 
 
 def duplicate_timestamps(lc: DataFrame) -> DataFrame:
     """(target_id, n_duplicates): finite times beyond the first of each value."""
-    t = over_finite("time")
-    return lc.groupBy(KEY).agg((F.count(t) - F.count_distinct(t)).alias("n_duplicates"))
+    return stepped(lc).groupBy(KEY).agg(count_where(F.col("_s") == 0).alias("n_duplicates"))
 
 
 def missing_summary(lc: DataFrame) -> DataFrame:
@@ -63,31 +88,32 @@ def validation_report(lc: DataFrame, targets: DataFrame | None = None, mismatche
     targets, if given, names targets that may have no rows; such a one has n_observations 0, 100 % missing, and is
     invalid. mismatched(target_id, n_time, n_flux) names curves whose vectors differ in length; they are invalid.
     """
-    f = over_finite("flux")
-    known = targets if targets is not None else targets_of(lc)
-    stats = lc.groupBy(KEY).agg(
-        F.first("mission").alias("mission"), F.count("flux").alias("_n_flux"), F.count(f).alias("_n_finite"),
+    f, t = over_finite("flux"), over_finite("time")
+    out = stepped(lc).groupBy(KEY).agg(
+        F.first("mission").alias("mission"), F.count("flux").alias("_n_flux"), F.count(f).alias("_n_finite"), F.count(F.lit(1)).alias("n_observations"),
+        (100.0 * F.count_if(F.col("flux").isNull()) / F.count(F.lit(1))).alias("missing_value_pct"), count_where(F.abs("flux") == INFINITY).alias("n_infinite"), count_where(f < 0).alias("n_negative"),
+        F.min(t).alias("time_start"), F.max(t).alias("time_end"), (F.max(t) - F.min(t)).alias("duration_days"), F.count(t).alias("n_finite_times"), count_where(F.col("_s") == 0).alias("n_duplicates"),
+        cadence_of().alias("median_cadence"), gaps_of().alias("gap_count"), noise_of().alias("noise"),
         F.struct(F.avg(f).alias("mean"), F.median(f).alias("median"), F.stddev_pop(f).alias("std"), F.min(f).alias("min"), F.max(f).alias("max")).alias("flux_stats"),
     )
-    out = known
-    for part in (stats, missing_summary(lc), time_span(lc), duplicate_timestamps(lc), cadence_and_gaps(lc, known), noise_estimate(lc, known)):
-        out = out.join(part, KEY, "left")
+    out = _for(targets, out, n_finite_times=0, median_cadence=0.0, gap_count=0, noise=0.0)
     if mismatched is not None:
         out = out.join(mismatched, KEY, "left")
     else:
         out = out.withColumns({"n_time": F.lit(None).cast("bigint"), "n_flux": F.lit(None).cast("bigint")})
     out = out.fillna(0, ["n_observations", "n_infinite", "n_negative", "n_duplicates", "_n_flux", "_n_finite"]).fillna(100.0, ["missing_value_pct"]).fillna(0.0, ["duration_days"])
     some = F.col("n_observations") > 0
+    # fixed values: the texts of the warnings, in their order
     warnings = F.array(
         F.when(F.col("n_time").isNotNull(), _text("time and flux length mismatch: %d vs %d.", F.col("n_time"), F.col("n_flux"))),
         F.when(~some, "Light curve is empty."),
         F.when(some & (F.col("missing_value_pct") > 0), _text("%.2f%% of flux values are missing (NaN).", F.bround("missing_value_pct", 2))),
         F.when(some & (F.col("_n_flux") == 0), "All flux values are missing (NaN)."),
         F.when(F.col("n_infinite") > 0, _text("%d infinite flux value(s) found.", F.col("n_infinite"))),
-        F.when(F.col("n_negative") > 0, _text("%d negative flux value(s) found.", F.col("n_negative"))),
+        F.when(F.col("n_negative") > 0, _text("%d negative flux value(s) found (unexpected for raw, un-normalized flux).", F.col("n_negative"))),
         F.when(F.col("n_duplicates") > 0, _text("%d duplicate timestamp(s) found.", F.col("n_duplicates"))),
         F.when(some & (F.col("n_finite_times") == 0), "No finite timestamps available."),
-        F.when(some & (F.col("median_cadence") == 0), "Insufficient timestamps to estimate cadence."),
+        F.when(some & (F.col("n_finite_times") < 2), "Insufficient timestamps to estimate cadence."),
         F.when(F.col("gap_count") > 0, _text("%d large observation gap(s) (>10x median cadence) detected.", F.col("gap_count"))),
         F.when(some & (F.col("_n_finite") == 0), "No finite flux values available for statistics."),
     )

@@ -53,25 +53,40 @@ def synthetic_dataset(spark: SparkSession, n_samples: int = 5000, window_size: i
     return d.select("sample_id", F.zip_with("clean", "_noise", lambda a, b: a + b).alias("noisy"), "clean", "label")
 
 
-def stratified_split(samples: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "sample_id", label: str = "label") -> DataFrame:
+def stratified_split(samples: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "sample_id", label: str = "label", buckets: int = 256) -> DataFrame:
     """samples with is_test, true for the share test_size of each label, rounded; chosen by a hash of the key.
 
-    The cut is a rank within the label: labels are counted first, and only ids are ranked.
+    The cut is a rank within the label. Hashes are ranged into buckets: labels and buckets are counted first, whole buckets
+    below the cut are in and those above it out, and only the one bucket of each label that the cut falls into is ranked,
+    so no task orders a label.
     """
-    by = Window.partitionBy(label).orderBy(F.col("_u"), F.col(key))
-    ids = samples.select(key, label, uniform(seed, F.lit("split"), key).alias("_u"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    chosen = ids.select(key, (F.row_number().over(by) <= F.floor(test_size * n + 0.5)).alias("is_test"))
-    return samples.join(chosen, key)
+    u = uniform(seed, F.lit("split"), key)
+    ids = samples.select(key, F.col(label).alias("_l"), u.alias("_u"), F.floor(u * buckets).alias("_b"))
+    counts = ids.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_c"))  # a row for each label and bucket
+    by = Window.partitionBy("_l")
+    counts = counts.select("_l", "_b", (F.sum("_c").over(by.orderBy("_b")) - F.col("_c")).alias("_below"), F.col("_c"), F.floor(test_size * F.sum("_c").over(by) + 0.5).alias("_cut"))
+    split = counts.filter("_below < _cut and _below + _c > _cut").select(F.col("_l").alias("_sl"), F.col("_b").alias("_sb"), (F.col("_cut") - F.col("_below")).alias("_take"))
+    ranked = ids.join(split, F.col("_l").eqNullSafe(F.col("_sl")) & (F.col("_b") == F.col("_sb"))).select("_l", key, "_u", "_take")
+    at = F.row_number().over(by.orderBy("_u", key))
+    edge = ranked.withColumn("_at", at).filter("_at = _take").select(F.col("_l").alias("_el"), F.struct("_u", F.col(key).alias("k")).alias("_edge"))
+    limits = counts.groupBy("_l").agg(F.max(F.expr("case when _below + _c <= _cut then _b end")).alias("_full"))
+    limits = limits.join(edge, F.col("_l").eqNullSafe(F.col("_el")), "left").select("_l", "_full", "_edge")
+    j = samples.withColumn("_u", u).join(limits, F.col(label).eqNullSafe(F.col("_l")), "left")
+    chosen = F.coalesce(F.floor(F.col("_u") * buckets) <= F.col("_full"), F.lit(False)) | F.coalesce((F.struct("_u", F.col(key).alias("k")) <= F.col("_edge")), F.lit(False))
+    return j.withColumn("is_test", chosen).select(*samples.columns, "is_test")
 
 
 def demo_curves(spark: SparkSession, n_curves: int = 1, n_points: int = 2001, span: float = 50.0, period: float = 10.02, depth: float = 0.012, duration_frac: float = 0.03, noise: float = 0.002, outliers: int = 15, seed: int = 42) -> DataFrame:
-    """(target_id, mission, seq, time, flux, clean): curves with periodic cosine dips at phase 0.5, two slow waves, noise and outliers."""
+    """(target_id, mission, seq, time, flux, clean): curves with periodic cosine dips at phase 0.5, two slow waves, noise and so many outliers.
+
+    The numbers given as defaults are fixed values.
+    """
     d = spark.range(n_curves).select(F.concat(F.lit("demo-"), F.col("id")).alias("target_id")).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_points - 1).cast("bigint"))))
     d = d.withColumn("time", F.col("seq") * (span / (n_points - 1))).withColumn("_x", (F.pmod("time", F.lit(period)) / period - 0.5) / (duration_frac / 2))
     d = d.withColumn("clean", 1.0 - F.when(F.abs("_x") < 1, depth * 0.5 * (1 + F.cos(3.141592653589793 * F.col("_x")))).otherwise(0.0))
     waves = 0.003 * F.sin(TAU * F.col("time") / 25) + 0.002 * F.sin(TAU * F.col("time") / 7)
-    odd = F.when(uniform(seed, F.lit("outlier"), "target_id", "seq") < outliers / n_points, 0.01 * normal(seed, F.lit("size"), "target_id", "seq")).otherwise(0.0)
+    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("target_id").orderBy(uniform(seed, F.lit("outlier"), "target_id", "seq"), "seq")))
+    odd = F.when(F.col("_k") <= outliers, 0.01 * normal(seed, F.lit("size"), "target_id", "seq")).otherwise(0.0)
     return d.select("target_id", F.lit("demo").alias("mission"), "seq", "time", (F.col("clean") + noise * normal(seed, F.lit("noise"), "target_id", "seq") + waves + odd).alias("flux"), "clean")
 
 

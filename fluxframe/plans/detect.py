@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.bls import fast_periodogram, transit_features
+from ..functions.expr import KEY
+from ..operators.bls import DURATIONS, PERIODS, fast_periodogram, transit_features
+from ..operators.catalog import benchmark_table
+from ..operators.catalog import catalog as local_catalog
 from ..operators.metrics import all_metrics
 from ..operators.models import Denoiser, predict, train_classifier, window_features
 from ..operators.synth import stratified_split, synthetic_dataset
+from ..sources.archive import download_all
+from .config import Config
+from .preprocess import Preprocessing, Result
 
 
 @dataclass
@@ -38,3 +46,34 @@ def score_windows(trained: Trained, windows: DataFrame) -> DataFrame:
 def detect(lc: DataFrame, low: float, high: float, n: int, durations: tuple) -> DataFrame:
     """Detections of many curves over an even grid of periods."""
     return transit_features(lc, fast_periodogram(lc, low, high, n, durations))
+
+
+@dataclass
+class Run:
+    """What run makes: lazy tables, of one row a window, a detection, a catalog target and a failed download."""
+
+    prepared: Result
+    windows: DataFrame
+    detections: DataFrame
+    benchmark: DataFrame
+    failures: DataFrame
+
+
+def run(spark: SparkSession, trained: Trained, curves: DataFrame | None = None, fetch: Callable[[str], DataFrame] | None = None, targets: Iterable[str] = (), config: Config | None = None, known: DataFrame | None = None, periods: tuple[float, float, int] = PERIODS, durations: tuple = DURATIONS) -> Run:
+    """From curves, or downloads of targets by fetch, to the benchmark: preprocessing, denoised and scored windows, period search, comparison with the catalog.
+
+    Windows have to be of the length that trained was trained on. A curve's confidence is the greatest chance of a transit
+    among its windows. The search reads the preprocessed curves, so a detection's depth is relative to the median.
+    """
+    failures = spark.createDataFrame([], "target_id string, error string")
+    if curves is None:
+        if fetch is None:
+            raise ValueError("give curves, or fetch and targets")
+        curves, failures = download_all(spark, fetch, targets)
+    known = local_catalog(spark) if known is None else known
+    prepared = Preprocessing(config).run(curves, training=False)
+    windows = score_windows(trained, prepared.windows)
+    confidence = windows.groupBy(KEY).agg(F.max("y_prob").alias("confidence"))
+    detections = detect(prepared.final, *periods, durations).join(confidence, KEY, "left")
+    table = benchmark_table(curves, known, lambda lc: detections.join(lc.select(KEY).distinct(), KEY, "left_semi").select(KEY, "period", "depth", "duration_hours", "confidence"))
+    return Run(prepared, windows, detections, table, failures)

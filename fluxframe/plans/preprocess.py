@@ -32,6 +32,7 @@ log = logging.getLogger(__name__)
 STAGES = ("load_data", "validate", "handle_missing_values", "remove_outliers", "normalize", "detrend", "window_generation", "statistics", "augmentation", "save_output")
 
 
+# The names of a log entry's fields, which are written to reports.
 @dataclass
 class StageLog:
     stage_name: str

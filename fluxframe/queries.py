@@ -6,11 +6,13 @@ Numbers are rounded to ten places, moved off ties, and rounded to six, so that s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.expr import merged
 from .operators import augment, bls, catalog, detrend, metrics, missing, normalize, outliers, quality, statistics, synth, transit, windows
 from .plans.config import Config, Outliers, Windowing
 from .plans.preprocess import Preprocessing
@@ -116,7 +118,7 @@ a as (select target_id, count(*) as n, 100.0 * count(*) filter (where flux is nu
 f as (select target_id, avg(flux) as mean from fin group by target_id)
 select a.target_id, n as n_observations, {r('cadence')} as median_cadence, {r('noise')} as noise, {r('mean')} as mean_flux, concat_ws('|',
   case when pct > 0 then printf('%.2f%% of flux values are missing (NaN).', pct) end, case when inf > 0 then inf || ' infinite flux value(s) found.' end,
-  case when neg > 0 then neg || ' negative flux value(s) found.' end, case when dup > 0 then dup || ' duplicate timestamp(s) found.' end,
+  case when neg > 0 then neg || ' negative flux value(s) found (unexpected for raw, un-normalized flux).' end, case when dup > 0 then dup || ' duplicate timestamp(s) found.' end,
   case when gap_count > 0 then gap_count || ' large observation gap(s) (>10x median cadence) detected.' end) as warnings, true as is_valid
 from a join f on a.target_id = f.target_id join noise on a.target_id = noise.target_id join gaps on a.target_id = gaps.target_id""")
 def _(spark, sf):
@@ -209,14 +211,31 @@ def _(spark, sf):
     return _points(detrend.detrend(curves(spark, sf, False), "polynomial", polynomial_degree=1))
 
 
-@query("detrend_poly")
+def _poly_sql(degree: int) -> str:
+    """Orthogonal polynomials over the scaled index, one relation for each degree."""
+    out = ["o0 as (select target_id, seq, time, flux, seq / greatest(max(seq) over (partition by target_id), 1)::double as x, 1.0::double as p, 0.0::double as b, 0.0::double as trend, 1.0::double as qq from lc)"]
+    for k in range(degree + 1):
+        out.append(f"w{k} as (select *, sum(p * p) over (partition by target_id) as q, sum(flux * p) over (partition by target_id) as c, sum(x * p * p) over (partition by target_id) as a from o{k})")
+        back = "q / qq * b" if k else "0"
+        out.append(f"o{k + 1} as (select target_id, seq, time, flux, x, (x - a / q) * p - {back} as p, p as b, trend + c / q * p as trend, q as qq from w{k})")
+    return ", ".join(out)
+
+
+@query("detrend_poly", f"{_CLEAN}, {_poly_sql(3)} select target_id, cast(seq as bigint) as seq, {r('time')} as time, {r('flux / trend')} as flux from o4")
 def _(spark, sf):
     return _points(detrend.detrend(curves(spark, sf, False), "polynomial", polynomial_degree=3))
 
 
-@query("detrend_savgol")
+_SG = 11
+_SG_WEIGHTS = ", ".join(f"({i}, {j}, {w!r}::double)" for i, row in enumerate(detrend.savgol_weights(_SG, 3).tolist()) for j, w in enumerate(row))
+
+
+@query("detrend_savgol", f"""{_CLEAN}, h(i, j, w) as (values {_SG_WEIGHTS}), n as (select *, count(*) over (partition by target_id) as n from lc),
+s as (select *, greatest(least(seq - {_SG // 2}, n - {_SG}), 0) as base from n),
+t as (select s.target_id, s.seq, any_value(s.time) as time, any_value(s.flux) as flux, sum(w * b.flux) as trend from s join h on i = s.seq - base join lc b on b.target_id = s.target_id and b.seq = base + j group by s.target_id, s.seq)
+select target_id, cast(seq as bigint) as seq, {r('time')} as time, {r('flux / trend')} as flux from t""")
 def _(spark, sf):
-    return _points(detrend.detrend(curves(spark, sf, False), "savgol", savgol_window=11))
+    return _points(detrend.detrend(curves(spark, sf, False), "savgol", savgol_window=_SG))
 
 
 @query("detrend_running_median", f"""{_CLEAN}, n as (select target_id, count(*) as n from lc group by target_id),
@@ -311,16 +330,19 @@ def _(spark, sf):
 
 
 _BLS_GRID, _BLS_DURATIONS = (0.5, 10.0, 20), (0.2, 0.4)
-_BLS = f"""c as (select target_id, time - min(time) over (partition by target_id) as t, flux - median(flux) over (partition by target_id) as y, min(time) over (partition by target_id) as t_min from lc),
+_BLS = f"""c as (select target_id, time - min(time) over (partition by target_id) as t, flux - median(flux) over (partition by target_id) as y, min(time) over (partition by target_id) as t_min, var_pop(flux) over (partition by target_id) as v from lc),
 grid as (select cast(i as integer) as period_id, {_BLS_GRID[0]}::double + i * {(_BLS_GRID[1] - _BLS_GRID[0]) / (_BLS_GRID[2] - 1)!r}::double as period from range({_BLS_GRID[2]}) t(i)),
-b as (select target_id, period_id, period, cast(floor(fmod(t, period) / 0.1::double) as integer) as bin, sum(y) as s, count(*) as n, any_value(t_min) as t_min from c, grid group by 1, 2, 3, 4),
+z as (select target_id, any_value(t_min) as t_min, any_value(v) as v from c group by target_id),
+b0 as (select target_id, period_id, period, cast(floor(fmod(t, period) / 0.1::double) as integer) as bin, y as s, 1 as n, t_min, v from c, grid
+  union all select target_id, period_id, period, cast(unnest(range(cast(ceil(period / 0.1::double) as integer))) as integer), 0, 0, t_min, v from z, grid),
+b as (select target_id, period_id, period, bin, sum(s) as s, sum(n) as n, any_value(t_min) as t_min, any_value(v) as v from b0 group by 1, 2, 3, 4),
 b2 as (select *, sum(s) over (partition by target_id, period_id) as ss, sum(n) over (partition by target_id, period_id) as nn, cast(ceil(period / 0.1::double) as integer) as bb from b),
 u as (select *, bin as spot, 0 as again from b2 union all select *, bin + bb as spot, 1 as again from b2 where bin < 4),
 k as (select *, 2 as k, 0.2::double as duration, sum(s) over (partition by target_id, period_id order by spot range between current row and 1 following) as s_in, sum(n) over (partition by target_id, period_id order by spot range between current row and 1 following) as n_in from u
   union all select *, 4, 0.4::double, sum(s) over (partition by target_id, period_id order by spot range between current row and 3 following), sum(n) over (partition by target_id, period_id order by spot range between current row and 3 following) from u),
-g as (select *, (ss - s_in) / (nn - n_in) - s_in / n_in as gap from k where again = 0 and n_in < nn),
-p as (select *, round(case when gap > 0 then 0.5 * n_in * gap * gap else 0 end, 12) as power from g),
-o as (select target_id, period_id, period, power, duration, t_min + (bin + k / 2.0) * 0.1::double as t0, greatest(gap, 0) as depth, row_number() over (partition by target_id, period_id order by round(power, 6) desc, bin, k) as rn from p)"""
+g as (select *, (ss - s_in) / (nn - n_in) - s_in / n_in as gap from k where again = 0 and n_in > 0 and n_in < nn),
+p as (select *, case when gap > 0 then 0.5 * n_in * gap * gap else 0 end as power from g),
+o as (select target_id, period_id, period, power, v, duration, t_min + (bin + k / 2.0) * 0.1::double as t0, greatest(gap, 0) as depth, row_number() over (partition by target_id, period_id order by round(power / v, {bls.DIGITS}) desc, bin, k) as rn from p)"""
 _BLS_OUT = f"select target_id, period_id, {r('period')} as period, {r('power')} as power, {r('duration')} as duration, {r('t0')} as t0, {r('depth')} as depth"
 
 
@@ -337,14 +359,14 @@ def _(spark, sf):
     return _bls_out(_bls(spark, sf))
 
 
-@query("bls_best", f"{_CLEAN}, {_BLS}, best as (select *, row_number() over (partition by target_id order by round(power, 6) desc, period_id) as k from o where rn = 1) {_BLS_OUT} from best where k = 1")
+@query("bls_best", f"{_CLEAN}, {_BLS}, top as (select *, round(coalesce(power / nullif(max(power) over (partition by target_id), 0), 0), {bls.DIGITS}) as rel from o where rn = 1), best as (select *, row_number() over (partition by target_id order by rel desc, period_id) as k from top) {_BLS_OUT} from best where k = 1")
 def _(spark, sf):
     return _bls_out(bls.best_period(_bls(spark, sf)))
 
 
 @query("bls_fast", f"{_CLEAN}, {_BLS} {_BLS_OUT} from o where rn = 1")
 def _(spark, sf):
-    return _bls_out(bls.fast_periodogram(curves(spark, sf, False), *_BLS_GRID, _BLS_DURATIONS, chunk=10))
+    return _bls_out(bls.fast_periodogram(curves(spark, sf, False), *_BLS_GRID, _BLS_DURATIONS))
 
 
 @query("transit_features")
@@ -490,9 +512,12 @@ def _(spark, sf):
     return synth.stratified_split(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality"), key="doc_id", label="quality")
 
 
-@query("demo_curve")
+@query("demo_curve", f"""with d as (select 'demo-' || i as target_id, seq, seq * {50.0 / 500!r}::double as time from range(3) a(i), range(501) b(seq)),
+x as (select *, (fmod(time, 10.02::double) / 10.02::double - 0.5) / {0.03 / 2!r}::double as x, row_number() over (partition by target_id order by {_u(42, "'outlier'", 'target_id', 'seq')}, seq) as k from d),
+c as (select *, 1.0 - case when abs(x) < 1 then {0.012 * 0.5!r}::double * (1 + cos(3.141592653589793::double * x)) else 0 end as clean from x)
+select target_id, 'demo' as mission, cast(seq as bigint) as seq, {r('time')} as time, {r("clean + 0.002::double * " + _g(42, "'noise'", 'target_id', 'seq') + " + 0.003::double * sin(6.283185307179586::double * time / 25) + 0.002::double * sin(6.283185307179586::double * time / 7) + case when k <= 15 then 0.01::double * " + _g(42, "'size'", 'target_id', 'seq') + " else 0 end")} as flux, {r('clean')} as clean from c""")
 def _(spark, sf):
-    return synth.demo_curves(spark, 3, 501)
+    return synth.demo_curves(spark, 3, 501).select("target_id", "mission", "seq", q("time").alias("time"), q("flux").alias("flux"), q("clean").alias("clean"))
 
 
 _AN = "n as (select lc.*, count(*) over (partition by target_id) as n from lc)"
@@ -510,11 +535,38 @@ for _name, _sql in _AUG.items():
     query(f"aug_{_name}", f"{_CLEAN}, {_AN}, a as ({_sql}) {_POINTS} from a")(lambda spark, sf, n=_name: _points(augment.TECHNIQUES[n](curves(spark, sf, False))))
 
 
-@query("aug_all")
+def _all_sql() -> str:
+    """The techniques one after the other, each for the curves that draw it."""
+    out = ["m0 as (select target_id, seq, time, flux, n from n)"]
+    for i, (name, sql) in enumerate(_AUG.items()):
+        out.append(f"t{i} as ({re.sub(r'(?i)from n(?![a-z0-9_])', f'from m{i}', sql)})")
+        use = f"{_u(42, chr(39) + 'use ' + name + chr(39), 'm.target_id')} < {augment.DEFAULTS[name].probability}::double"
+        out.append(f"m{i + 1} as (select m.target_id, m.seq, m.time, case when {use} then t.flux else m.flux end as flux, m.n from m{i} m join t{i} t on m.target_id = t.target_id and m.seq = t.seq)")
+    return ", ".join(out)
+
+
+@query("aug_all", f"{_CLEAN}, {_AN}, {_all_sql()} {_POINTS} from m{len(_AUG)}")
 def _(spark, sf):
     return _points(augment.augment(curves(spark, sf, False)))
 
 
+@query("map_merge", """with m as (select event_id, map_concat(map {'event': event_id, 'user': user_id}, map {'user': user_id + 1, 'half': event_id // 2}) as m from events)
+select event_id, m['event'] as event, m['user'] as "user", m['half'] as half from m""")
+def _(spark, sf):
+    e, k = F.col("event_id"), F.lit
+    m = merged(F.create_map(k("event"), e, k("user"), F.col("user_id")), F.create_map(k("user"), F.col("user_id") + 1, k("half"), F.floor(e / 2)))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", m["event"].alias("event"), m["user"].alias("user"), m["half"].alias("half"))
+
+
+@query("comparison_table", f"""with {_CATALOG}, {_DETECTED},
+c as (select det.id, det.target, p, case when d < 1 then d * 1000000 else d end as d, h, period, depth, duration from det join cat on det.target = cat.target),
+x as (select id, target, 'period' as parameter, 'd' as unit, p as v, period as k, 0.01 as tol from c union all select id, target, 'depth', 'ppm', d, depth, 0.3 from c union all select id, target, 'duration', 'h', h, duration, 0.3 from c)
+select target, parameter, unit, count(*) as n, count(*) filter (where v <> 0 and abs(v - k) / k <= tol) as passed, {r('avg(case when v <> 0 then 100 * abs(v - k) / k end)')} as error_pct from x group by target, parameter, unit""")
+def _(spark, sf):
+    t = catalog.comparison_table(catalog.check_detections(_detections(spark, sf), catalog.catalog(spark)))
+    return t.groupBy("target", "parameter", "unit").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "pass").alias("passed"), q(F.avg("error_pct")).alias("error_pct"))
+
+
 @query("segment_stitch", f"""{_DIRTY}, g as (select *, seq // 20 as segment from lc where flux is not null and not isinf(flux)), m as (select target_id, segment, median(flux) as m from g group by target_id, segment)
 select g.target_id, cast(row_number() over (partition by g.target_id order by time, g.segment, seq) - 1 as bigint) as seq, {r('time')} as time, {r('flux / m')} as flux from g join m on g.target_id = m.target_id and g.segment = m.segment""")
 def _(spark, sf):

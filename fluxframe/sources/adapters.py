@@ -141,7 +141,8 @@ def parse_fits(content: bytes) -> tuple[np.ndarray, dict[str, str]]:
                 form = cards[f"TFORM{i}"].strip()
                 count = int("".join(ch for ch in form[: len(form) - len(form.lstrip("0123456789"))]) or 1)
                 code = form.lstrip("0123456789")[0]
-                fields[cards.get(f"TTYPE{i}", "").strip().upper()] = (code, offset, count)
+                scaling = tuple(float(cards[k].replace("D", "E")) if k in cards else None for k in (f"TSCAL{i}", f"TZERO{i}", f"TNULL{i}"))
+                fields[cards.get(f"TTYPE{i}", "").strip().upper()] = (code, offset, scaling)
                 offset += -(-count // 8) if code == "X" else int(sizes[code] * count)
             if "TIME" in fields:
                 name = next((n for n in FITS_FLUX if n in fields), None)
@@ -150,9 +151,12 @@ def parse_fits(content: bytes) -> tuple[np.ndarray, dict[str, str]]:
                 table = np.frombuffer(data, np.uint8, width * rows, at).reshape(rows, width)
                 out = []
                 for n in ("TIME", name):
-                    code, o, _ = fields[n]
+                    code, o, (scale, zero, null) = fields[n]
                     kind = np.dtype(kinds[code])
-                    out.append(np.ascontiguousarray(table[:, o : o + kind.itemsize]).view(kind)[:, 0].astype(np.float64))
+                    stored = np.ascontiguousarray(table[:, o : o + kind.itemsize]).view(kind)[:, 0]
+                    missing = stored == int(null) if null is not None and kind.kind in "iu" else np.zeros(rows, bool)
+                    value = stored.astype(np.float64) * (1.0 if scale is None else scale) + (zero or 0.0)
+                    out.append(np.where(missing, np.nan, value))
                 return np.stack(out, axis=1), meta | {"flux_column": name}
         at += -(-length // 2880) * 2880
     raise ValueError("no table with a TIME column")

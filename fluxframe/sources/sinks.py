@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 import json
+from itertools import groupby
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.windows import windows_to_arrays
 
 
-def write_curves(lc: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by target: one shuffle on the key, so a target is in few files."""
-    lc.repartition("target_id").sortWithinPartitions("target_id", "seq").write.mode(mode).partitionBy("target_id").parquet(path)
+def write_curves(lc: DataFrame, path: str, mode: str = "overwrite", buckets: int = 256) -> None:
+    """Parquet in folders by a hash of the target: one shuffle on the key, so a target is in one file, sorted, and a reader of some targets prunes folders by target_bucket and row groups by target_id.
 
+    A folder a target would be as many folders as targets; raise buckets with the data so that a folder holds a GB or so.
+    """
+    _bucketed(lc, buckets).sortWithinPartitions("target_bucket", "target_id", "seq").write.mode(mode).partitionBy("target_bucket").parquet(path)
 
-def write_windows(windows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    windows.write.mode(mode).partitionBy("target_id").parquet(path)
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn("target_bucket", target_bucket(F.col("target_id"), buckets)).repartition("target_bucket")
+
+
+def target_bucket(target: Column, buckets: int = 256) -> Column:
+    """The folder that write_curves and write_windows put a target in."""
+    return F.pmod(F.xxhash64(target), F.lit(buckets)).cast("int")
+
+
+def write_windows(windows: DataFrame, path: str, mode: str = "overwrite", buckets: int = 256) -> None:
+    """As write_curves."""
+    _bucketed(windows, buckets).sortWithinPartitions("target_bucket", "target_id", "idx").write.mode(mode).partitionBy("target_bucket").parquet(path)
 
 
 def write_json_lines(report: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -27,11 +41,11 @@ def write_json_lines(report: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def export_npy(lc: DataFrame, folder: str) -> None:
-    """A two-column .npy file per target, on the driver, curve by curve; for small sets."""
+    """A two-column .npy file per target in a folder of the driver: one job sorts the curves, and the driver holds one at a time."""
     Path(folder).mkdir(parents=True, exist_ok=True)
-    for (target,) in lc.select("target_id").distinct().collect():
-        pdf = lc.filter(F.col("target_id") == target).orderBy("seq").select("time", "flux").toPandas()
-        np.save(f"{folder}/{target}.npy", pdf.to_numpy(np.float64))
+    ordered = lc.select("target_id", "seq", "time", "flux").orderBy("target_id", "seq").toLocalIterator()
+    for target, rows in groupby(ordered, key=lambda r: r["target_id"]):
+        np.save(f"{folder}/{target}.npy", np.array([(r["time"], r["flux"]) for r in rows], np.float64))
 
 
 def _plain(x):
