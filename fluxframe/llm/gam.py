@@ -167,8 +167,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
-            x = [features(t) for t in _bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+            x = [features(t) for t in _bytes(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["key", "label", "x"])
 
 
 def _score(model: Model) -> Callable:
@@ -183,26 +183,37 @@ def _score(model: Model) -> Callable:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int = SAMPLE) -> DataFrame:
-    """(label, data): at most bound labelled rows that are not held out, by the hash of their id; texts as bytes.
+    """(key, label, data): the rows of at most bound labelled ids that are not held out, by the hash of the id; texts as bytes.
 
-    The sampled ids, of bounded number, are broadcast, so the documents are not shuffled.
+    The sampled ids, of bounded number, are broadcast, so the documents are not shuffled. key is the id as text; where rows
+    share one, the caller takes one of them by what it measures, so that never more than bound count.
     """
     chosen = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("double").alias("label")).filter("_lid is not null and label is not null")
     chosen = chosen.filter(~held_out("_lid")).groupBy("_lid").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_lid"), "_lid").limit(bound)
-    return docs.select(F.col(id_col).alias("_did"), F.col(text_col).cast("string").cast("binary").alias("data")).join(F.broadcast(cut(chosen)), F.col("_did") == F.col("_lid")).select("label", "data")
+    return docs.select(F.col(id_col).alias("_did"), F.col(text_col).cast("string").cast("binary").alias("data")).join(F.broadcast(cut(chosen)), F.col("_did") == F.col("_lid")).select(F.col("_lid").cast("string").alias("key"), "label", "data")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = SAMPLE) -> Model:
-    """Fitted on at most bound labelled rows; only their features and labels come to the driver."""
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col, bound).mapInArrow(_measure, "label double, x array<double>").limit(2 * bound).toArrow()
-    x = np.array(sample.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
+    """Fitted on at most bound labelled rows, which is documented as SAMPLE; only their features and labels come to the driver.
+
+    Of rows that share an id, and of labels that do, one counts: the least features, the greatest label. Null ids and labels
+    are passed over, a null or empty text has zero features, a very long one is measured whole. Without labelled rows, or
+    with one kind of label, the model is their mean. Columns other than those named are not looked at, whatever their names.
+    """
+    measured = labelled_sample(docs, labels, id_col, text_col, label_col, bound).mapInArrow(_measure, "key string, label double, x array<double>")
+    sample = measured.groupBy("key").agg(F.max("label").alias("label"), F.min("x").alias("x")).toArrow()
+    x = np.array(sample.column("x").combine_chunks().flatten(), float).reshape(-1, len(FEATURES))
     y = np.array(sample.column("label"), float)
     order = np.lexsort([*x.T, y])  # the same model whatever the order in which rows arrived
     return fit(x[order], y[order])
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, held_out, score, predicted) of every row; null, empty and blank texts are scored by their zero features."""
+    """(id_col, held_out, score, predicted) of every row; null, empty and blank texts are scored by their zero features.
+
+    A very long text is scored whole; repeated rows and ties get equal scores, and a score at the threshold is accepted. An
+    empty table gives an empty result, and columns other than id_col and text_col are not looked at, whatever their names.
+    """
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("_data"))
     kind = dict(rows.dtypes)[id_col]
     scored = rows.mapInArrow(_score(model), f"`{id_col}` {kind}, held_out boolean, score double")
@@ -210,7 +221,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the model accepts, in the columns they had."""
+    """The rows of docs that the model accepts, in the columns they had; texts are scored as classify scores them."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index(text_col)
 

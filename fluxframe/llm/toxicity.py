@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult, harm verb, target, negation, report, speaker, future, clause end, other. Small transducers
-read the symbols: one emits insults' weights, one recognises "speaker future harm target" as a threat, and three hold
-context, whether a target was named, a negation is near, or the clause reports speech. Their composition is one table of
-product states, so a clause is scored in one pass: a negated insult counts little, a reported one less, and one aimed at a
-target more. A text's score is a logistic function of what its clauses add up to.
+Words become symbols: insult, harm verb, target, negation, report, speaker, future, vow (speaker and future in one word),
+clause end, other. Small transducers read the symbols: one passes on insults' weights, the second of a row at half; one
+recognises threats, "speaker future harm target" or, as verbs come last in some languages, "speaker future target harm",
+with few words between and none that negates; three hold context, whether a target was named, a negation is near, or the
+clause reports speech, on either side of what is said. Their composition is one table of product states, so a clause is
+scored in one pass: a negated insult counts little, a reported clause less, and one aimed at a target more. A text's score
+is a logistic function of what its clauses add up to.
 
 The insult lexicon, of words and of stems, is learned from a bounded sample of labelled rows (SAMPLE): entries whose texts
 are nearly all toxic, chosen so that every toxic text is covered several times. Near copies in the sample count once.
@@ -14,8 +16,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from itertools import product
 from typing import NamedTuple
 
@@ -29,44 +32,65 @@ from .gam import labelled_sample
 from .minhash import minhash
 from .shingle import shingle_sets
 
-#: Labelled rows that are used for learning, at most; and candidates of the lexicon that the driver looks at.
-SAMPLE, CANDIDATES = 12_000, 5_000
+#: Labelled rows that are used for learning, at most. All that comes to the driver is of these.
+SAMPLE = 12_000
 STEMS = (4, 5, 6)
 COVER, PURITY = 3, 0.9
+#: Texts not yet covered that an entry has to add.
+LEAST_GAIN = 2
 THRESHOLD = 0.5
 
-OTHER, INSULT, HARM, TARGET, NEGATION, REPORT, SPEAKER, FUTURE, END = range(9)
+OTHER, INSULT, HARM, TARGET, NEGATION, REPORT, SPEAKER, FUTURE, VOW, END = range(10)
 #: Function words of the grammar, in four languages.
 WORDS = {
     HARM: "kill hurt beat destroy shoot stab töten schlagen umbringen tuer frapper détruire matar golpear destruir",
     TARGET: "you your yours yourself u du dich dir dein deine euch tu te toi ton ta vous votre tú ti usted ustedes tus",
-    NEGATION: "not no never isn aren wasn don doesn nicht kein keine nie pas jamais aucun nunca jamás tampoco",
+    NEGATION: "not no never isn aren wasn don doesn won wouldn couldn shouldn cannot nicht kein keine nie pas jamais aucun nunca jamás tampoco",
     REPORT: "said says saying claimed reported quoted wrote alleged sagte sagt behauptete berichtete dit disait affirme écrit dijo dice afirmó escribió",
     SPEAKER: "i we ich wir je nous yo nosotros",
-    FUTURE: "will shall gonna going ll werde werden vais allons voy vamos",
+    FUTURE: "will shall gonna going ll",
+    VOW: "werde werden vais allons voy vamos",
 }
 SYMBOLS = {word: symbol for symbol, words in WORDS.items() for word in words.split()}
-_TOKENS = re.compile(r"[^\W_]+|[.!?;\n]")
-NEAR = 3
-NEGATED, REPORTED, AIMED, THREAT = 0.35, 0.5, 1.4, 4.0
+#: Words, ends of clauses, and ends of quoted speech, which do not end the clause that reports it.
+_TOKENS = re.compile(r"[^\W_]+|[.!?]+[\"'”’»](?=\s*[^\W_])|[.!?;\n]")
+#: Words over which a negation reaches, and words that may stand between the parts of a threat.
+NEAR, GAP = 3, 3
+NEGATED, REPORTED, AIMED, THREAT, AGAIN = 0.35, 0.5, 1.4, 4.0, 0.5
 
 
 class Transducer(NamedTuple):
     """step(state, symbol) -> state. Clause ends return every transducer to its start."""
 
-    start: int
-    states: tuple[int, ...]
-    step: Callable[[int, int], int]
+    start: Hashable
+    states: tuple[Hashable, ...]
+    step: Callable[[Hashable, int], Hashable]
+
 
+#: Parts of a threat that were read, and words since the last one: stage 1 has a speaker, 2 a future, 3 harm and wants a
+#: target, 4 a target and wants harm, 5 is a threat.
+_THREATS = [(0, 0), *((stage, gap) for stage in range(1, 5) for gap in range(GAP + 1)), (5, 0)]
 
-def _threat_step(state: int, symbol: int) -> int:
-    if state == 4:
-        return 4
-    return state + 1 if symbol == (SPEAKER, FUTURE, HARM, TARGET)[state] else state
+
+def _threat_step(state: tuple[int, int], symbol: int) -> tuple[int, int]:
+    stage, gap = state
+    if stage == 5:
+        return state
+    if symbol == NEGATION:
+        return 0, 0
+    if symbol == VOW:
+        return 2, 0
+    if symbol == SPEAKER and stage < 3:
+        return 1, 0
+    onward = {(1, FUTURE): 2, (2, HARM): 3, (2, TARGET): 4, (3, TARGET): 5, (4, HARM): 5}.get((stage, symbol))
+    if onward:
+        return onward, 0
+    return (stage, gap + 1) if stage and gap < GAP else (0, 0)
 
 
 TRANSDUCERS = {
-    "threat": Transducer(0, (0, 1, 2, 3, 4), _threat_step),
+    "insult": Transducer(0, (0, 1), lambda s, x: int(x == INSULT)),
+    "threat": Transducer((0, 0), tuple(_THREATS), _threat_step),
     "target": Transducer(0, (0, 1), lambda s, x: 1 if x == TARGET else s),
     "negation": Transducer(0, tuple(range(NEAR + 1)), lambda s, x: NEAR if x == NEGATION else max(0, s - 1)),
     "report": Transducer(0, (0, 1), lambda s, x: 1 if x == REPORT else s),
@@ -91,9 +115,9 @@ def compose(parts: dict[str, Transducer] = TRANSDUCERS) -> Grammar:
     for s in states:
         at = dict(zip(parts, s, strict=True))
         table.append([start if x == END else number[tuple(t.step(k, x) for t, k in zip(parts.values(), s, strict=True))] for x in range(END + 1)])
-        calm = (NEGATED if at["negation"] else 1.0) * (REPORTED if at["report"] else 1.0)
-        factor.append(calm)
-        closing.append((THREAT * (REPORTED if at["report"] else 1.0) if at["threat"] == 4 else 0.0, AIMED if at["target"] else 1.0))
+        factor.append((NEGATED if at["negation"] else 1.0) * (AGAIN if at["insult"] else 1.0))
+        told = REPORTED if at["report"] else 1.0
+        closing.append((THREAT * told if at["threat"] == (5, 0) else 0.0, told * (AIMED if at["target"] else 1.0)))
     return Grammar(start, table, factor, closing)
 
 
@@ -113,8 +137,8 @@ class Lexicon:
         return found
 
     def _look(self, token: str) -> tuple[int, float]:
-        if token in ".!?;\n":
-            return END, 0.0
+        if not token[0].isalnum():
+            return (END if len(token) == 1 else OTHER), 0.0
         for name in (token, *(token[:k] + "*" for k in reversed(STEMS) if len(token) > k)):
             if name in self.weights:
                 return INSULT, self.weights[name]
@@ -164,9 +188,9 @@ def _strings(column: pa.Array) -> Iterator[str]:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in batches:  # uid, label, data, key
         sig = [minhash(s)[:8].astype(np.int64) if len(s) else np.zeros(8, np.int64) for s in shingle_sets(b.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tolist() for s in sig], pa.list_(pa.int64()))], ["uid", "label", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([s.tolist() for s in sig], pa.list_(pa.int64()))], ["uid", "label", "key", "sig"])
 
 
 def _counts(kept: set[int]) -> Callable:
@@ -199,38 +223,59 @@ def _holders(kept: set[int], names: set[str]) -> Callable:
     return run
 
 
-def _describe(weights: dict[str, float]) -> Callable:
+def _describe(weights: dict[str, float], chosen: set[int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, grammar = Lexicon(weights), compose()
         for b in batches:
+            b = b.filter(pa.array([uid in chosen for uid in b.column(0).to_pylist()], pa.bool_()))
             x = [_inputs(*clause_scores(t, lexicon, grammar)) for t in _strings(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["uid", "label", "x"])
 
     return run
 
 
+def support(n: int) -> int:
+    """Toxic texts that an entry has to be in, of n: 2 of few, one more for every tenfold from 20 on."""
+    return 2 + int(np.log10(1 + n / 20))
+
+
 def choose_entries(holders: dict[int, list[str]], counts: dict[str, tuple[int, int]], cover: int = COVER) -> dict[str, float]:
-    """Entries that cover every toxic text of holders cover times where they can, the most useful first, with their weights."""
-    texts: dict[str, set[int]] = {}
+    """Entries that cover every toxic text of holders cover times where they can, the most useful first, with their weights.
+
+    What an entry is good for only falls as others are chosen, so a heap of what it was good for when last looked at finds
+    the best ones without looking at all.
+    """
+    texts: dict[str, list[int]] = {}
     for uid, entries in holders.items():
         for e in entries:
-            texts.setdefault(e, set()).add(uid)
+            texts.setdefault(e, []).append(uid)
     missing = dict.fromkeys(holders, cover)
-    least = max(2, len(holders) // 200)
     chosen: dict[str, float] = {}
-    while texts:
-        gains = {e: sum(missing[u] > 0 for u in held) for e, held in texts.items()}
-        top = max(gains.values())
-        if top < least:
+    heap = [(-len(held), e) for e, held in texts.items()]
+    heapify(heap)
+
+    def covered(e: str) -> bool:
+        """A chosen stem has e's words among its own, or e's stem has a chosen one's."""
+        root = e.rstrip("*")
+        return any(root.startswith(c.rstrip("*")) if c.endswith("*") else c.startswith(root) and e.endswith("*") for c in chosen) or e in chosen
+
+    while heap:
+        ready: list[tuple[int, str]] = []  # entries with what they are good for now, all that may be near the best
+        while heap and (not ready or -heap[0][0] >= 0.97 * max(g for g, _ in ready)):
+            _, e = heappop(heap)
+            if not covered(e):
+                ready.append((sum(missing[u] > 0 for u in texts[e]), e))
+        if not ready or (top := max(g for g, _ in ready)) < LEAST_GAIN:
             break
         # a whole word is preferred to a stem that hardly does more
-        best = min((e for e, g in gains.items() if g >= 0.97 * top), key=lambda e: (e.endswith("*"), -gains[e], e))
+        best = min((x for x in ready if x[0] >= 0.97 * top), key=lambda x: (x[1].endswith("*"), -x[0], x[1]))[1]
+        for g, e in ready:
+            if e != best:
+                heappush(heap, (-g, e))
         pos, neg = counts[best]
         chosen[best] = float(np.clip(np.log((pos + 0.5) / (neg + 0.5)), 1, 6))
         for u in texts[best]:
             missing[u] -= 1
-        root = best.rstrip("*")
-        texts = {e: held for e, held in texts.items() if not (e.rstrip("*").startswith(root) if best.endswith("*") else root.startswith(e.rstrip("*"))) and e != best}
     return chosen
 
 
@@ -249,11 +294,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = SAMPLE) -> Model:
     """Learned from at most bound labelled rows that are not held out; the sample is written once and read by each step.
 
-    To the driver come, of the sampled rows alone, eight hashes each, counts of at most CANDIDATES entries, the entries of
-    the toxic texts among those, and five numbers a row.
+    Of rows that share an id one counts, the first by its hashes. To the driver come, of the sampled rows alone, eight hashes
+    each, the counts of pure entries, the entries of the toxic texts among those, and five numbers a row. Null ids and labels
+    are passed over; a null or empty text has no words, and a very long one is read whole. Without toxic rows the lexicon is
+    empty. Columns other than those named are not looked at, whatever their names.
     """
-    sample = cut(labelled_sample(docs, labels, id_col, text_col, label_col, bound).withColumn("uid", F.monotonically_increasing_id()).select("uid", "label", "data"))
-    prints = sample.mapInArrow(_prints, "uid bigint, label double, sig array<bigint>").limit(2 * bound).collect()
+    sample = cut(labelled_sample(docs, labels, id_col, text_col, label_col, bound).withColumn("uid", F.monotonically_increasing_id()).select("uid", "label", "data", "key"))
+    prints = sample.mapInArrow(_prints, "uid bigint, label double, key string, sig array<bigint>").groupBy("key").agg(F.min(F.struct("sig", "label", "uid")).alias("x")).select("x.*").collect()
+    chosen = {r["uid"] for r in prints}
     kept, toxic, seen = set(), set(), set()
     for r in sorted(prints, key=lambda r: (r["sig"], r["label"], r["uid"])):
         marks = {(i, v, r["label"]) for i, v in enumerate(r["sig"])}
@@ -264,13 +312,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         seen |= marks
     weights: dict[str, float] = {}
     if toxic:
-        least = 2 if len(toxic) < 200 else 4
         counted = sample.mapInArrow(_counts(kept), "entry string, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        pure = counted.filter((F.col("pos") >= least) & (F.col("pos") >= PURITY * (F.col("pos") + F.col("neg"))))
-        counts = {r["entry"]: (r["pos"], r["neg"]) for r in pure.orderBy(F.desc("pos"), "entry").limit(CANDIDATES).collect()}
-        held = sample.mapInArrow(_holders(toxic, set(counts)), "uid bigint, entries array<string>").limit(2 * bound).collect()
-        weights = choose_entries({r["uid"]: r["entries"] for r in held}, counts)
-    rows = sorted((tuple(r["x"]), r["label"]) for r in sample.mapInArrow(_describe(weights), "uid bigint, label double, x array<double>").limit(2 * bound).collect())
+        pure = counted.filter((F.col("pos") >= support(len(toxic))) & (F.col("pos") >= PURITY * (F.col("pos") + F.col("neg"))))
+        counts = {r["entry"]: (r["pos"], r["neg"]) for r in pure.collect()}
+        held = sample.mapInArrow(_holders(toxic, set(counts)), "uid bigint, entries array<string>").collect()
+        weights = choose_entries({r["uid"]: r["entries"] for r in sorted(held)}, counts)
+    rows = sorted((tuple(r["x"]), r["label"]) for r in sample.mapInArrow(_describe(weights, chosen), "uid bigint, label double, x array<double>").collect())
     if not rows:
         return Model(weights, np.array([-2.0, 0, 0, 0, 0]))
     x, y = np.array([r[0] for r in rows]), np.array([float(r[1] > 0) for r in rows])
@@ -293,7 +340,9 @@ def _score(model: Model) -> Callable:
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, held_out, score, n_clauses, predicted) of every row; n_clauses counts clauses that scored.
 
-    A null or empty text has no clause and gets the score of a text without matches.
+    A null or empty text has no clause and gets the score of a text without matches; a very long one is read whole, clause
+    by clause. Repeated rows and ties get equal scores, and a score at the threshold is toxic. An empty table gives an empty
+    result; columns other than id_col and text_col are not looked at, whatever their names.
     """
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("_text"))
     kind = dict(rows.dtypes)[id_col]

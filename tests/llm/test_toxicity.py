@@ -28,6 +28,12 @@ def test_grammar():
     assert total("not here at all, the idiot") == 2.0  # the negation is too far
     assert total("they said idiot") == pytest.approx(2.0 * tox.REPORTED)
     assert total("they said so. idiot") == 2.0  # another clause
+    assert total("'idiot', he said") == pytest.approx(2.0 * tox.REPORTED) and total("'You idiot!' he said. clowns") == pytest.approx(2.0 * tox.REPORTED * tox.AIMED + 1.0)
+    assert total("idiot clowns") == 2.5  # the second of a row counts half
+    assert total("I will not hurt you") == total("I will never hurt you, I promise") == total("I won't hurt you") == 0
+    assert total("I know we will see how it can hurt when you go") == 0
+    assert total("ich werde dich töten") == total("je vais te frapper") == total("I will really hurt you") == total("we are going to kill you") == tox.THREAT
+    assert total("he said I will hurt you") == total("I will hurt you, she said") == tox.THREAT * tox.REPORTED
     assert total("I will hurt you") == tox.THREAT and total("you will hurt. I") == 0
     assert total("") == 0 and total("plain words only") == 0
 
