@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if it is measured and has at most so many rows and bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Bytes of a batch of rows that goes to a Python worker.
+ARROW_BYTES = 8 << 20
 #: White space of the word contracts, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,13 +55,22 @@ def _row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if it is measured to be within both limits; else unchanged, so that Spark shuffles it.
+def is_small(df: DataFrame) -> bool:
+    """df is measured to be within both limits of a broadcast. It is counted for that, up to the limit, so it should be cheap or cut() before."""
+    n, held = df.select(_row_bytes(df).alias("b")).limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and held <= BROADCAST_BYTES
 
-    df is counted for that, up to the limit, so it should be cheap or cut() before.
-    """
-    n, held = df.select(_row_bytes(df).alias("b")).limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and held <= size else df
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is small; else unchanged, so that Spark shuffles it."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session is set to hand Python ARROW_BYTES at once at most: rows hold whole texts, so a number of rows bounds nothing."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df.sparkSession.conf.set(name, str(ARROW_BYTES))
+    return df
 
 
 def ascii_lower(col: Column | str) -> Column:

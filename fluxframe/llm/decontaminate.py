@@ -21,8 +21,10 @@ from .common import ascii_lower, cut, maybe_broadcast, text_or_empty
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARED, GRAM = 13, 8
 WINDOW = SHARED - GRAM + 1
-#: A fingerprint packs 38 bits of hash above 26 bits of place, so that one minimum finds both.
+#: A fingerprint packs 38 bits of hash above the low 26 bits of its place, so that one minimum finds both.
 PLACE = 26
+#: The same words before A-Z are lower-cased; counting them needs no copy of the text.
+_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(df: DataFrame, text_col: str, out: str = "words") -> DataFrame:
@@ -46,12 +48,15 @@ def fingerprints(worded: DataFrame, short: list[int], whole_only: bool) -> DataF
     d = worded.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
     d = d.withColumn("_g", F.expr(f"case when size(_h) >= {SHARED} then {_grams(GRAM)} else array() end"))
     pick = "least(" + ", ".join(f"_g[i + {j}]" for j in range(WINDOW)) + ")"
-    picked = f"case when size(_g) >= {WINDOW} then array_distinct(transform(sequence(0, size(_g) - {WINDOW}), i -> {pick})) else array() end"
-    unpack = lambda arr, k: f"transform({arr}, x -> named_struct('hash', shiftrightunsigned(x, {PLACE}) + shiftleft({k}L, {64 - PLACE}), 'place', cast({mask} - (x & {mask}) as int)))"
-    parts = [unpack(picked, 0)]
+    hashed = lambda x, k: f"shiftrightunsigned({x}, {PLACE}) + shiftleft({k}L, {64 - PLACE})"
+    windows = f"sequence(0, size(_g) - {WINDOW})"
+    short_text = f"transform(array_distinct(transform({windows}, i -> {pick})), x -> named_struct('hash', {hashed('x', 0)}, 'place', cast({mask} - (x & {mask}) as int)))"
+    # places above 26 bits: the window says where its smallest fingerprint is
+    long_text = f"array_distinct(transform({windows}, i -> named_struct('hash', {hashed(pick, 0)}, 'place', cast(i + pmod({mask} - ({pick} & {mask}) - i, {1 << PLACE}L) as int))))"
+    parts = [f"case when size(_g) < {WINDOW} then array() when size(_g) < {1 << PLACE} then {short_text} else {long_text} end"]
     for k in short:
         test = f"size(_h) = {k}" if whole_only else f"size(_h) >= {k}"
-        parts.append(f"case when {test} then {unpack(_grams(k), k)} else array() end")
+        parts.append(f"case when {test} then transform({_grams(k)}, (x, i) -> named_struct('hash', {hashed('x', k)}, 'place', i)) else array() end")
     return d.withColumn("_fp", F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0])).drop("_h", "_g")
 
 
@@ -60,13 +65,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A word is hit if it lies in a run of 13 words that some item has too, or in a whole item of fewer words. items holds
     the distinct ids, as text, of the items with such a run, sorted. contaminated: n_hit > 0 and 20 * n_hit >= n_words.
-    Null and empty texts have no words. Repeated rows get equal results; rows that share an id are told apart by their
-    text. Items without an id or without words are passed over. Empty tables on either side are fine.
+    Null and empty texts have no words; very long ones are read whole, with places beyond 26 bits told by their windows.
+    Repeated rows get equal results; rows that share an id are told apart by their text. Items without an id or without words
+    are passed over. Empty tables on either side are fine; other columns are not looked at, whatever their names.
     """
     items = cut(words_of(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("_t")), "_t").filter("item is not null and size(words) > 0"))
     short = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words") < SHARED).distinct().collect())  # 12 numbers at most
-    item_fp = cut(fingerprints(items, short, True).select("item", F.col("words").alias("item_words"), F.explode_outer("_fp").alias("f")).select(F.col("f.hash").alias("hash"), F.col("f.place").alias("item_place"), "item", "item_words").filter("hash is not null"))
-    n_fp = item_fp.count()
+    item_fp = cut(fingerprints(items, short, True).select("item", F.explode_outer("_fp").alias("f")).select(F.col("f.hash").alias("hash"), F.col("f.place").alias("item_place"), "item").filter("hash is not null"))
 
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
     # equal rows share a key, and so their hits
@@ -75,17 +80,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     doc_fp = fingerprints(worded, short, False).select("_key", "_key2", F.explode_outer("_fp").alias("f")).select("_key", "_key2", F.col("f.hash").alias("hash"), F.col("f.place").alias("place"))
     # explode_outer: from explode the optimizer infers a filter, and pushing it down would compute the arrays once per element
     # a fingerprint that very many documents have: the few rows of the benchmark side are broadcast, or Spark splits the hot partition
-    slim = maybe_broadcast(item_fp.select("hash", "item_place", "item"), n_fp)
+    slim = maybe_broadcast(item_fp.select("hash", "item_place", "item"))
     diagonals = cut(doc_fp.join(slim, "hash").select("_key", "_key2", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct())
 
     hit_keys = maybe_broadcast(diagonals.select("_key", "_key2").distinct())
     again = worded.join(hit_keys, ["_key", "_key2"], "left_semi").drop("_id").dropDuplicates(["_key", "_key2"])
-    # a document's diagonals meet its words in one row, and words are read by place: a text that repeats an item very often
-    # costs no more than its diagonals times the item
-    lined = diagonals.join(maybe_broadcast(items.withColumnRenamed("words", "item_words"), n_fp), "item")
-    lined = lined.groupBy("_key", "_key2").agg(F.collect_list(F.struct("item", "shift", "item_words")).alias("_d")).join(again, ["_key", "_key2"])
-    differ = "filter(sequence(0, size(d.item_words) - 1), i -> not coalesce(d.item_words[i] = get(words, i + d.shift), false))"
-    each = f"transform(_d, d -> named_struct('item', d.item, 'shift', d.shift, 'm', size(d.item_words), 'apart', concat(array(-1), {differ}, array(size(d.item_words)))))"
+    # a document's diagonals meet its words in one row, with the words of each item once, and words are read by place: a text
+    # that repeats an item very often costs no more than its diagonals times the item
+    by_item = diagonals.groupBy("_key", "_key2", "item").agg(F.collect_list("shift").alias("shifts")).join(maybe_broadcast(items.withColumnRenamed("words", "item_words")), "item")
+    lined = by_item.groupBy("_key", "_key2").agg(F.collect_list(F.struct("item", "item_words", "shifts")).alias("_d")).join(again, ["_key", "_key2"])
+    differ = "filter(sequence(0, size(d.item_words) - 1), i -> not coalesce(d.item_words[i] = get(words, i + s), false))"
+    each = f"flatten(transform(_d, d -> transform(d.shifts, s -> named_struct('item', d.item, 'shift', s, 'm', size(d.item_words), 'apart', concat(array(-1), {differ}, array(size(d.item_words)))))))"
     runs = lined.select("_key", "_key2", F.explode_outer(F.expr(each)).alias("_x")).select("_key", "_key2", "_x.item", "_x.shift", F.col("_x.apart").alias("_apart"), F.expr(f"least({SHARED}, _x.m)").alias("_need"))
     runs = runs.withColumn("_run", F.explode_outer(F.expr("filter(transform(_apart, (a, i) -> named_struct('a', a + 1, 'b', coalesce(get(_apart, i + 1), a + 1))), r -> r.b - r.a >= _need)"))).filter("_run is not null")
     # an item of fewer than 13 words is one window, so its run is its whole length
@@ -96,7 +101,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = spans.selectExpr("_key", "_key2", f"greatest(0, b - greatest(a, coalesce({seen}, a))) as n").groupBy("_key", "_key2").agg(F.sum("n").alias("n_hit"))
     found = runs.select("_key", "_key2", "item").distinct().groupBy("_key", "_key2").agg(F.array_sort(F.collect_list("item")).alias("items"))
     found = cut(hits.join(found, ["_key", "_key2"]))
-    out = worded.select("_id", "_key", "_key2", F.size("words").cast("bigint").alias("n_words")).join(maybe_broadcast(found), ["_key", "_key2"], "left")
+    n_words = F.regexp_count(text_or_empty("_t"), F.lit(_ANY_CASE)).cast("bigint").alias("n_words")
+    out = keyed.select("_id", "_key", "_key2", n_words).join(maybe_broadcast(found), ["_key", "_key2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     names = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"), names.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import cut, held_out, in_small_batches
 
 #: Labelled rows that are used for fitting, at most.
 SAMPLE = 30_000
@@ -190,7 +190,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """
     chosen = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("double").alias("label")).filter("_lid is not null and label is not null")
     chosen = chosen.filter(~held_out("_lid")).groupBy("_lid").agg(F.max("label").alias("label")).orderBy(F.xxhash64("_lid"), "_lid").limit(bound)
-    return docs.select(F.col(id_col).alias("_did"), F.col(text_col).cast("string").cast("binary").alias("data")).join(F.broadcast(cut(chosen)), F.col("_did") == F.col("_lid")).select(F.col("_lid").cast("string").alias("key"), "label", "data")
+    return in_small_batches(docs).select(F.col(id_col).alias("_did"), F.col(text_col).cast("string").cast("binary").alias("data")).join(F.broadcast(cut(chosen)), F.col("_did") == F.col("_lid")).select(F.col("_lid").cast("string").alias("key"), "label", "data")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = SAMPLE) -> Model:
@@ -214,7 +214,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     A very long text is scored whole; repeated rows and ties get equal scores, and a score at the threshold is accepted. An
     empty table gives an empty result, and columns other than id_col and text_col are not looked at, whatever their names.
     """
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("_data"))
+    rows = in_small_batches(docs).select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("_data"))
     kind = dict(rows.dtypes)[id_col]
     scored = rows.mapInArrow(_score(model), f"`{id_col}` {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -232,7 +232,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
                 x = np.array([features((t or "").encode()) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
                 yield batch.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:

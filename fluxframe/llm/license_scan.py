@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: Public notices by their identifiers; several texts may share one.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -235,7 +237,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have none. Repeated rows get equal results; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    rows = in_small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     kind = dict(rows.dtypes)[id_col]
     return rows.mapInArrow(_scan(templates, coverage), f"`{id_col}` {kind}, notices array<struct<start:bigint,end:bigint,license:string,coverage:double>>")
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, maybe_broadcast
+from .common import connected_components, cut, in_small_batches, maybe_broadcast
 from .shingle import mix, shingle_sets
 
 SAMPLES, ROWS, BITS = 128, 4, 256
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked: its component_id is null, and it is kept. An empty table gives an empty result; other columns of docs are not
     looked at, whatever their names. block and members bound what a task compares, in shingles and in sketches.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("data"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("data"))
     sig = cut(rows.mapInArrow(_signatures, SIGNATURE))
     usable = sig.filter("n_shingles > 0 and id is not null")
     keys = ["k1", "k2", "n_shingles"]

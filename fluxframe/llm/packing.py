@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
@@ -141,7 +143,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
     A null text is empty and has end_id alone. ids holds little-endian unsigned 32-bit ids.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_tokenize(path or tokenizer_path(), window, end_id), PIECES)
 
 

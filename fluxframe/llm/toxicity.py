@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import cut, held_out, in_small_batches
 from .gam import labelled_sample
 from .minhash import minhash
 from .shingle import shingle_sets
@@ -344,7 +344,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     by clause. Repeated rows and ties get equal scores, and a score at the threshold is toxic. An empty table gives an empty
     result; columns other than id_col and text_col are not looked at, whatever their names.
     """
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("_text"))
+    rows = in_small_batches(docs).select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("_text"))
     kind = dict(rows.dtypes)[id_col]
     scored = rows.mapInArrow(_score(model), f"`{id_col}` {kind}, held_out boolean, score double, n_clauses bigint")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

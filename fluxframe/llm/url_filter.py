@@ -69,9 +69,8 @@ def resolve_reference(base: Column, to: Column) -> Column:
     return let(let(F.struct(base.alias("base"), to.alias("to")), whole), clean)
 
 
-def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(src, dst): every page's URL and the absolute URLs that its canonical links and refreshes name."""
-    html = text_or_empty(html_col)
+def named_links(url: Column, html: Column) -> Column:
+    """array of the absolute URLs that a page's canonical links and refreshes name."""
     low = F.lower(html)
     every = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
     none = F.array().cast("array<string>")
@@ -79,9 +78,9 @@ def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     canonical = F.when(F.instr(low, "canonical") > 0, every(_CANONICAL)).otherwise(none)
     refresh = F.when(F.instr(low, "http-equiv") > 0, every(_REFRESH)).otherwise(none)
     base = F.when(F.instr(low, "<base") > 0, F.regexp_extract(html, _BASE, 1)).otherwise("")
-    named = pages.select(F.col(url_col).cast("string").alias("src"), base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("to")).filter("to <> '' and src is not null")
-    on = F.coalesce(resolve_reference(F.col("src"), F.col("base")), F.col("src"))
-    return named.select("src", resolve_reference(on, F.col("to")).alias("dst")).filter("dst is not null")
+    on = F.coalesce(resolve_reference(url, base), url)
+    found = let(on, lambda b: F.transform(F.filter(F.concat(canonical, refresh), lambda x: x != ""), lambda to: resolve_reference(b, to)))
+    return F.when((F.instr(low, "canonical") > 0) | (F.instr(low, "http-equiv") > 0), F.filter(found, lambda x: x.isNotNull())).otherwise(none)
 
 
 def alias_key(url: Column) -> Column:
@@ -115,22 +114,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = No
 
     rules(verdict, rule) as in RULES. links(src, dst) are redirects known from elsewhere; those that pages name are added.
     equivalent tells that aliases decided. A null URL, or one without ://, has an empty host and path and is allowed.
-    Repeated rows get equal verdicts. Null links are ignored. Empty tables are fine, and other columns are not looked at.
+    Very long pages are searched whole. Repeated rows get equal verdicts; of rules of one length an allow wins. Null links are
+    ignored. Empty tables are fine, and other columns are not looked at, whatever their names.
+
+    pages is read once: what is kept of a page is its URL, host, path and links.
     """
-    base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"))
-    ruled = cut(fitting_rule(base.withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))}), rules))
-    edges = link_edges(pages, url_col, html_col) if html_col else None
+    url = F.col("_url")
+    base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), text_or_empty(html_col).alias("_html") if html_col else F.lit("").alias("_html"))
+    base = cut(base.select("_id", "_url", host_of(url).alias("host"), path_of(url).alias("path"), named_links(url, F.col("_html")).alias("_to")))
+    ruled = cut(fitting_rule(base.drop("_to"), rules))
+    edges = base.filter("_url is not null and size(_to) > 0").select(url.alias("src"), F.explode("_to").alias("dst"))
     if links is not None:
-        links = links.select("src", "dst")
-        edges = links if edges is None else edges.unionByName(links)
-    if edges is None:
-        return ruled.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(False).alias("equivalent"))
-    key = F.xxhash64(alias_key(F.col("_url")))
+        edges = edges.unionByName(links.select("src", "dst").filter("src is not null and dst is not null"))
+    key = F.xxhash64(alias_key(url))
     to_key = lambda c: F.xxhash64(alias_key(F.col(c)))
-    edges = edges.filter("src is not null and dst is not null")
-    classes = connected_components(edges.select(to_key("src").alias("src"), to_key("dst").alias("dst")))
     # targets that no page has are judged as well: a redirect into a blocked host is an alias of it
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("_url")).distinct().withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))})
+    edges = cut(edges.distinct().select("src", "dst", to_key("src").alias("a"), to_key("dst").alias("b")))
+    classes = connected_components(edges, "a", "b")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("_url")).distinct().withColumns({"host": host_of(url), "path": path_of(url)})
     known = fitting_rule(ends, rules).filter("rule is not null").select(key.alias("node"), "rule_verdict").distinct()
     by_class = known.join(classes, "node").groupBy("component").agg(F.max(F.when(F.col("rule_verdict") == "allow", 1).otherwise(0)).alias("allows"))
     verdicts = cut(classes.join(by_class, "component").select("node", F.when(F.col("allows") == 1, "allow").otherwise("block").alias("class_verdict")))

@@ -1,7 +1,8 @@
 """WARC archives with revisit records.
 
-Headers (page, digest, size) are shuffled by payload digest and reduced to the smallest page of each digest that repeats;
-payloads are never shuffled for that where the repeated digests are few. Records are written by Spark's own text sink: with
+Headers (page, digest, size) are shuffled by payload digest and reduced to the smallest page of each digest that repeats.
+Payloads are never dealt by digest, so a page that very many sites serve makes no large task: few repeated digests are
+broadcast, else headers alone meet them, and the pages that repeat others are told to the payloads by page. Records are written by Spark's own text sink: with
 CR LF CR LF as the line separator, which ends every WARC record, a row becomes a record, executors commit their files as
 for any other output, and a lost one is repeated. Archives are gzip files, so a file is read by one task as a stream; the
 reader follows Content-Length and holds one record at a time. Revisits are resolved by joining them to the records that
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, shared_dir
+from .common import cut, in_small_batches, is_small, maybe_broadcast, shared_dir
 
 END = "\r\n\r\n"
 #: Smaller payloads are always written in full: a revisit record would save nothing.
@@ -38,7 +39,11 @@ def resolve(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_by
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
     headers = rows.filter(F.col("payload_bytes") >= least_bytes).select("page_id", "digest")
     repeated = cut(headers.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").drop("n"))
-    joined = rows.join(maybe_broadcast(repeated), "digest", "left")
+    if is_small(repeated):
+        joined = rows.join(F.broadcast(repeated), "digest", "left")
+    else:
+        named = cut(headers.join(repeated, "digest").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "first").distinct())
+        joined = rows.join(maybe_broadcast(named), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").drop("_page", "_digest")
     return joined.withColumn("original", F.expr("case when first is not null and not (page_id <=> first) then first end")).drop("first")
 
 
@@ -47,7 +52,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     Of rows with equal payloads of at least least_bytes, those with the smallest id are responses and the others revisit
     them. A null payload is empty, a null URL has no target, line breaks in one are escaped. Rows that repeat the smallest
-    id are all responses. Other columns are not looked at.
+    id are all responses. A very long payload is one record, which its task holds whole. An empty table writes an archive
+    without records. Other columns are not looked at, whatever their names.
     """
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     r = resolve(pages, id_col, url_col, html_col, least_bytes)
@@ -132,7 +138,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives under path; payload is null for revisits. A damaged record ends the job."""
     chunks = spark.read.text(path, lineSep=END).select(F.col("value").cast("binary").alias("value"))
-    return chunks.mapInArrow(_read, RECORDS)
+    return in_small_batches(chunks).mapInArrow(_read, RECORDS)
 
 
 def with_originals(records: DataFrame) -> DataFrame:

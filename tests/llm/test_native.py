@@ -98,6 +98,14 @@ def test_decontamination_on_odd_rows(spark):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.filter("doc_id is not null").collect()) == [1, 2, 5, 8]
 
 
+def test_places_beyond_their_bits(spark, monkeypatch):
+    monkeypatch.setattr(dc, "PLACE", 6)  # places wrap after 64 words
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "z " * 500 + item + " y" * 300 + " " + item), (2, "short " + "q " * 100)], "doc_id int, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in dc.contamination(docs, spark.createDataFrame([("a", item), ("b", "q q")], "item_id string, text string")).collect()}
+    assert got == {1: (840, 40, ["a"]), 2: (101, 100, ["b"])}
+
+
 def test_redirects_carry_verdicts(spark):
     canon = '<html><link rel="canonical" href="{}"></html>'
     pages = [

@@ -13,6 +13,13 @@ def test_agrees_with_sql(spark):
     assert_same(warc_query(spark, SF), ORACLE, SF)
 
 
+def test_headers_alone_meet_many_repeated_digests(spark, monkeypatch):
+    from fluxframe.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert_same(warc_query(spark, SF), ORACLE, SF)
+
+
 def test_round_trip_of_odd_payloads(spark, tmp_path):
     odd = ["", None, "a\r\n\r\nb", "\r\n\r\n", "x" * 99 + "\r", "\r\n" * 120, "WARC/1.1\r\nContent-Length: 3\r\n\r\n" * 9, "é" * 200_000, "\n", "\r\n\r\n\r"]
     rows = [(i, f"http://a/{i}\r\nX: y", h) for i, h in enumerate(odd)] + [(50, None, "é" * 200_000), (40, "u", "é" * 200_000), (41, "u", ""), (5, "u", odd[5]), (None, "u", odd[5]), (None, None, "lone" * 40)]
