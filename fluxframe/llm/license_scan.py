@@ -2,8 +2,9 @@
 
 A template is laid over a text wherever enough of its telling words vote for about the same place. There, words unique to both sides anchor the
 alignment: the longest increasing subsequence of the anchors' places is kept, and the gaps between them are aligned the
-same way, after common beginnings and ends are taken off. Coverage is the share of the template's words that are aligned; the
-words that tell a licence from others must be among them.
+same way, after common beginnings and ends are taken off. Coverage is the share of aligned words in the template or in the
+span of the text that they take, whichever is longer, so that words left out and words put in both count; the words that tell
+a licence from others must be aligned.
 A text is looked at once, in the task that reads it; nothing is shuffled.
 """
 
@@ -15,6 +16,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import ceil
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import in_small_batches
 
-#: Public notices by their identifiers; several texts may share one.
-TEMPLATES = (
+#: Whole public licence texts, a file named after each identifier.
+WHOLE = tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
+# Public notices by their identifiers; several texts may share one.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
@@ -37,10 +41,11 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 )
+TEMPLATES = NOTICES + WHOLE
 #: What tells a licence from others, for those of its templates that hold it: name and version, as neighbouring words of
 #: which those with ? may lack, and clauses, which the coverage holds for.
 NAMES = {
-    "MIT": ("mit license?",), "Apache-2.0": ("apache license version? 2.0", "apache org licenses license 2.0"), "GPL-3.0": ("gnu general public license", "version 3"),
+    "MIT": ("mit license?",), "Apache-2.0": ("apache license version? 2.0", "apache org licenses license 2.0"), "GPL-3.0": ("gnu general public license", "version 3"), "GPL-2.0": ("gnu general public license", "version 2"),
     "CC-BY-NC-4.0": ("cc by nc 4.0",), "CC-BY-4.0": ("cc by 4.0",), "CC-BY-SA-4.0": ("cc by sa 4.0",),
 }
 CLAUSES = {
@@ -51,6 +56,8 @@ CLAUSES = {
 #: Words too common to tell a notice.
 COMMON = frozenset("a an and any are as at by for in is it of on or that the this to under use with without you".split())
 COVERAGE = 0.8
+#: Words from which on a template is a whole text: its name is then told by its title.
+LONG = 250
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -115,7 +122,8 @@ class Template:
         self.places = {}
         for i, w in enumerate(self.words):
             self.places.setdefault(w, []).append(i)
-        self.names = [(i, p.split()) for p in NAMES.get(self.name, ()) for i in self._where(p)]
+        self.names = [(i, p.split()) for p in NAMES.get(self.name, ()) for i in self._where(p)[: 1 if len(self.words) > LONG else None]]
+        self.told_by: dict[float, tuple[list[str], int, int]] = {}
         self.clauses = [range(i, i + len(p.split())) for p in CLAUSES.get(self.name, ()) for i in self._where(p)]
 
     def _where(self, phrase: str) -> list[int]:
@@ -137,15 +145,20 @@ class Template:
 
         words are the marks, or all words where the common ones alone could reach the coverage.
         """
+        if coverage in self.told_by:
+            return self.told_by[coverage]
         least = ceil(coverage * len(self.words) - 1e-9)
         words = sorted(self.marks)
         need = least - len(self.words) + sum(len(self.places[w]) for w in words)
         if need < 1:
             words, need = sorted(self.places), max(least, 1)
-        return words, need, len(self.words) - least
+        self.told_by[coverage] = words, need, len(self.words) - least
+        return self.told_by[coverage]
 
     def hints(self, coverage: float) -> frozenset[str]:
-        """Words of which every text that reaches the coverage holds one: the longest, of more places than it may lack."""
+        """Words of which every text that reaches the coverage holds one: the longest, of more places than it may lack; of a whole text with a name, the name's first word."""
+        if self.names and len(self.words) > LONG:
+            return frozenset(self.names[0][1][:1])
         words, _, spare = self.telling(coverage)
         out, left = set(), spare
         for w in sorted(words, key=lambda w: (-len(w), w)):
@@ -181,6 +194,25 @@ def placements(at: dict[str, list[int]], t: Template, coverage: float, slack: in
     return sorted(good, key=lambda d: (-votes[d], d))
 
 
+def covered(pairs: list[tuple[int, int]], size: int) -> float:
+    """Aligned words as a share of the template's size, or of the text that they span where that is longer."""
+    return len(pairs) / max(size, pairs[-1][1] - pairs[0][1] + 1) if pairs else 0.0
+
+
+def trim(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """pairs without those at either end that stand apart: words of the text around that a template happens to have too."""
+    a, b = 0, len(pairs)
+    while b - a > 1 and (pairs[b - 1][1] - pairs[a][1] + 1) > size:
+        head, tail = pairs[a + 1][1] - pairs[a][1], pairs[b - 1][1] - pairs[b - 2][1]
+        if max(head, tail) <= max(4, size // 10):
+            break
+        if head >= tail:
+            a += 1
+        else:
+            b -= 1
+    return pairs[a:b]
+
+
 def scan(text: str, templates: list[Template], coverage: float = COVERAGE, known: tuple[str, ...] | None = None) -> list[tuple[int, int, str, float]]:
     """(start, end, name, coverage) of every notice found, in code points; of overlapping ones the best covered, then that of most words.
 
@@ -204,12 +236,20 @@ def scan(text: str, templates: list[Template], coverage: float = COVERAGE, known
         for d in placements(at, t, coverage, slack):
             if any(abs(d - x) <= slack for x in whole):  # it could only find the whole notice there again
                 continue
-            lo, hi = max(0, d - slack), min(len(words), d + size + slack)
-            pairs = align(t.words, words[lo:hi])
-            if len(pairs) >= coverage * size and t.told(pairs, coverage):
-                first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                hits.append((len(pairs) / size, len(pairs), found[first][0], found[last][1], t.name))
-                if len(pairs) == size and last - first == size - 1:
+            if size > LONG:  # a whole text begins once within its quarter, and the alignment sees as far
+                whole.append(d)
+            best = (0.0, 0, 0, 0)
+            for room in (slack, 0):  # without room around, no word nearby can take the place of one of a whole notice
+                lo, hi = max(0, d - room), min(len(words), max(d, 0) + size + room)
+                pairs = trim(align(t.words, words[lo:hi]), size)
+                if covered(pairs, size) >= (max(coverage, best[0] + 1e-9) if room else 1) and t.told(pairs, coverage):
+                    best = covered(pairs, size), len(pairs), lo + pairs[0][1], lo + pairs[-1][1]
+                if size > LONG:
+                    break
+            share, n, first, last = best
+            if n:
+                hits.append((share, n, found[first][0], found[last][1], t.name))
+                if n == size and last - first == size - 1:
                     whole.append(first)
     out: list[tuple[int, int, str, float]] = []
     for share, _, s, e, name in sorted(hits, key=lambda h: (-h[0], -h[1], h[2], h[4])):
@@ -235,7 +275,9 @@ def _scan(pairs: tuple, coverage: float) -> Callable:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """(id_col, notices) of every row; notices is array<struct<start, end, license, coverage>> by start.
 
-    Null and empty texts have none. Repeated rows get equal results; other columns are not looked at.
+    Null and empty texts have none; a very long one is searched whole, by its task. Of overlapping notices the best covered
+    is named. Repeated rows get equal results; an empty table gives an empty one; other columns are not looked at, whatever
+    their names.
     """
     rows = in_small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     kind = dict(rows.dtypes)[id_col]

@@ -1,7 +1,7 @@
 import random
 import re
 
-from fluxframe.llm.license_scan import TEMPLATES, Template, align, license_query, longest_increasing, scan, scan_licenses
+from fluxframe.llm.license_scan import NOTICES, TEMPLATES, WHOLE, Template, align, license_query, longest_increasing, scan, scan_licenses
 
 SF = "/root/testdata/sf0.01"
 ALL = [Template(*t) for t in TEMPLATES]
@@ -37,7 +37,7 @@ def test_alignment_is_a_common_subsequence():
 
 def test_planted_notices_are_found():
     rng = random.Random(3)
-    for name, text in TEMPLATES:
+    for name, text in NOTICES + WHOLE:
         filler = lambda n: " ".join(rng.choice(("lorem", "ipsum", "the", "of", "version", "license", "and")) for _ in range(n))
         got = scan(f"{filler(40)}\n{text}\n{filler(300)}\n{text.upper()} {filler(30)}", ALL)
         assert [n for *_, n, _ in got].count(name) == 2
@@ -50,7 +50,7 @@ def test_planted_notices_are_found():
 
 def test_whole_table_agrees_with_plain_search(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    want = {d: {n for n, t in TEMPLATES if re.search(re.escape(t.rstrip(".")), text)} for d, text in docs.items()}
+    want = {d: {n for n, t in NOTICES if re.search(re.escape(t.rstrip(".")), text)} for d, text in docs.items()}
     got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in license_query(spark, SF).collect()}
     assert got == want and sum(map(bool, want.values())) > 10
 
@@ -75,24 +75,27 @@ def test_prefilter_drops_nothing_that_reaches_the_coverage():
     assert [n for *_, n, _ in scan("released under the MIT", ALL)] == ["MIT"]
     rng = random.Random(4)
     for t in ALL:
-        for _ in range(20):  # as many words left out as the coverage allows
+        for _ in range(2 if len(t.words) > 400 else 20):  # as many words left out as the coverage allows
             gone = set(rng.sample(range(len(t.words)), len(t.words) - -int(-0.8 * len(t.words) // 1)))
             left = " ".join(w for i, w in enumerate(t.words) if i not in gone)
             pairs = align(t.words, left.split())
             if len(pairs) >= 0.8 * len(t.words) and t.told(pairs, 0.8):
-                assert scan(f"{t.text} {'x ' * 80}{left}", ALL) and len(scan(f"{t.text} {'x ' * 80}{left}", ALL)) == 2
+                assert t.name in [n for *_, n, _ in scan(f"{'x ' * 80}{left}", ALL)]
 
 
 def test_other_licences_are_not_taken_for_these():
-    bsd = dict(TEMPLATES)["BSD-3-Clause"]
+    bsd = dict(NOTICES)["BSD-3-Clause"]
     two = bsd[: bsd.index("3. Neither")] + bsd[bsd.index("THIS SOFTWARE IS") :]
     mit = TEMPLATES[2][1]
     no_attribution = mit.replace("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "")
     gpl = next(t for n, t in TEMPLATES if n == "GPL-3.0" and "redistribute" in t)
     others = [
         "Licensed under the BSD License.", "Licensed under CC BY 3.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under the Apache License, Version 1.1.", "Released under the MIT No Attribution License.",
-        gpl.replace("version 3", "version 2"), gpl.replace("GNU General", "GNU Affero General"), gpl.replace("GNU General", "GNU Lesser General"), "This work is licensed under the GNU General Public License, version 2.", two, no_attribution,
+        gpl.replace("version 3", "version 2"), gpl.replace("GNU General", "GNU Affero General"), gpl.replace("GNU General", "GNU Lesser General"), "This work is licensed under the GNU General Public License, version 2.", no_attribution,
     ]
     assert {t: scan(f"{'x ' * 40}{t}{' x' * 40}", ALL) for t in others} == {t: [] for t in others}
     assert [n for *_, n, _ in scan(bsd.replace("the copyright holder", "Example Ltd."), ALL)] == ["BSD-3-Clause"]
     assert [n for *_, n, _ in scan("Licensed under the Apache License 2.0", ALL)] == ["Apache-2.0"]
+    assert [n for *_, n, _ in scan(two, ALL)] == ["BSD-2-Clause"] and [n for *_, n, _ in scan(bsd, ALL)] == ["BSD-3-Clause"]
+    filled = " ".join(w for i, w in enumerate(bsd.split()) for w in ((w, "filler", "words") if i % 3 == 0 else (w,)))
+    assert scan(filled, ALL) == []  # words put in count as well
