@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fluxframe.operators import catalog, metrics, models
 from fluxframe.operators.augment import DEFAULTS
 from fluxframe.plans import config as cfg
-from fluxframe.plans.detect import detect, score_windows, train
+from fluxframe.plans.detect import detect, run, score_windows, train
 from fluxframe.plans.preprocess import STAGES, Preprocessing
 from fluxframe.sources import adapters, archive, sinks
 from fluxframe.streaming import quality as stream_quality
@@ -147,6 +147,30 @@ def test_training_scoring_and_models(spark, tmp_path):
     assert models.padded_length(2001) == 2004 and len(w.select(models.pad_right(F.col("flux"), 101).alias("x")).first().x) == 104
     with pytest.raises(RuntimeError):
         models.Denoiser().transform(w, "flux")
+    x = np.random.default_rng(3).normal(size=(2, 101))
+    two = trained.denoiser.denoise(spark, x)
+    assert two.shape == (2, 101) and np.allclose(trained.denoiser.denoise(spark, x[0]), two[0]) and np.allclose(trained.denoiser.denoise(spark, x[:, :, None])[:, :, 0], two)
+    with pytest.raises(ValueError):
+        trained.denoiser.denoise(spark, np.zeros((1, 2, 3)))
+    d = spark.createDataFrame([([float(i % 7)], int(i % 10 == 0)) for i in range(100)], "features array<double>, label int")
+    light, heavy = (models.predict(models.train_classifier(d, "perceptron", {0: 1.0, 1: k}), d).agg(F.avg("y_prob")).first()[0] for k in (1.0, 9.0))
+    assert light < 0.25 < heavy  # weights move the perceptron as they do the regression
+
+    t = np.linspace(0, 30, 3000)
+    f = np.ones(3000) + np.random.default_rng(2).normal(0, 1e-4, 3000)
+    f[np.abs(t / 2.204737 - np.round(t / 2.204737)) * 2.204737 < 0.075] -= 0.00618
+
+    def fetch(name):
+        if name == "gone":
+            raise OSError("gone")
+        return frame(spark, **{name: (t, f)}).withColumn("segment", F.lit(0))
+
+    out = run(spark, trained, fetch=fetch, targets=["HAT-P-7b", "gone"], config=cfg.Config(windowing=cfg.Windowing(101, 0.5), outliers=cfg.Outliers(sigma_threshold=50.0)), periods=(2.0, 2.4, 201), durations=(0.1, 0.15))
+    rows = {r.target: r for r in out.benchmark.collect()}
+    assert rows["HAT-P-7b"].overall_pass and 0 <= rows["HAT-P-7b"].confidence <= 1 and rows["Kepler-22b"].error == "Data not found"
+    assert [r.target_id for r in out.failures.collect()] == ["gone"] and out.windows.count() == 60
+    with pytest.raises(ValueError):
+        run(spark, trained)
 
 
 def test_metrics_on_edges(spark):
