@@ -46,3 +46,24 @@ def test_odd_rows(spark):
     assert gam.classify(docs.limit(0), gam.train(docs.limit(0), labels.limit(0))).count() == 0
     kept = gam.keep_good(docs, gam.train(docs, labels))
     assert kept.columns == docs.columns
+
+
+def test_scores_are_sums_of_table_entries(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = gam.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    place = lambda edges, v: sum(e <= v for e in edges)
+    got = {r.doc_id: r.score for r in gam.classify(docs, model).collect()}
+    for r in docs.collect():
+        x = gam.features((r.text or "").encode())
+        z = model.bias + sum(t[place(e, v)] for e, t, v in zip(model.edges, model.tables, x, strict=True))
+        z += sum(t[place(ef, x[f]), place(eg, x[g])] for (f, g), ef, eg, t in model.pairs)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_a_shared_id_counts_once(spark):
+    docs = spark.createDataFrame([(i % 50, f"word{i} " * (i % 7 + 1)) for i in range(500)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 3, "doc_id int, quality int")
+    sample = gam.labelled_sample(docs, labels, "doc_id", "text", "quality", 10)
+    assert sample.select("key").distinct().count() == 10 and sample.count() == 100
+    a, b = (gam.train(d, labels, bound=10) for d in (docs, docs.repartition(7)))
+    assert a.bias == b.bias and all((x == y).all() for x, y in zip(a.tables, b.tables, strict=True))

@@ -44,3 +44,25 @@ def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (3, 1), (5, 0), (None, 1), (2, None)], "doc_id int, toxic int")
     assert all(0 <= r.score <= 1 for r in tox.classify(docs, tox.train(docs, labels)).collect())
     assert tox.classify(docs.limit(0), tox.train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_whole_table_agrees_with_transducers_run_one_by_one(spark):
+    docs = spark.read.parquet(SF.format("sf0.01") + "/documents.parquet")
+    model = tox.train(docs, spark.read.parquet(SF.format("sf0.01") + "/labels.parquet"))
+    got = {r.doc_id: (r.score, r.n_clauses) for r in tox.classify(docs, model).collect()}
+    lexicon = tox.Lexicon(model.weights)
+    for d in docs.collect():
+        tokens = [lexicon.symbol(t) for t in tox._TOKENS.findall((d.text or "").lower())]
+        scores, at = [], {n: t.start for n, t in tox.TRANSDUCERS.items()}
+        held = 0.0
+        for symbol, weight in [*tokens, (tox.END, 0.0)]:
+            if symbol == tox.INSULT:
+                held += weight * (tox.NEGATED if at["negation"] else 1) * (tox.AGAIN if at["insult"] else 1)
+            if symbol == tox.END:
+                total = (held * (tox.AIMED if at["target"] else 1) + tox.THREAT * (at["threat"] == (5, 0))) * (tox.REPORTED if at["report"] else 1)
+                scores += [total] if total else []
+                at, held = {n: t.start for n, t in tox.TRANSDUCERS.items()}, 0.0
+            else:
+                at = {n: t.step(at[n], symbol) for n, t in tox.TRANSDUCERS.items()}
+        want = model.score([tox._inputs(scores, len(tokens))])[0]
+        assert got[d.doc_id][1] == len(scores) and abs(got[d.doc_id][0] - want) < 1e-9
