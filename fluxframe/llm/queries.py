@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, codes, decontaminate, quality_rules, secrets, url_filter, warc
+from . import centroids, codes, decontaminate, mixing, quality_rules, secrets, url_filter, warc
 from .gam import quality_query
 from .license_scan import license_query
 from .minhash import near_duplicate_query
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_licenses": license_query,
     "op9_url_filter": url_filter.url_filter_query,
     "op10_warc": warc.warc_query,
+    "op11_mixing": mixing.mixing_query,
     "op12_centroids": centroids.centroid_query,
     "op13_vector_codes": codes.code_query,
 }
@@ -29,6 +30,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_mixing": mixing.ORACLE,
     "op12_centroids": centroids.ORACLE,
     "op13_vector_codes": codes.ORACLE,
 }
