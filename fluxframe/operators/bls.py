@@ -1,9 +1,10 @@
 """Box least squares (Kovács, Zucker, Mazeh 2002): the search for periodic dips.
 
 Boxes begin at every bin of the folded curve, empty ones too, as a box that begins in a gap can end sooner. The relational
-form sums flux per bin and slides boxes over the bins with range frames; its rows are curves times periods times bins, so
-it is the form that SQL can check, for grids of some hundred periods. The fast form deals curves and chunks of periods out
-to tasks and lets NumPy try a block of periods at once. Both try the same boxes.
+form sums flux per bin and slides boxes over the array of bins of a curve and period; its rows are curves times periods
+times bins, so it is the form that SQL can check, for grids of some hundred periods. The fast form deals curves and chunks of periods out
+to tasks and lets NumPy try a block of periods at once. Both try the same boxes. For the best period alone the bounded
+search gives the same result from a small part of the work.
 """
 
 from __future__ import annotations
@@ -62,19 +63,19 @@ def periodogram(lc: DataFrame, grid: DataFrame, durations: tuple = DURATIONS, ov
     d = centred.join(grid).select(KEY, "period_id", "period", "_B", F.floor(F.pmod("t", F.col("period")) / width).cast("int").alias("bin"), F.col("y").alias("s"), F.lit(1).alias("n"), "t_min", "v")
     empty = centred.groupBy(KEY).agg(F.first("t_min").alias("t_min"), F.first("v").alias("v")).join(grid)
     empty = empty.select(KEY, "period_id", "period", "_B", F.explode(F.sequence(F.lit(0), F.col("_B") - 1)).alias("bin"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), "t_min", "v")
-    bins = d.unionByName(empty).groupBy(KEY, "period_id", "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("period", "_B", "t_min", "v")))
-    by = Window.partitionBy(KEY, "period_id")
-    bins = bins.withColumns({"_S": F.sum("s").over(by), "_N": F.sum("n").over(by)})
-    turned = bins.withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.col("bin") + F.col("_again") * F.col("_B")).filter((F.col("_again") == 0) | (F.col("bin") < max(lengths)))
-    order = by.orderBy("at")
-    boxes = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("duration"), F.sum("s").over(order.rangeBetween(0, k - 1)).alias("s_in"), F.sum("n").over(order.rangeBetween(0, k - 1)).alias("n_in")) for k, q in zip(lengths, durations, strict=True)))
-    tried = turned.withColumn("_x", boxes).filter("_again = 0").withColumn("x", F.explode("_x")).filter((F.col("x.n_in") > 0) & (F.col("x.n_in") < F.col("_N")))
-    gap = (F.col("_S") - F.col("x.s_in")) / (F.col("_N") - F.col("x.n_in")) - F.col("x.s_in") / F.col("x.n_in")
-    power = F.when(gap > 0, 0.5 * F.col("x.n_in") * gap * gap).otherwise(0.0)
-    scored = tried.select(KEY, "period_id", "period", "bin", F.col("x.k").alias("k"), F.col("x.duration").alias("duration"), power.alias("power"), "v", F.greatest(gap, F.lit(0.0)).alias("depth"), (F.col("t_min") + (F.col("bin") + F.col("x.k") / 2.0) * width).alias("t0"))
-    # one minimum that combines on the map side: the greatest power, then the earliest bin, then the shortest box
-    rank = F.struct((-F.round(F.try_divide("power", "v"), DIGITS)).alias("less"), "bin", "k", "period", "power", "duration", "t0", "depth")
-    return scored.groupBy(KEY, "period_id").agg(F.min(rank).alias("x")).select(KEY, "period_id", *(f"x.{c}" for c in ("period", "power", "duration", "t0", "depth")))
+    held = ("period", "_B", "t_min", "v")
+    bins = d.unionByName(empty).groupBy(KEY, "period_id", "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in held))
+    # one row for a curve and period, its bins in order: both groups lie within the exchange by curve
+    folded = bins.groupBy(KEY, "period_id").agg(F.sort_array(F.collect_list(F.struct("bin", "s", "n"))).alias("a"), F.sum("s").alias("_S"), F.sum("n").alias("_N"), *(F.first(c).alias(c) for c in held))
+    inside = lambda k, c: f"aggregate(sequence(0, {k - 1}), cast(0 as {'double' if c == 's' else 'bigint'}), (acc, j) -> acc + a[(i + j) % _B].{c})"
+    boxes = [f"named_struct('k', {k}, 'duration', {float(q)}D, 'bin', cast(i as int), 's', {inside(k, 's')}, 'n', {inside(k, 'n')})" for k, q in zip(lengths, durations, strict=True)]
+    tried = f"filter(flatten(transform(a, (x, i) -> array({', '.join(boxes)}))), x -> x.n > 0 and x.n < _N)"
+    gaps = f"transform({tried}, x -> named_struct('x', x, 'gap', (_S - x.s) / (_N - x.n) - x.s / x.n))"
+    # the greatest power, then the earliest bin, then the shortest box
+    scored = f"""transform({gaps}, g -> transform(array(case when g.gap > 0 then 0.5D * g.x.n * g.gap * g.gap else 0D end), power -> named_struct(
+      'less', -round(try_divide(power, v), {DIGITS}), 'bin', g.x.bin, 'k', g.x.k, 'power', power, 'duration', g.x.duration, 'depth', greatest(g.gap, 0D)))[0])"""
+    best = folded.select(KEY, "period_id", "period", "t_min", F.expr(f"array_min({scored})").alias("x")).filter("x is not null")
+    return best.select(KEY, "period_id", "period", "x.power", "x.duration", (F.col("t_min") + (F.col("x.bin") + F.col("x.k") / 2.0) * width).alias("t0"), "x.depth")
 
 
 def _gaps(s_in: np.ndarray, n_in: np.ndarray, total: float, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,15 +170,31 @@ def search_arrays(t: np.ndarray, y: np.ndarray, periods: np.ndarray, durations:
     return power, np.array(durations)[chosen], (start + np.array(lengths)[chosen] / 2) * width, depth
 
 
-def _search(grid: np.ndarray, chunk: int, durations: tuple, oversample: int) -> Callable:
+def _found(key: str, ids: np.ndarray, periods: np.ndarray, found: tuple[np.ndarray, ...], first: float) -> pa.RecordBatch:
+    power, duration, t0, depth = found
     names = [KEY, "period_id", "period", "power", "duration", "t0", "depth"]
+    return pa.RecordBatch.from_arrays([pa.array([key] * len(ids), pa.string()), pa.array(ids, pa.int32()), *map(pa.array, (periods, power, duration, t0 + first, depth))], names)
+
 
+def _search(grid: np.ndarray, chunk: int, durations: tuple, oversample: int) -> Callable:
     def one(key: str, c: int, time: np.ndarray, flux: np.ndarray) -> pa.RecordBatch:
         own = grid[c * chunk : (c + 1) * chunk]
         found = search_arrays(time - time.min(), flux - np.median(flux), own, durations, oversample)
-        power, duration, t0, depth = found
-        return pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.string()), pa.array(np.arange(c * chunk, c * chunk + len(own)), pa.int32()), *map(pa.array, (own, power, duration, t0 + time.min(), depth))], names)
+        return _found(key, np.arange(c * chunk, c * chunk + len(own)), own, found, time.min())
+
+    return _by_curve(one)
+
+
+def _bounded(grid: np.ndarray, chunk: int, durations: tuple, oversample: int) -> Callable:
+    def one(key: str, c: int, time: np.ndarray, flux: np.ndarray) -> pa.RecordBatch:
+        own = grid[c * chunk : (c + 1) * chunk]
+        at, found = best_of_arrays(time - time.min(), flux - np.median(flux), own, durations, oversample)
+        return _found(key, c * chunk + at, own[at], found, time.min())
+
+    return _by_curve(one)
 
+
+def _by_curve(one: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by curve and chunk; a curve is held until the next one begins."""
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -204,6 +221,100 @@ def _search(grid: np.ndarray, chunk: int, durations: tuple, oversample: int) ->
     return run
 
 
+def block_bounds(t: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarray, coarse: int, durations: tuple = DURATIONS, oversample: int = OVERSAMPLE) -> np.ndarray:
+    """For every block of periods, from first to last, a number that no box at any of them exceeds in power.
+
+    A box of m points with the sum s of deviations from the mean has power n^2 s^2 / (2 m (n - m)^2), and by Cauchy s^2 / m
+    is at most the sum of the squares of its negative deviations. Over a block a point's place in the folded curve moves by
+    the number of its cycle times the block's extent; blocks are so short that this is at most a coarse bin (see _blocks).
+    A point is counted in the bin of its least place, so a box's points lie in the bins that it covers and the one before them.
+    """
+    width, lengths = _boxes(durations, oversample)
+    size = coarse * width
+    n, reach = len(t), max(lengths) * width
+    z = y - y.mean()
+    q = np.minimum(z, 0) ** 2
+    window = int(np.ceil(max(lengths) / coarse)) + 2
+    out = np.empty(len(first))
+    at = 0
+    while at < len(first):
+        rows = max(1, CELLS // (n + int(last[at:].max() / size) + window + 3))
+        a, b = first[at : at + rows, None], last[at : at + rows, None]
+        place = t - np.floor(t / a) * b
+        # boxes run on over the end of the period: what lies in their reach is met there once more
+        again = np.floor(np.where(place < reach, place + a, -size) / size).astype(int) + 1
+        bins = max(int(np.floor(place.max() / size)) + 1, int(again.max())) + window + 1
+        lift = np.arange(len(a))[:, None] * bins
+        index = np.concatenate([np.floor(place / size).astype(int) + 1 + lift, again + lift], axis=1).ravel()
+        twice = again > 0
+        sums = []
+        for w in (q, np.ones(n)):
+            h = np.bincount(index, np.concatenate([np.broadcast_to(w, place.shape), np.where(twice, w, 0)], axis=1).ravel(), len(a) * bins).reshape(len(a), bins)
+            c = np.pad(h.cumsum(axis=1), ((0, 0), (1, 0)))
+            sums.append(c[:, window:] - c[:, :-window])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bound = np.where(sums[1] < n - 0.5, 0.5 * sums[0] * (n / (n - sums[1])) ** 2, np.inf)
+        out[at : at + rows] = bound.max(axis=1) * (1 + 1e-9)
+        at += rows
+    return out
+
+
+def _blocks(periods: np.ndarray, span: float, room: float) -> np.ndarray:
+    """Where blocks begin: within a block cycles and the period itself move a point by room at most."""
+    starts, i = [], 0
+    while i < len(periods):
+        starts.append(i)
+        i = int(np.searchsorted(periods, periods[i] + room / (span // periods[i] + 1), "right"))
+    return np.array(starts)
+
+
+#: Coarse bins of the bounds, in bins, from the first pass to the last; periods of the best bounds that each pass tries; periods that are tried at once after that.
+COARSE, TRIED, AT_ONCE = (26, 13, 6), 64, 256
+
+
+def best_of_arrays(t: np.ndarray, y: np.ndarray, periods: np.ndarray, durations: tuple = DURATIONS, oversample: int = OVERSAMPLE) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(places of periods, their power, duration, t0 and depth): the greatest power and all that equal it but for DIGITS, as search_arrays finds them.
+
+    Branch and bound. Periods beyond the curve's length and the longest box fold it alike, so the first stands for all.
+    The others are bounded in blocks that get shorter from pass to pass; what is bounded below the best so far is dropped,
+    and what is left is searched, the most promising first. Of a curve without a dip the first period is given.
+    """
+    width, lengths = _boxes(durations, oversample)
+    alike = int(np.searchsorted(periods, t.max() + (max(lengths) + 1) * width, "right"))
+    alive = np.arange(min(len(periods), alike + 1))
+    found: dict[int, tuple] = {}
+    best = 0.0
+
+    def attempt(places: np.ndarray) -> None:
+        nonlocal best
+        places = np.sort(np.array([i for i in places.tolist() if i not in found], int))
+        if len(places):
+            found.update(zip(places.tolist(), zip(*search_arrays(t, y, periods[places], durations, oversample), strict=True), strict=True))
+            best = max(best, *(found[i][0] for i in places.tolist()))
+
+    attempt(alive[:1])
+    bounds = np.full(len(alive), np.inf)
+    near = 1 - 10.0**-DIGITS
+    for coarse in COARSE:
+        starts = _blocks(periods[alive], t.max(), (coarse - 1) * width)
+        ends = np.append(starts[1:], len(alive))
+        long = np.flatnonzero(ends - starts > 2)  # shorter ones cost more to bound than to search
+        if len(long):
+            bound = np.full(len(starts), np.inf)
+            bound[long] = block_bounds(t, y, periods[alive[starts[long]]], periods[alive[ends[long] - 1]], coarse, durations, oversample)
+            bounds = np.minimum(bounds, np.repeat(bound, ends - starts))
+            known = np.flatnonzero(np.isfinite(bounds))
+            attempt(alive[known[np.argsort(-bounds[known], kind="stable")[:TRIED]]])
+            keep = (bounds >= best * near) & (bounds > 0)
+            alive, bounds = alive[keep], bounds[keep]
+    order = np.argsort(-bounds, kind="stable")
+    for i in range(0, len(order), AT_ONCE):
+        some = order[i : i + AT_ONCE]
+        attempt(alive[some[bounds[some] >= best * near]])
+    places = [i for i in sorted(found) if found[i][0] >= best * near] if best > 0 else [0]
+    return np.array(places, int), tuple(np.array(c) for c in zip(*(found[i] for i in places), strict=True))
+
+
 def fast_periodogram(lc: DataFrame, low: float = PERIODS[0], high: float = PERIODS[1], n: int = PERIODS[2], durations: tuple = DURATIONS, oversample: int = OVERSAMPLE, chunk: int = 5_000, tasks: int | None = None) -> DataFrame:
     """periodogram over an even grid, by NumPy: curves and chunks of periods are dealt out to tasks, so one long curve spreads too.
 
@@ -216,6 +327,17 @@ def fast_periodogram(lc: DataFrame, low: float = PERIODS[0], high: float = PERIO
     return dealt.mapInArrow(_search(grid, chunk, durations, oversample), f"{KEY} string, period_id int, period double, power double, duration double, t0 double, depth double")
 
 
+def bounded_search(lc: DataFrame, low: float = PERIODS[0], high: float = PERIODS[1], n: int = PERIODS[2], durations: tuple = DURATIONS, oversample: int = OVERSAMPLE, chunks: int = 1, tasks: int | None = None) -> DataFrame:
+    """The rows of fast_periodogram that best_period chooses among: of every curve those of the greatest power. Their best_period is the same.
+
+    The other periods are bounded, not searched. A curve goes to one task, or to as many as chunks, each of which bounds its own share of the periods.
+    """
+    grid = np.linspace(low, high, n)
+    d = lc.filter(finite("flux") & finite("time")).select(F.col(KEY).cast("string").alias(KEY), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk") if chunks > 1 else F.lit(0).alias("_chunk"), "time", "flux", "seq")
+    dealt = d.repartition(tasks or 2 * lc.sparkSession.sparkContext.defaultParallelism, KEY, "_chunk").sortWithinPartitions(KEY, "_chunk", "seq").drop("seq")
+    return dealt.mapInArrow(_bounded(grid, -(-n // chunks), durations, oversample), f"{KEY} string, period_id int, period double, power double, duration double, t0 double, depth double")
+
+
 def best_period(power: DataFrame) -> DataFrame:
     """The row of the greatest power for each target; the first of those that equal it but for the rounding of sums."""
     own = Window.partitionBy(KEY)

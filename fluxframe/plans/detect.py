@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY
-from ..operators.bls import DURATIONS, PERIODS, fast_periodogram, transit_features
+from ..operators.bls import DURATIONS, PERIODS, bounded_search, transit_features
 from ..operators.catalog import benchmark_table
 from ..operators.catalog import catalog as local_catalog
 from ..operators.metrics import all_metrics
@@ -45,7 +45,7 @@ def score_windows(trained: Trained, windows: DataFrame) -> DataFrame:
 
 def detect(lc: DataFrame, low: float, high: float, n: int, durations: tuple) -> DataFrame:
     """Detections of many curves over an even grid of periods."""
-    return transit_features(lc, fast_periodogram(lc, low, high, n, durations))
+    return transit_features(lc, bounded_search(lc, low, high, n, durations))
 
 
 @dataclass

@@ -372,7 +372,7 @@ def _(spark, sf):
 @query("transit_features")
 def _(spark, sf):
     lc = curves(spark, sf, False)
-    return bls.transit_features(lc, bls.fast_periodogram(lc))
+    return bls.transit_features(lc, bls.bounded_search(lc))
 
 
 _CATALOG = "cat(ordinal, target, period, depth, duration) as (values " + ", ".join(f"({i}, '{p[0]}', {p[4]}::double, {p[5]}::double, {p[6]}::double)" for i, p in enumerate(catalog.PLANETS)) + ")"
