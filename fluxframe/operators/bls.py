@@ -1,8 +1,8 @@
 """Box least squares (Kovács, Zucker, Mazeh 2002): the search for periodic dips.
 
 Boxes begin at every bin of the folded curve, empty ones too, as a box that begins in a gap can end sooner. The relational
-form sums flux per bin and slides boxes over the array of bins of a curve and period; its rows are curves times periods
-times bins, so it is the form that SQL can check, for grids of some hundred periods. The fast form deals curves and chunks of periods out
+form sums flux per bin and adds every bin to the boxes that it is part of; its rows are curves times periods times bins
+times lengths, so it is the form that SQL can check, for grids of some hundred periods. The fast form deals curves and chunks of periods out
 to tasks and lets NumPy try a block of periods at once. Both try the same boxes. For the best period alone the bounded
 search gives the same result from a small part of the work.
 """
@@ -39,7 +39,7 @@ def period_grid(spark: SparkSession, low: float, high: float, n: int) -> DataFra
 def _centred(lc: DataFrame) -> DataFrame:
     d = lc.filter(finite("flux") & finite("time"))
     own = by_target()
-    return d.select(KEY, (F.col("time") - F.min("time").over(own)).alias("t"), (F.col("flux") - F.median("flux").over(own)).alias("y"), F.min("time").over(own).alias("t_min"), F.var_pop("flux").over(own).alias("v"))
+    return d.select(KEY, (F.col("time") - F.min("time").over(own)).alias("t"), (F.col("flux") - F.median("flux").over(own)).alias("y"), F.min("time").over(own).alias("t_min"), F.var_pop("flux").over(own).alias("v")).withColumns({"_S": F.sum("y").over(own), "_N": F.count(F.lit(1)).over(own)})
 
 
 def _boxes(durations: tuple, oversample: int) -> tuple[float, list[int]]:
@@ -47,35 +47,34 @@ def _boxes(durations: tuple, oversample: int) -> tuple[float, list[int]]:
     return width, [max(1, round(d / width)) for d in durations]
 
 
-def periodogram(lc: DataFrame, grid: DataFrame, durations: tuple = DURATIONS, oversample: int = OVERSAMPLE) -> DataFrame:
+def periodogram(lc: DataFrame, grid: DataFrame, durations: tuple = DURATIONS, oversample: int = OVERSAMPLE, tasks: int | None = None) -> DataFrame:
     """(target_id, period_id, period, power, duration, t0, depth): the best box of every curve and period.
 
     power is half the gain in squared error, over dips alone; ties go to the earlier bin, then the shorter box. A period
     without a dip has power 0. grid(period_id, period) is counted, and more than MOST_PERIODS are refused: fast_periodogram
-    takes those. So its broadcast is bounded.
+    takes those. So its broadcast is bounded. tasks is twice the cluster's cores by default: every row becomes some thousands,
+    so the one exchange keeps that number and is not coalesced by its own small size.
     """
     n = grid.count()
     if n > MOST_PERIODS:
         raise ValueError(f"{n} periods; the relational form takes {MOST_PERIODS} at most, fast_periodogram any number")
     width, lengths = _boxes(durations, oversample)
     grid = F.broadcast(grid.withColumn("_B", F.ceil(F.col("period") / width).cast("int")))
-    centred = _centred(lc)
-    d = centred.join(grid).select(KEY, "period_id", "period", "_B", F.floor(F.pmod("t", F.col("period")) / width).cast("int").alias("bin"), F.col("y").alias("s"), F.lit(1).alias("n"), "t_min", "v")
-    empty = centred.groupBy(KEY).agg(F.first("t_min").alias("t_min"), F.first("v").alias("v")).join(grid)
-    empty = empty.select(KEY, "period_id", "period", "_B", F.explode(F.sequence(F.lit(0), F.col("_B") - 1)).alias("bin"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), "t_min", "v")
-    held = ("period", "_B", "t_min", "v")
-    bins = d.unionByName(empty).groupBy(KEY, "period_id", "bin").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), *(F.first(c).alias(c) for c in held))
-    # one row for a curve and period, its bins in order: both groups lie within the exchange by curve
-    folded = bins.groupBy(KEY, "period_id").agg(F.sort_array(F.collect_list(F.struct("bin", "s", "n"))).alias("a"), F.sum("s").alias("_S"), F.sum("n").alias("_N"), *(F.first(c).alias(c) for c in held))
-    inside = lambda k, c: f"aggregate(sequence(0, {k - 1}), cast(0 as {'double' if c == 's' else 'bigint'}), (acc, j) -> acc + a[(i + j) % _B].{c})"
-    boxes = [f"named_struct('k', {k}, 'duration', {float(q)}D, 'bin', cast(i as int), 's', {inside(k, 's')}, 'n', {inside(k, 'n')})" for k, q in zip(lengths, durations, strict=True)]
-    tried = f"filter(flatten(transform(a, (x, i) -> array({', '.join(boxes)}))), x -> x.n > 0 and x.n < _N)"
-    gaps = f"transform({tried}, x -> named_struct('x', x, 'gap', (_S - x.s) / (_N - x.n) - x.s / x.n))"
-    # the greatest power, then the earliest bin, then the shortest box
-    scored = f"""transform({gaps}, g -> transform(array(case when g.gap > 0 then 0.5D * g.x.n * g.gap * g.gap else 0D end), power -> named_struct(
-      'less', -round(try_divide(power, v), {DIGITS}), 'bin', g.x.bin, 'k', g.x.k, 'power', power, 'duration', g.x.duration, 'depth', greatest(g.gap, 0D)))[0])"""
-    best = folded.select(KEY, "period_id", "period", "t_min", F.expr(f"array_min({scored})").alias("x")).filter("x is not null")
-    return best.select(KEY, "period_id", "period", "x.power", "x.duration", (F.col("t_min") + (F.col("x.bin") + F.col("x.k") / 2.0) * width).alias("t0"), "x.depth")
+    dealt = lc.repartition(tasks or 2 * lc.sparkSession.sparkContext.defaultParallelism, KEY)
+    d = _centred(dealt).join(grid).select(KEY, "period_id", "period", "_B", F.floor(F.pmod("t", F.col("period")) / width).cast("int").alias("bin"), "y", "t_min", "v", "_S", "_N")
+    held = ("period", "_B", "t_min", "v", "_S", "_N")
+    first = [F.first(c).alias(c) for c in held]
+    bins = d.groupBy(KEY, "period_id", "bin").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"), *first)
+    # a bin is part of the k boxes of k bins that begin at it or up to k - 1 bins before it
+    steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("duration"), F.lit(j).alias("j")) for k, q in zip(lengths, durations, strict=True) for j in range(k)))
+    parts = bins.select(KEY, "period_id", *held, "bin", "s", "n", F.explode(steps).alias("_x")).select(KEY, "period_id", *held, "s", "n", F.col("_x.k").alias("k"), F.col("_x.duration").alias("duration"), F.pmod(F.col("bin") - F.col("_x.j"), F.col("_B")).alias("start"))
+    boxes = parts.groupBy(KEY, "period_id", "k", "start").agg(F.sum("s").alias("s_in"), F.sum("n").alias("n_in"), F.first("duration").alias("duration"), *first).filter("n_in < _N")
+    gap = (F.col("_S") - F.col("s_in")) / (F.col("_N") - F.col("n_in")) - F.col("s_in") / F.col("n_in")
+    power = F.when(gap > 0, 0.5 * F.col("n_in") * gap * gap).otherwise(0.0)
+    scored = boxes.select(KEY, "period_id", "period", F.col("start").alias("bin"), "k", "duration", power.alias("power"), "v", F.greatest(gap, F.lit(0.0)).alias("depth"), (F.col("t_min") + (F.col("start") + F.col("k") / 2.0) * width).alias("t0"))
+    # one minimum that combines on the map side: the greatest power, then the earliest bin, then the shortest box
+    rank = F.struct((-F.round(F.try_divide("power", "v"), DIGITS)).alias("less"), "bin", "k", "period", "power", "duration", "t0", "depth")
+    return scored.groupBy(KEY, "period_id").agg(F.min(rank).alias("x")).select(KEY, "period_id", *(f"x.{c}" for c in ("period", "power", "duration", "t0", "depth")))
 
 
 def _gaps(s_in: np.ndarray, n_in: np.ndarray, total: float, n: int) -> tuple[np.ndarray, np.ndarray]:
