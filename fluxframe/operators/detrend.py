@@ -54,14 +54,20 @@ def savgol_trend(flux: np.ndarray, window: int, polyorder: int) -> np.ndarray:
     """Smoothing by local least squares; the ends take the polynomials of the first and last window."""
     n = len(flux)
     filled = np.where(np.isfinite(flux), flux, np.median(flux[np.isfinite(flux)]) if np.isfinite(flux).any() else 1.0)
+    return smoothed(filled, n, window, polyorder, True, True)
+
+
+def smoothed(filled: np.ndarray, n: int, window: int, polyorder: int, from_start: bool, to_end: bool) -> np.ndarray:
+    """The trend of filled, a run of a curve of n samples. Where the run begins or ends amid the curve, its outermost half window is not to be used."""
     window = savgol_window(n, window, polyorder)
     if window > n or window < 1:
         return np.full(n, np.median(filled) if n else 1.0)
     half, hat = window // 2, savgol_weights(window, polyorder)
     out = np.convolve(filled, hat[half][::-1], "same") if window > 1 else filled.copy()
-    out[:half] = (hat @ filled[:window])[:half]
-    if window - half - 1:
-        out[n - (window - half - 1) :] = (hat @ filled[n - window :])[half + 1 :]
+    if from_start:
+        out[:half] = (hat @ filled[:window])[:half]
+    if to_end and window - half - 1:
+        out[len(filled) - (window - half - 1) :] = (hat @ filled[len(filled) - window :])[half + 1 :]
     return out
 
 
@@ -79,6 +85,12 @@ def running_median_trend(lc: DataFrame, window: int) -> DataFrame:
     Copies of the end samples are added as rows and dropped again, so the frame is an ordinary one and stays in the plan.
     """
     d = lc.withColumns({"_n": F.count(F.lit(1)).over(by_target()), "_m": F.median(over_finite("flux")).over(by_target()), "_k": F.row_number().over(by_seq())})
+    return median_frames(d, window, KEY).select(*lc.columns, "trend")
+
+
+def median_frames(d: DataFrame, window: int, *keys: str) -> DataFrame:
+    """d with its trend, from frames within keys; d has each row's number _k from 1 on, and its curve's rows _n and median _m."""
+    kept = d.columns
     d = d.withColumn("_f", F.when(finite("flux"), F.col("flux")).otherwise(F.coalesce("_m", F.lit(1.0))))
     half = max(window, 1) // 2
     # a window above n is cut to n; an even one grows by one
@@ -87,14 +99,14 @@ def running_median_trend(lc: DataFrame, window: int) -> DataFrame:
     before = F.when(F.col("_k") == 1, F.col("_h")).otherwise(0)
     after = F.when(F.col("_k") == F.col("_n"), F.col("_h")).otherwise(0)
     d = d.withColumn("_r", F.explode(F.sequence(-before, after)))
-    by = Window.partitionBy(KEY).orderBy("_k", "_r")
+    by = Window.partitionBy(*keys).orderBy("_k", "_r")
     near = F.collect_list("_f").over(by.rowsBetween(-half - 1, half + 1))
     at = F.row_number().over(by)
     d = d.withColumns({"_at": at, "_near": near})
     first = F.greatest(F.col("_at") - (half + 1), F.lit(1))
-    d = d.filter("_r = 0").withColumn("_own", F.slice("_near", F.greatest(F.col("_at") - F.col("_h") - first + 1, F.lit(1)).cast("int"), 2 * F.col("_h") + 1))
+    d = d.filter("_r = 0").withColumn("_near", F.slice("_near", F.greatest(F.col("_at") - F.col("_h") - first + 1, F.lit(1)).cast("int"), 2 * F.col("_h") + 1))
     # get, as a filter on the trend may be tried on the copies too, whose frames are cut off
-    return d.withColumn("trend", F.get(F.array_sort("_own"), F.col("_h"))).select(*lc.columns, "trend")
+    return d.withColumn("trend", F.get(F.array_sort("_near"), F.col("_h"))).select(*kept, "trend")
 
 
 def add_trend(lc: DataFrame, method: str = "savgol", polynomial_degree: int = 3, savgol_window: int = 401, savgol_polyorder: int = 3, running_median_window: int = 101) -> DataFrame:

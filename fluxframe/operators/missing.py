@@ -42,14 +42,19 @@ def fill_missing(lc: DataFrame, strategy: str = "linear") -> DataFrame:
         return _fill_cubic(lc)
     point = F.when(~missing, F.struct(F.col("time").alias("t"), flux.alias("f")))
     d = lc.withColumns({"_p": _before(point, by_time()), "_n": _after(point, by_time()), "_first": F.first(flux, True).over(by_seq().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_last": F.last(flux, True).over(by_seq().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_v": F.count("flux").over(by_target())})
-    p, n, t = F.col("_p"), F.col("_n"), F.col("time")
+    return d.withColumn("flux", between(strategy, F.col("_p"), F.col("_n"))).drop("_p", "_n", "_first", "_last", "_v")
+
+
+def between(strategy: str, p: Column, n: Column) -> Column:
+    """flux filled by linear or nearest from the valid points p before and n after, of a curve with _v valid values, _first and _last in array order."""
+    flux, t = F.col("flux"), F.col("time")
     span = n["t"] - p["t"]
     if strategy == "linear":
         inside = F.when(span == 0, p["f"]).otherwise(p["f"] + (n["f"] - p["f"]) * (t - p["t"]) / F.when(span != 0, span))
     else:
         inside = F.when(t - p["t"] <= n["t"] - t, p["f"]).otherwise(n["f"])
     value = F.when(F.col("_v") == 0, F.lit(None)).when(p.isNull(), F.col("_first")).when(n.isNull(), F.col("_last")).otherwise(inside)
-    return d.withColumn("flux", F.when(missing & t.isNotNull(), value).otherwise(flux)).drop("_p", "_n", "_first", "_last", "_v")
+    return F.when(flux.isNull() & t.isNotNull(), value).otherwise(flux)
 
 
 def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:

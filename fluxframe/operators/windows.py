@@ -81,12 +81,17 @@ def generate_windows(lc: DataFrame, window_size: int = 2001, overlap: float = 0.
     Rows must be numbered 0, 1, ... in seq. A curve shorter than a window is padded once to that length, and its windows
     are cut from the padded curve. Missing values are NaN in the arrays. A curve without rows has no windows.
     """
+    d = lc.select(KEY, "seq", "time", "flux", F.count(F.lit(1)).over(by_target()).cast("int").alias("n"))
+    return windows_of(d, window_size, overlap, padding_mode, stride, to_padded)
+
+
+def windows_of(d: DataFrame, window_size: int, overlap: float, padding_mode: str, stride: int | None, to_padded: bool) -> DataFrame:
+    """generate_windows of rows that know n, their curve's length."""
     if padding_mode not in PADDING:
         raise ValueError(f"unknown padding mode {padding_mode!r}")
     step = stride or stride_of(window_size, overlap)
     nan = F.lit(float("nan"))
     point = F.struct("seq", F.coalesce("time", nan).alias("t"), F.coalesce("flux", nan).alias("f"))
-    d = lc.select(KEY, "seq", "time", "flux", F.count(F.lit(1)).over(by_target()).cast("int").alias("n"))
     long = window_rows(d.filter(F.col("n") >= window_size), window_size, stride=step)
     long = long.groupBy(KEY, "n", "idx").agg(F.array_sort(F.collect_list(point)).alias("p")).withColumn("_s", F.col("idx") * step)
     short = d.filter(F.col("n") < window_size).groupBy(KEY, "n").agg(F.array_sort(F.collect_list(point)).alias("p"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.expr import merged
-from .operators import augment, bls, catalog, detrend, metrics, missing, normalize, outliers, quality, statistics, synth, transit, windows
+from .operators import augment, bls, catalog, detrend, metrics, missing, normalize, outliers, pieces, quality, selection, statistics, synth, transit, windows
 from .plans.config import Config, Outliers, Windowing
 from .plans.preprocess import Preprocessing
 from .sources.adapters import curves_from_events
@@ -287,6 +287,44 @@ def _(spark, sf):
     return _window_sums(windows.generate_windows(curves(spark, sf, False), SIZE, stride=STRIDE))
 
 
+# the same over pieces of curves, so small here that every curve has several, and with medians that are selected by counts
+_PIECE, _FEW = 16, 10
+for _s in ("linear", "nearest", "ffill", "bfill"):
+    query(f"pieces_fill_{_s}", ORACLE_SQL[f"fill_{_s}"])(lambda spark, sf, s=_s: _safe_points(pieces.fill_missing(curves(spark, sf), s, _PIECE)))
+
+
+def _divided(d: DataFrame) -> DataFrame:
+    return _points(d.withColumn("flux", F.col("flux") / F.col("trend")))
+
+
+@query("pieces_running_median", ORACLE_SQL["detrend_running_median"])
+def _(spark, sf):
+    return _divided(pieces.running_median_trend(curves(spark, sf, False), 11, _PIECE, _FEW))
+
+
+@query("pieces_savgol", ORACLE_SQL["detrend_savgol"])
+def _(spark, sf):
+    return _divided(pieces.savgol_trend(curves(spark, sf, False), _SG, 3, _PIECE, _FEW))
+
+
+@query("pieces_windows", ORACLE_SQL["windows_padded"])
+def _(spark, sf):
+    return _window_sums(pieces.generate_windows(curves(spark, sf, False), SIZE, stride=STRIDE))
+
+
+@query("pieces_noise_and_gaps", f"{_DIRTY}, {_NOISE}, {_GAPS.format(f=GAP)} select gaps.target_id, {r('noise')} as noise, {r('cadence')} as median_cadence, gap_count, n_times as n_finite_times from gaps join noise on gaps.target_id = noise.target_id")
+def _(spark, sf):
+    return pieces.noise_and_gaps(curves(spark, sf), GAP, _PIECE, _FEW).select("target_id", q("noise").alias("noise"), q("median_cadence").alias("median_cadence"), "gap_count", "n_finite_times")
+
+
+@query("selected_percentiles", f"""{_DIRTY}, a as (select 'all' as target_id, flux from lc where flux is not null union all select target_id, flux from lc where flux is not null)
+select target_id, {', '.join(f"{r(f'quantile_cont(flux, {p})')} as {n}" for p, n in ((0.25, 'q1'), (0.5, 'median'), (0.75, 'q3')))} from a group by target_id""")
+def _(spark, sf):
+    lc = curves(spark, sf)
+    rows = lc.select(F.lit("all").alias("target_id"), "flux").unionByName(lc.select("target_id", "flux"))
+    return selection.percentiles(rows, "target_id", "flux", (0.25, 0.5, 0.75), _FEW).select("target_id", *(q(F.col("q")[i]).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
+
+
 def _ephemeris(lc: DataFrame) -> DataFrame:
     return quality.targets_of(lc).select("target_id", F.lit(PERIOD).alias("period"), F.lit(T0).alias("t0"))
 
