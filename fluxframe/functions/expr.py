@@ -28,6 +28,14 @@ def by_time() -> WindowSpec:
     return Window.partitionBy(KEY).orderBy("time", "seq")
 
 
+def backward(*order: str) -> WindowSpec:
+    """The rows of a curve from its end, the reverse of by_seq or by_time: what follows a row is what comes before it here.
+
+    A frame that reaches forward to the end is computed anew for every row; one that reaches back grows by a row.
+    """
+    return Window.partitionBy(KEY).orderBy(*(F.desc(c) for c in order))
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

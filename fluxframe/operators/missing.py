@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_seq, by_target, by_time, KEY
+from ..functions.expr import backward, by_seq, by_target, by_time, KEY
 
 STRATEGIES = ("linear", "cubic", "nearest", "ffill", "bfill")
 
@@ -21,8 +21,8 @@ def _before(c: Column, by) -> Column:
     return F.last(c, True).over(by.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def _after(c: Column, by) -> Column:
-    return F.first(c, True).over(by.rowsBetween(0, Window.unboundedFollowing))
+def _after(c: Column, *order: str) -> Column:
+    return F.last(c, True).over(backward(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def fill_missing(lc: DataFrame, strategy: str = "linear") -> DataFrame:
@@ -35,13 +35,13 @@ def fill_missing(lc: DataFrame, strategy: str = "linear") -> DataFrame:
     _check(strategy)
     flux, missing = F.col("flux"), F.col("flux").isNull()
     if strategy == "ffill":
-        return lc.withColumn("flux", F.coalesce(_before(flux, by_seq()), _after(flux, by_seq())))
+        return lc.withColumn("flux", F.coalesce(_before(flux, by_seq()), _after(flux, "seq")))
     if strategy == "bfill":
-        return lc.withColumn("flux", F.coalesce(_after(flux, by_seq()), _before(flux, by_seq())))
+        return lc.withColumn("flux", F.coalesce(_after(flux, "seq"), _before(flux, by_seq())))
     if strategy == "cubic":
         return _fill_cubic(lc)
     point = F.when(~missing, F.struct(F.col("time").alias("t"), flux.alias("f")))
-    d = lc.withColumns({"_p": _before(point, by_time()), "_n": _after(point, by_time()), "_first": F.first(flux, True).over(by_seq().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_last": F.last(flux, True).over(by_seq().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_v": F.count("flux").over(by_target())})
+    d = lc.withColumns({"_p": _before(point, by_time()), "_n": _after(point, "time", "seq"), "_first": F.first(flux, True).over(by_seq().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_last": F.last(flux, True).over(by_seq().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_v": F.count("flux").over(by_target())})
     return d.withColumn("flux", between(strategy, F.col("_p"), F.col("_n"))).drop("_p", "_n", "_first", "_last", "_v")
 
 

@@ -60,9 +60,9 @@ def _ends(d: DataFrame, values: dict[str, Column], order: Column) -> DataFrame:
     """(target, piece, and for each value its last one before the piece, <name>_before, and its first one after it, <name>_after)."""
     at = lambda v: F.when(v.isNotNull(), order)
     own = d.groupBy(KEY, PIECE).agg(*(f(v, at(v)).alias(f"_{side}_{name}") for name, v in values.items() for side, f in (("last", F.max_by), ("first", F.min_by))))
-    w = Window.partitionBy(KEY).orderBy(PIECE)
+    w, back = Window.partitionBy(KEY).orderBy(PIECE), Window.partitionBy(KEY).orderBy(F.desc(PIECE))
     for name in values:
-        own = own.withColumns({f"{name}_before": F.last(f"_last_{name}", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), f"{name}_after": F.first(f"_first_{name}", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+        own = own.withColumns({f"{name}_before": F.last(f"_last_{name}", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), f"{name}_after": F.last(f"_first_{name}", True).over(back.rowsBetween(Window.unboundedPreceding, -1))})
     return own.select(KEY, PIECE, *(f"{name}_{side}" for name in values for side in ("before", "after")))
 
 
@@ -70,8 +70,10 @@ def _with_ends(d: DataFrame, values: dict[str, Column], order: Column, *by: str)
     """d with, for each value, the last one up to a row, <name>_before, and the first one from it on, <name>_after, over the whole curve."""
     ends = broadcast_if_small(settled(_ends(d, values, order)).withColumnsRenamed({KEY: "_t", PIECE: "_p"}))
     j = d.join(ends, F.col(KEY).eqNullSafe(F.col("_t")) & (F.col(PIECE) == F.col("_p")), "left").drop("_t", "_p")
-    w = _in(*by)
-    return j.withColumns({f"{name}_before": F.coalesce(F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col(f"{name}_before")) for name, v in values.items()} | {f"{name}_after": F.coalesce(F.first(v, True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col(f"{name}_after")) for name, v in values.items()})
+    # what follows is looked for in the reverse order: a frame that reaches forward would be computed anew for every row
+    orders = {"before": _in(*by), "after": _in(*map(F.desc, by))}
+    near = lambda v, side: F.last(v, True).over(orders[side].rowsBetween(Window.unboundedPreceding, 0))
+    return j.withColumns({f"{name}_{side}": F.coalesce(near(v, side), F.col(f"{name}_{side}")) for name, v in values.items() for side in orders})
 
 
 def fill_missing(lc: DataFrame, strategy: str = "linear", size: int = SIZE) -> DataFrame:
