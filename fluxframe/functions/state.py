@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once into the folder of spark.checkpoint.dir, with its lineage cut; a lost executor loses nothing.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir.
 
-    Where no folder is set, a temporary one stands in for it in local mode; on a cluster no executor would find that again,
+    Where that is unset, a temporary folder stands in for it in local mode; on a cluster no executor would find that again,
     so it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="settled_"))
+    return f"{context.getCheckpointDir()}/{name}_{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared folder, with its lineage cut; a lost executor loses nothing."""
+    shared_folder(df.sparkSession, "")
     return df.checkpoint()

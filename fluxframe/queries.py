@@ -16,7 +16,9 @@ from .functions.expr import merged
 from .operators import augment, bls, catalog, detrend, metrics, missing, normalize, outliers, pieces, quality, selection, statistics, synth, transit, windows
 from .plans.config import Config, Outliers, Windowing
 from .plans.preprocess import Preprocessing
+from .functions.state import shared_folder
 from .sources.adapters import curves_from_events
+from .streaming import series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -325,6 +327,24 @@ def _(spark, sf):
     return selection.percentiles(rows, "target_id", "flux", (0.25, 0.5, 0.75), _FEW).select("target_id", *(q(F.col("q")[i]).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
 
 
+# events as a stream: what its watermark, an hour behind the newest event and in milliseconds, has passed
+@query("stream_gaps", f"""with e as (select cast(user_id as varchar) as target_id, epoch_us(ts) as us, value from events),
+p as (select target_id, us, value, us - lag(us) over (partition by target_id order by us, value) as gap, value - lag(value) over (partition by target_id order by us, value) as step
+  from e where us <= (select (max(us) - 3600000000) // 1000 * 1000 from e))
+select target_id, count(*) as n, count(*) filter (where gap > {GAP} * 86400000000) as n_gaps, {r('coalesce(max(gap), 0) / 86400000000.0')} as longest_gap_days, {r('coalesce(stddev_pop(step), 0) / sqrt(2.0)')} as noise from p group by target_id""")
+def _(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(events).parquet(f"{sf}/events.parquet*").select(F.col("user_id").cast("string").alias("target_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("flux"))
+    found = series.settle_now(stream, shared_folder(spark, "stream_gaps"), GAP)
+    return found.select("target_id", "n", "n_gaps", q("longest_gap_days").alias("longest_gap_days"), q("noise").alias("noise"))
+
+
+@query("sketched_quantiles")
+def _(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias("target_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("flux"))
+    return series.approximate_quantiles(series.window_sketches(events))
+
+
 def _ephemeris(lc: DataFrame) -> DataFrame:
     return quality.targets_of(lc).select("target_id", F.lit(PERIOD).alias("period"), F.lit(T0).alias("t0"))
 
