@@ -17,6 +17,7 @@ from .operators import augment, bls, catalog, detrend, metrics, missing, normali
 from .plans.config import Config, Outliers, Windowing
 from .plans.preprocess import Preprocessing
 from .functions.state import shared_folder
+from .sources import fits, target_files
 from .sources.adapters import curves_from_events
 from .streaming import series
 
@@ -77,6 +78,23 @@ cad as (select target_id, coalesce(median(s) filter (where s > 0), 0) as cadence
 gaps as (select s.target_id, any_value(cadence) as cadence, count(*) filter (where s > {f} * cadence and cadence > 0) as gap_count, count(*) as n_times from s join cad on s.target_id = cad.target_id group by s.target_id)"""
 
 
+# written by Spark tasks as FITS files, and read in ranges of their rows
+@query("scan_fits", f"{_CLEAN} {_POINTS} from lc")
+def _(spark, sf):
+    fits.register(spark)
+    path = shared_folder(spark, "scan_fits")
+    curves(spark, sf, False).select("target_id", "seq", "time", "flux").write.format("fits").mode("append").save(path)
+    return _points(spark.read.format("fits").schema("target_id string, seq bigint, time double, flux double").option("rowsPerPartition", 500).load(path))
+
+
+# a file for each target, written where its rows are, and read again by name and line
+@query("scan_target_files", f"{_CLEAN} {_POINTS} from lc")
+def _(spark, sf):
+    path = shared_folder(spark, "scan_target_files")
+    target_files.write_csv(curves(spark, sf, False), path)
+    return _points(target_files.read_csv(spark, path))
+
+
 @query("lc_statistics", f"""{_DIRTY}, {_NOISE}, {_GAPS.format(f=10)},
 a as (select target_id, count(*) as n, count(*) filter (where flux is null or isinf(flux)) as miss, max(time) - min(time) as span from lc group by target_id),
 f as (select target_id, avg(flux) as mean, median(flux) as med, stddev_pop(flux) as sd, var_pop(flux) as va, min(flux) as lo, max(flux) as hi, sqrt(avg(flux * flux)) as rms from fin group by target_id)

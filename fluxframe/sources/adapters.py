@@ -86,12 +86,13 @@ def _number(c: str) -> Column:
 def read_csv(spark: SparkSession, path: str, time_col: str | None = None, flux_col: str | None = None, order_by: list[str] | None = None, target: str | None = None) -> DataFrame:
     """CSV files with a header. A file is a curve, named after it, unless target names a column; lines are in array order.
 
-    Columns are read as text, so infinite values are kept. Files of many splits need order_by for their array order.
+    Columns are read as text, so infinite values are kept. A line's order is that of its split in the file, then that of
+    the line in its split, so files of many splits come in order too.
     """
     raw = spark.read.option("header", True).csv(path)
     t, f = pick_columns(raw.columns, time_col, flux_col)
-    d = raw.select(*(c for c in raw.columns if c not in (t, f)), _number(t).alias(t), _number(f).alias(f), F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)*$", 1).alias("_file"), F.monotonically_increasing_id().alias("_line"))
-    return from_table(d, t, f, order_by or ["_line"], target or "_file")
+    d = raw.select(*(c for c in raw.columns if c not in (t, f)), _number(t).alias(t), _number(f).alias(f), F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)*$", 1).alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
+    return from_table(d, t, f, order_by or ["_start", "_line"], target or "_file")
 
 
 def parse_npy(content: bytes) -> np.ndarray:
