@@ -26,26 +26,26 @@ def inject_transit(lc: DataFrame, depth: float, center: int, duration: int) -> D
     return lc.withColumn("_n", n).withColumn("flux", F.col("flux") + transit_ramp(F.col("seq"), F.lit(depth), F.lit(center), F.lit(duration), F.col("_n"))).drop("_n")
 
 
-def sample_parameters(spark: SparkSession, n_samples: int, window_size: int, seed: int = 42) -> DataFrame:
-    """(sample_id, label, depth, duration, center, cycles, amplitude, angle): the first half of the samples has a transit."""
+def sample_parameters(spark: SparkSession, n_samples: int, window_size: int, seed: int = 42, samples: DataFrame | None = None) -> DataFrame:
+    """(sample_id, label, depth, duration, center, cycles, amplitude, angle): the first half of the samples has a transit; of samples(sample_id, label), if given, those of label 1."""
     u = lambda name: uniform(seed, F.lit(name), "sample_id")
-    d = spark.range(n_samples).select(F.col("id").alias("sample_id")).withColumn("label", (F.col("sample_id") < n_samples // 2).cast("int"))
+    d = samples if samples is not None else spark.range(n_samples).select(F.col("id").alias("sample_id")).withColumn("label", (F.col("sample_id") < n_samples // 2).cast("int"))
     d = d.withColumns({"depth": between(*DEPTHS, u("depth")), "duration": F.greatest(F.floor(between(*DURATIONS, u("duration")) * window_size), F.lit(5)).cast("int"), "cycles": between(*CYCLES, u("cycles")), "amplitude": between(*AMPLITUDES, u("amplitude")), "angle": between(0.0, TAU, u("angle"))})
     return d.withColumn("center", (F.col("duration") + F.floor(u("center") * (window_size - 2 * F.col("duration")))).cast("int"))
 
 
-def synthetic_points(spark: SparkSession, n_samples: int = 5000, window_size: int = 2001, noise_sigma: float = 0.001, seed: int = 42) -> DataFrame:
+def synthetic_points(spark: SparkSession, n_samples: int = 5000, window_size: int = 2001, noise_sigma: float = 0.001, seed: int = 42, samples: DataFrame | None = None) -> DataFrame:
     """(sample_id, label, i, clean, noisy): a row per point."""
-    d = sample_parameters(spark, n_samples, window_size, seed).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(window_size - 1))))
+    d = sample_parameters(spark, n_samples, window_size, seed, samples).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(window_size - 1))))
     clean = F.when(F.col("label") == 1, transit_ramp(F.col("i"), F.col("depth"), F.col("center"), F.col("duration"), window_size)).otherwise(0.0)
     trend = F.col("amplitude") * F.sin(TAU * F.col("cycles") * F.col("i") / window_size + F.col("angle"))
     d = d.withColumn("clean", clean)
     return d.select("sample_id", "label", "i", "clean", (F.col("clean") + noise_sigma * normal(seed, F.lit("noise"), "sample_id", "i") + trend).alias("noisy"))
 
 
-def synthetic_dataset(spark: SparkSession, n_samples: int = 5000, window_size: int = 2001, noise_sigma: float = 0.001, seed: int = 42) -> DataFrame:
+def synthetic_dataset(spark: SparkSession, n_samples: int = 5000, window_size: int = 2001, noise_sigma: float = 0.001, seed: int = 42, samples: DataFrame | None = None) -> DataFrame:
     """(sample_id, noisy, clean, label) with array columns; arrays are built in place, without a shuffle."""
-    d = sample_parameters(spark, n_samples, window_size, seed)
+    d = sample_parameters(spark, n_samples, window_size, seed, samples)
     i = F.sequence(F.lit(0), F.lit(window_size - 1))
     clean = F.transform(i, lambda k: F.when(F.col("label") == 1, transit_ramp(k, F.col("depth"), F.col("center"), F.col("duration"), window_size)).otherwise(0.0))
     noise = F.transform(i, lambda k: noise_sigma * normal(seed, F.lit("noise"), "sample_id", k) + F.col("amplitude") * F.sin(TAU * F.col("cycles") * k / window_size + F.col("angle")))
@@ -76,12 +76,12 @@ def stratified_split(samples: DataFrame, test_size: float = 0.2, seed: int = 42,
     return j.withColumn("is_test", chosen).select(*samples.columns, "is_test")
 
 
-def demo_curves(spark: SparkSession, n_curves: int = 1, n_points: int = 2001, span: float = 50.0, period: float = 10.02, depth: float = 0.012, duration_frac: float = 0.03, noise: float = 0.002, outliers: int = 15, seed: int = 42) -> DataFrame:
+def demo_curves(spark: SparkSession, n_curves: int = 1, n_points: int = 2001, span: float = 50.0, period: float = 10.02, depth: float = 0.012, duration_frac: float = 0.03, noise: float = 0.002, outliers: int = 15, seed: int = 42, targets: DataFrame | None = None) -> DataFrame:
     """(target_id, mission, seq, time, flux, clean): curves with periodic cosine dips at phase 0.5, two slow waves, noise and so many outliers.
 
-    The numbers given as defaults are fixed values.
+    The numbers given as defaults are fixed values. targets(id), if given, has a row for each curve instead of n_curves.
     """
-    d = spark.range(n_curves).select(F.concat(F.lit("demo-"), F.col("id")).alias("target_id")).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_points - 1).cast("bigint"))))
+    d = (targets if targets is not None else spark.range(n_curves)).select(F.concat(F.lit("demo-"), F.col("id")).alias("target_id")).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_points - 1).cast("bigint"))))
     d = d.withColumn("time", F.col("seq") * (span / (n_points - 1))).withColumn("_x", (F.pmod("time", F.lit(period)) / period - 0.5) / (duration_frac / 2))
     d = d.withColumn("clean", 1.0 - F.when(F.abs("_x") < 1, depth * 0.5 * (1 + F.cos(3.141592653589793 * F.col("_x")))).otherwise(0.0))
     waves = 0.003 * F.sin(TAU * F.col("time") / 25) + 0.002 * F.sin(TAU * F.col("time") / 7)

@@ -28,9 +28,9 @@ class Trained:
     metrics: DataFrame
 
 
-def train(spark: SparkSession, n_samples: int = 5000, window_size: int = 2001, seed: int = 42, kind: str = "logistic") -> Trained:
-    """Samples are made, split by label, denoised and classified; metrics are of the test part."""
-    samples = stratified_split(synthetic_dataset(spark, n_samples, window_size, seed=seed), seed=seed)
+def train(spark: SparkSession, n_samples: int = 5000, window_size: int = 2001, seed: int = 42, kind: str = "logistic", samples: DataFrame | None = None) -> Trained:
+    """Samples are made, or given as samples(sample_id, noisy, clean, label), split by label, denoised and classified; metrics are of the test part."""
+    samples = stratified_split(samples if samples is not None else synthetic_dataset(spark, n_samples, window_size, seed=seed), seed=seed)
     denoiser = Denoiser().fit(samples.filter("not is_test"))
     ready = window_features(denoiser.transform(samples), "denoised")
     classifier = train_classifier(ready.filter("not is_test"), kind, seed=seed)
