@@ -1,13 +1,15 @@
 """Benchmark decontamination by winnowing.
 
 Of every 6 consecutive 8-word fingerprints the smallest is kept (the rightmost of equal ones), so two texts that share 13
-words in a row keep at least one common fingerprint at matching places (Schleimer, Wilkerson, Aiken 2003). Fingerprints of
-documents and benchmark items are joined; a match proposes a diagonal (document place minus item place), which is extended
-over the item's whole length and confirmed word by word. Items of fewer than 13 words are matched whole, by one fingerprint
-for each length that occurs.
+words in a row keep at least one common fingerprint at matching places (Schleimer, Wilkerson, Aiken 2003). A document's
+fingerprints that some item has too are extended to the 13-word windows around them, and these are joined to the items' windows
+by a digest of their words. So a phrase shorter than a window costs its fingerprints, however many documents and items have it,
+and no pair of a document and an item is made before a whole window is known to be shared. Windows that the same items have
+share one set of items, which a document meets once. Items of fewer than 13 words are matched whole, by one fingerprint for
+each length that occurs.
 
 Fingerprints are taken inside a row with array functions, without a shuffle. The join broadcasts the benchmark's
-fingerprints if they are counted to be few, and shuffles both sides otherwise. Only texts with a proposed diagonal are
+fingerprints if they are counted to be few, and shuffles both sides otherwise. Only texts with a common fingerprint are
 read again. Everything is DataFrame expressions.
 """
 
@@ -60,6 +62,25 @@ def fingerprints(worded: DataFrame, short: list[int], whole_only: bool) -> DataF
     return d.withColumn("_fp", F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0])).drop("_h", "_g")
 
 
+def _digest(start: str, n: str) -> str:
+    """SQL: 128 bits that stand for n words from start on; no word holds a space."""
+    return f"md5(array_join(slice(words, {start} + 1, {n}), ' '))"
+
+
+def item_sets(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((window, set), (set, item)): every window of items(item, words), and the items that have it, as a set that other windows may share.
+
+    A set is known by sums of its items' hashes, so no window gathers its items.
+    """
+    size = f"least({SHARED}, size(words))"
+    every = f"array_distinct(transform(sequence(0, size(words) - {size}), i -> {_digest('i', size)}))"
+    pairs = cut(items.select("item", F.explode_outer(F.expr(every)).alias("window")).distinct())
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), "item").cast("decimal(38, 0)")).cast("string")
+    sets = cut(pairs.groupBy("window").agg(F.md5(F.concat_ws(":", total(1), total(2), F.count(F.lit(1)).cast("string"))).alias("set")))
+    one = sets.groupBy("set").agg(F.min("window").alias("window"))
+    return sets, cut(pairs.join(one, "window").select("set", "item"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_hit, n_items, items, contaminated) of every row of docs.
 
@@ -71,7 +92,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = cut(words_of(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("_t")), "_t").filter("item is not null and size(words) > 0"))
     short = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words") < SHARED).distinct().collect())  # 12 numbers at most
-    item_fp = cut(fingerprints(items, short, True).select("item", F.explode_outer("_fp").alias("f")).select(F.col("f.hash").alias("hash"), F.col("f.place").alias("item_place"), "item").filter("hash is not null"))
+    item_fp = cut(fingerprints(items, short, True).select(F.explode_outer("_fp").alias("f")).select(F.col("f.hash").alias("hash")).filter("hash is not null").distinct())
+    sets, members = item_sets(items)
 
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
     # equal rows share a key, and so their hits
@@ -80,26 +102,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     doc_fp = fingerprints(worded, short, False).select("_key", "_key2", F.explode_outer("_fp").alias("f")).select("_key", "_key2", F.col("f.hash").alias("hash"), F.col("f.place").alias("place"))
     # explode_outer: from explode the optimizer infers a filter, and pushing it down would compute the arrays once per element
     # a fingerprint that very many documents have: the few rows of the benchmark side are broadcast, or Spark splits the hot partition
-    slim = maybe_broadcast(item_fp.select("hash", "item_place", "item"))
-    diagonals = cut(doc_fp.join(slim, "hash").select("_key", "_key2", "item", (F.col("place") - F.col("item_place")).alias("shift")).distinct())
-
-    hit_keys = maybe_broadcast(diagonals.select("_key", "_key2").distinct())
-    again = worded.join(hit_keys, ["_key", "_key2"], "left_semi").drop("_id").dropDuplicates(["_key", "_key2"])
-    # a document's diagonals meet its words in one row, with the words of each item once, and words are read by place: a text
-    # that repeats an item very often costs no more than its diagonals times the item
-    by_item = diagonals.groupBy("_key", "_key2", "item").agg(F.collect_list("shift").alias("shifts")).join(maybe_broadcast(items.withColumnRenamed("words", "item_words")), "item")
-    lined = by_item.groupBy("_key", "_key2").agg(F.collect_list(F.struct("item", "item_words", "shifts")).alias("_d")).join(again, ["_key", "_key2"])
-    differ = "filter(sequence(0, size(d.item_words) - 1), i -> not coalesce(d.item_words[i] = get(words, i + s), false))"
-    each = f"flatten(transform(_d, d -> transform(d.shifts, s -> named_struct('item', d.item, 'shift', s, 'm', size(d.item_words), 'apart', concat(array(-1), {differ}, array(size(d.item_words)))))))"
-    runs = lined.select("_key", "_key2", F.explode_outer(F.expr(each)).alias("_x")).select("_key", "_key2", "_x.item", "_x.shift", F.col("_x.apart").alias("_apart"), F.expr(f"least({SHARED}, _x.m)").alias("_need"))
-    runs = runs.withColumn("_run", F.explode_outer(F.expr("filter(transform(_apart, (a, i) -> named_struct('a', a + 1, 'b', coalesce(get(_apart, i + 1), a + 1))), r -> r.b - r.a >= _need)"))).filter("_run is not null")
-    # an item of fewer than 13 words is one window, so its run is its whole length
-    runs = runs.select("_key", "_key2", "item", (F.col("shift") + F.col("_run.a")).alias("a"), (F.col("shift") + F.col("_run.b")).alias("b"))
-    runs = cut(runs)
+    met = doc_fp.join(maybe_broadcast(item_fp), "hash", "left_semi").select("_key", "_key2", F.struct("place", F.shiftrightunsigned("hash", 64 - PLACE).cast("int").alias("k")).alias("m"))
+    met = cut(met.groupBy("_key", "_key2").agg(F.collect_set("m").alias("_m")))  # at most a text's own fingerprints
+    again = worded.join(maybe_broadcast(met.select("_key", "_key2")), ["_key", "_key2"], "left_semi").drop("_id").dropDuplicates(["_key", "_key2"])
+    around = f"transform(sequence(greatest(0, m.place - {WINDOW - 1}), least(m.place, size(words) - {SHARED})), s -> named_struct('a', s, 'n', {SHARED}))"
+    around = f"array_distinct(flatten(transform(_m, m -> case when m.k = 0 then {around} else array(named_struct('a', m.place, 'n', m.k)) end)))"
+    digests = f"transform({around}, w -> named_struct('a', w.a, 'b', w.a + w.n, 'window', {_digest('w.a', 'w.n')}))"
+    windows = met.join(again, ["_key", "_key2"]).select("_key", "_key2", F.explode_outer(F.expr(digests)).alias("w")).select("_key", "_key2", "w.*")
+    runs = cut(windows.join(maybe_broadcast(sets), "window").select("_key", "_key2", "a", "b", "set"))
     spans = runs.select("_key", "_key2", "a", "b").groupBy("_key", "_key2", "a").agg(F.max("b").alias("b"))
     seen = "max(b) over (partition by _key, _key2 order by a rows between unbounded preceding and 1 preceding)"
     hits = spans.selectExpr("_key", "_key2", f"greatest(0, b - greatest(a, coalesce({seen}, a))) as n").groupBy("_key", "_key2").agg(F.sum("n").alias("n_hit"))
-    found = runs.select("_key", "_key2", "item").distinct().groupBy("_key", "_key2").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    named = runs.select("_key", "_key2", "set").distinct().join(maybe_broadcast(members), "set").select("_key", "_key2", "item").distinct()
+    found = named.groupBy("_key", "_key2").agg(F.array_sort(F.collect_list("item")).alias("items"))
     found = cut(hits.join(found, ["_key", "_key2"]))
     n_words = F.regexp_count(text_or_empty("_t"), F.lit(_ANY_CASE)).cast("bigint").alias("n_words")
     out = keyed.select("_id", "_key", "_key2", n_words).join(maybe_broadcast(found), ["_key", "_key2"], "left")

@@ -155,3 +155,23 @@ def test_every_alias_reaches_the_block(spark):
     rules = spark.createDataFrame([("block", "x.bad.net/a"), ("block", "m8.org/p/bad")], "verdict string, rule string")
     got = {r.page_id: (r.verdict, r.equivalent) for r in uf.filter_urls(df, rules).collect()}
     assert got == dict.fromkeys(range(len(blocked)), ("block", True)) | {len(blocked): ("allow", False)}
+
+
+def test_a_phrase_shorter_than_a_window_makes_no_pairs(spark, monkeypatch):
+    """Four hundred items and a thousand documents share a sentence of ten words, and two of each a whole window."""
+    from fluxframe.llm import decontaminate
+
+    phrase = "which of the following best describes the main idea here"
+    own = lambda kind, i: " ".join(f"{kind}{i}x{j}" for j in range(20))
+    items = [(f"i{i}", f"{own('a', i)} {phrase} {own('b', i)}") for i in range(400)] + [("p", f"{phrase} and more words q"), ("q", f"{phrase} and more words q r")]
+    docs = [(i, f"{own('c', i)} {phrase} {own('d', i)}") for i in range(1000)] + [(2000, f"z {phrase} and more words q r z")]
+    kept, real = [], decontaminate.cut
+    monkeypatch.setattr(decontaminate, "cut", lambda df: kept.append(real(df)) or kept[-1])
+    found = {r.doc_id: r for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert {d for d, r in found.items() if r.n_hit} == {2000}
+    assert (found[2000].n_hit, found[2000].items) == (15, ["p", "q"])
+    for df in kept:
+        if "a" in df.columns:
+            assert df.count() == 3  # confirmed windows
+        elif "_m" in df.columns:
+            assert df.count() <= len(docs)
