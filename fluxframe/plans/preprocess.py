@@ -1,7 +1,8 @@
 """The preprocessing plan: ten stages over all curves at once.
 
-Stages are lazy and share one exchange on target_id; what the stage log records as time is the time to plan, and counts
-are taken only if asked for. Windows and statistics see the flux before augmentation.
+Stages are lazy and share one exchange on target_id; what the stage log records as time is the time to plan, but for
+save_output, whose writes run. Rows of stages come from observations, which the jobs that run anyway fill in, or, if asked
+for, from counts, a job each. Windows and statistics see the flux before augmentation.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY, resequence
@@ -41,6 +42,7 @@ class StageLog:
     warnings: list[str] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
     config_used: dict = field(default_factory=dict)
+    observed: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -71,10 +73,11 @@ class Result:
 
 
 class Preprocessing:
-    def __init__(self, config: Config | None = None, count: bool = False, persist: bool = False):
-        """count takes each stage's number of samples. persist keeps the filled and the processed curves, on memory or disk,
+    def __init__(self, config: Config | None = None, count: bool = False, persist: bool = False, observe: bool = False):
+        """count takes each stage's number of samples by a job. observe takes it, and the missing ones, in the jobs that run anyway; see observed. persist keeps the filled and the processed curves, on memory or disk,
         for callers that read several tables of a result; without it every table runs the plan from its source."""
-        self.config, self.count, self.persist = config or Config(), count, persist
+        self.config, self.count, self.persist, self.observe = config or Config(), count, persist, observe
+        self._seen: dict[str, Observation] = {}
         self.stages: list[StageLog] = []
 
     @contextmanager
@@ -92,17 +95,34 @@ class Preprocessing:
             log.info("%s: %.3f s", name, entry.execution_time_sec)
 
     def _counted(self, entry: StageLog, df: DataFrame) -> DataFrame:
+        if self.observe:
+            self._seen[entry.stage_name] = seen = Observation()
+            missing = [F.count_if(F.col("flux").isNull()).alias("n_missing")] if dict(df.dtypes)["flux"] == "double" else []
+            df = df.observe(seen, F.count(F.lit(1)).alias("n_samples"), *missing)
         if self.count:
             entry.n_samples = df.count()
         return df
 
+    def observed(self, *stages: str) -> list[StageLog]:
+        """The log with what the first job over each stage has seen of it, without a job of its own.
+
+        Call it when such a job has ended: for a stage that none has read, it waits. By default it asks all stages but
+        the windows, which the processed curves do not go through.
+        """
+        for entry in self.stages:
+            name = entry.stage_name
+            if name in self._seen and name in (stages or set(STAGES) - {"window_generation"}):
+                entry.observed = self._seen[name].get
+                entry.n_samples = entry.observed["n_samples"]
+        return self.stages
+
     def _kept(self, df: DataFrame) -> DataFrame:
         return df.persist() if self.persist else df
 
     def run(self, lc: DataFrame, training: bool = True, save_to: str | None = None, metadata: dict | None = None) -> Result:
         """All stages in order. Curves that validation finds invalid go on; rows that are not finite go with the outliers."""
         c = self.config
-        self.stages = []
+        self.stages, self._seen = [], {}
         with self._stage("load_data") as s:
             raw = self._counted(s, lc.select("target_id", "mission", "seq", "time", "flux"))
         with self._stage("validate"):
@@ -132,12 +152,17 @@ class Preprocessing:
         with self._stage("augmentation") as s:
             final = self._counted(s, augment(processed, c.augmentation.steps, training, c.augmentation.enabled, c.random_seed))
         result = Result(raw, validation, filled, counts, cleaned, removed, params, processed, windows, statistics, final, self.stages, metadata or {})
-        with self._stage("save_output", c.output):
+        with self._stage("save_output", c.output) as s:
             if save_to:
-                write_curves(final, f"{save_to}/processed")
-                write_json_lines(result.report(), f"{save_to}/report")
+                writes = {"processed": lambda: write_curves(final, f"{save_to}/processed"), "report": lambda: write_json_lines(result.report(), f"{save_to}/report")}
                 if c.output.save_windows:
-                    write_windows(windows, f"{save_to}/windows")
+                    writes["windows"] = lambda: write_windows(windows, f"{save_to}/windows")
+                for name, write in writes.items():
+                    began = time.perf_counter()
+                    write()
+                    s.observed[f"{name}_sec"] = time.perf_counter() - began
+        if save_to and self.observe:
+            self.observed(*(set(STAGES) if c.output.save_windows else ()))
         return result
 
     def run_from_source(self, spark: SparkSession, data, training: bool = True, save_to: str | None = None, target_id: str | None = None, mission: str | None = None, **columns: str) -> Result:

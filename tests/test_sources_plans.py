@@ -246,3 +246,52 @@ def test_fits_scaling():
     scaled = scaled[: at + 80].ljust(-(-(at + 80) // 2880) * 2880) + body
     table, _ = adapters.parse_fits(scaled)
     assert table[:, 0].tolist() == [2454833.0, 2454834.0, 2454835.0] and table[:, 1].tolist() == [10.5] * 3
+
+
+def test_fetch_in_tasks(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def fetch(target):
+        i = int(target)
+        if i % 100 == 7:
+            raise OSError("gone")
+        if i % 100 == 8:  # fails until it was repaired
+            if not Path(f"{folder}/{target}").exists():
+                raise ValueError("spoilt")
+        if i % 100 == 9:
+            yield "m", np.arange(3.0), np.arange(2.0)
+        yield "m", np.arange(3.0), np.full(3, 2.0)
+        yield "m", 10 + np.arange(2.0), np.array([4.0, np.nan])
+
+    def repair(target, error):
+        if "spoilt" in str(error):
+            Path(f"{folder}/{target}").touch()
+
+    targets = spark.range(1000).select(F.col("id").cast("string").alias("target_id"))
+    segments, failures = archive.fetch_in_tasks(targets.union(targets.limit(5)), fetch, repair=repair, attempts=3, tasks=8)
+    bad = {r.target_id: (r.attempts, r.error) for r in failures.collect()}
+    assert len(bad) == 20 and bad["107"] == (3, "OSError: gone") and bad["109"][1].startswith("ValueError: time and flux length mismatch")
+    assert segments.count() == 980 * 5 and segments.select("target_id").distinct().count() == 980
+    sizes = [len(archive.fetch_in_tasks(targets.limit(n), fetch, attempts=1)[0]._jdf.queryExecution().logical().toString()) for n in (2, 900)]
+    assert abs(sizes[0] - sizes[1]) < 100  # the plan does not grow with the targets
+    own = archive.curves_of(segments.filter("target_id = '1'")).orderBy("seq").collect()
+    assert [(r.seq, r.time, r.flux) for r in own] == [] or all(r.flux == 1.0 for r in own)
+
+
+def test_stages_are_observed_by_the_jobs_that_run(spark, tmp_path):
+    lc = frame(spark, a=messy(), b=(T, X))
+    plain = Preprocessing(count=True)
+    plain.run(lc)
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("observing"))
+    plan = Preprocessing(observe=True)
+    spark.sparkContext.setJobGroup("observing", "")
+    try:
+        result = plan.run(lc, save_to=str(tmp_path))
+        saved = jobs()
+        log = {s.stage_name: s for s in plan.observed("load_data", "handle_missing_values", "remove_outliers")}
+        assert jobs() == saved
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {n: s.n_samples for n, s in log.items()} == {s.stage_name: s.n_samples for s in plain.stages}
+    assert log["load_data"].observed["n_missing"] > 0 == log["handle_missing_values"].observed["n_missing"]
+    assert set(log["save_output"].observed) == {"processed_sec", "report_sec", "windows_sec"} and result.final.count() == log["augmentation"].n_samples
