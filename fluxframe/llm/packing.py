@@ -10,6 +10,7 @@ Text never leaves the task that tokenizes it; what is shuffled are the pieces' c
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -41,6 +42,10 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 _PLAIN = [c for c in _LATIN if (c in "\t\n\v\f\r" or c >= " ") and not "\x7f" <= c < "\xa0" and len(c.lower()) == 1 and c.lower() in _LATIN]
 #: Texts with other characters, or special tokens.
 _ODD = re.compile(f"[^{''.join(map(re.escape, _PLAIN))}]|<\\|")
+#: What a tokenizer file must say for its texts to be split here, as fixed values: its normalizer, and its split before the model.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 PIECES = "doc bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
 
 
@@ -66,7 +71,8 @@ class Encoder:
     """Texts to ids as little-endian unsigned 32-bit numbers, equal to the tokenizer's own for whole texts.
 
     Texts of Latin letters are split here into the pieces that the tokenizer would split them into, and each new piece goes
-    to its model alone; other texts are split at white space and each new unit goes through the whole tokenizer.
+    to its model alone; other texts are split at white space and each new unit goes through the whole tokenizer. Both hold
+    only for a file that normalizes and splits as _NORMALIZER and _SPLIT say; any other gets whole texts, some at a time.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -74,6 +80,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.splits = told["normalizer"] == _NORMALIZER and told["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
         self.limit = cache
         self.pieces: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
@@ -104,7 +113,20 @@ class Encoder:
                 self.units[unit] = np.array(e.ids, "<u4").tobytes()
         return b"".join(map(self.units.__getitem__, units))
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Texts through the tokenizer as they are, in batches of a million characters or one text."""
+        out, part, size = [], [], 0
+        for i, t in enumerate(texts):
+            part.append(t)
+            size += len(t)
+            if size >= 1_000_000 or i + 1 == len(texts):
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+                part, size = [], 0
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.splits:
+            return self._whole(texts)
         return [self._other(t) if _ODD.search(t) else self._plain(t) for t in texts]
 
 

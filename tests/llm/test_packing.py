@@ -77,3 +77,11 @@ def test_ids_of_every_code_point_are_the_tokenizers():
         part = texts[at : at + 5000]
         for text, want, got in zip(part, known.encode_batch(part, add_special_tokens=False), own.ids(part), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == want.ids, [hex(ord(x)) for x in text]
+
+
+def test_another_tokenizer_file_gets_whole_texts(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    own, tokenizer = Encoder(path), Tokenizer.from_file(path)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", "  Two  spaces, CAPITALS\n\n", "xy " * 200_000]
+    assert not own.splits and Encoder(tokenizer_path()).splits
+    assert own.ids(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
