@@ -34,10 +34,12 @@ def _by_score(scored: DataFrame) -> DataFrame:
 def _running(counts: DataFrame, buckets: int = 64) -> DataFrame:
     """counts with pos_above and neg_above, inclusive sums from the highest score down, and totals.
 
-    Scores are ranged into buckets; each is summed on its own and starts from the totals of the buckets above it, so no
-    task orders all scores.
+    Scores are ranged into buckets of about as many distinct ones, however they lie; each is summed on its own and starts
+    from the totals of the buckets above it, so no task orders all scores. Rows without a score are left out.
     """
-    d = counts.withColumn("_b", F.floor(F.col("y_prob") * buckets))
+    counts = counts.filter("y_prob is not null")
+    bounds = sorted(set(counts.approxQuantile("y_prob", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    d = counts.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("y_prob"))) if bounds else F.lit(0))
     by = Window.orderBy(F.desc("_b"))
     totals = d.groupBy("_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     base = totals.select("_b", (F.sum("_p").over(by) - F.col("_p")).alias("_p0"), (F.sum("_n").over(by) - F.col("_n")).alias("_n0"), F.sum("_p").over(Window.partitionBy()).alias("P"), F.sum("_n").over(Window.partitionBy()).alias("N"))
