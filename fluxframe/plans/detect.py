@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import KEY
+from ..functions.state import settled
 from ..operators.bls import DURATIONS, PERIODS, bounded_search, transit_features
 from ..operators.catalog import benchmark_table
 from ..operators.catalog import catalog as local_catalog
 from ..operators.metrics import all_metrics
 from ..operators.models import Denoiser, predict, train_classifier, window_features
 from ..operators.synth import stratified_split, synthetic_dataset
-from ..sources.archive import download_all
+from ..sources.archive import curves_of, download_all, fetch_in_tasks
 from .config import Config
 from .preprocess import Preprocessing, Result
 
@@ -59,9 +60,13 @@ class Run:
     failures: DataFrame
 
 
-def run(spark: SparkSession, trained: Trained, curves: DataFrame | None = None, fetch: Callable[[str], DataFrame] | None = None, targets: Iterable[str] = (), config: Config | None = None, known: DataFrame | None = None, periods: tuple[float, float, int] = PERIODS, durations: tuple = DURATIONS) -> Run:
+def run(spark: SparkSession, trained: Trained, curves: DataFrame | None = None, fetch: Callable | None = None, targets: Iterable[str] | DataFrame = (), config: Config | None = None, known: DataFrame | None = None, periods: tuple[float, float, int] = PERIODS, durations: tuple = DURATIONS) -> Run:
     """From curves, or downloads of targets by fetch, to the benchmark: preprocessing, denoised and scored windows, period search, comparison with the catalog.
 
+    A few targets are given by name, with a fetch that returns a table of segments; any number as a table with target_id, with
+    a fetch that runs in tasks (archive.fetch_in_tasks). Scored windows and preprocessed curves are computed once and kept in
+    the shared folder, as search, confidence and benchmark all read them.
+
     Windows have to be of the length that trained was trained on. A curve's confidence is the greatest chance of a transit
     among its windows. The search reads the preprocessed curves, so a detection's depth is relative to the median.
     """
@@ -69,11 +74,15 @@ def run(spark: SparkSession, trained: Trained, curves: DataFrame | None = None,
     if curves is None:
         if fetch is None:
             raise ValueError("give curves, or fetch and targets")
-        curves, failures = download_all(spark, fetch, targets)
+        if isinstance(targets, DataFrame):
+            segments, failures = fetch_in_tasks(targets, fetch)
+            curves, failures = curves_of(segments), failures.select(KEY, "error")
+        else:
+            curves, failures = download_all(spark, fetch, targets)
     known = local_catalog(spark) if known is None else known
     prepared = Preprocessing(config).run(curves, training=False)
-    windows = score_windows(trained, prepared.windows)
+    windows, final = settled(score_windows(trained, prepared.windows)), settled(prepared.final)
     confidence = windows.groupBy(KEY).agg(F.max("y_prob").alias("confidence"))
-    detections = detect(prepared.final, *periods, durations).join(confidence, KEY, "left")
+    detections = detect(final, *periods, durations).join(confidence, KEY, "left")
     table = benchmark_table(curves, known, lambda lc: detections.join(lc.select(KEY).distinct(), KEY, "left_semi").select(KEY, "period", "depth", "duration_hours", "confidence"))
     return Run(prepared, windows, detections, table, failures)

@@ -25,6 +25,7 @@ from ..operators.outliers import outlier_stats, remove_outliers
 from ..operators.quality import validation_report
 from ..operators.statistics import light_curve_statistics
 from ..operators.windows import generate_windows
+from ..sources import target_files
 from ..sources.adapters import load_input
 from ..sources.sinks import write_curves, write_json_lines, write_target_files, write_windows
 from .config import Config
@@ -170,6 +171,13 @@ class Preprocessing:
         lc, meta = load_input(spark, data, target_id=target_id, mission=mission, **columns)
         return self.run(lc, training, save_to, meta)
 
+    def save_targets(self, result: Result, folder: str) -> None:
+        """Files of all targets, written by the tasks that hold their rows: a CSV file each, an npz file each if windows are saved, and reports as JSON lines."""
+        target_files.write_csv(result.final, f"{folder}/curves")
+        if self.config.output.save_windows:
+            target_files.write_windows(result.windows, f"{folder}/windows")
+        write_json_lines(result.report(), f"{folder}/report")
+
     def save_target(self, result: Result, target_id: str, folder: str | None = None) -> list[str]:
         """The files of one target, as people exchange them."""
         own = lambda df: df.filter(F.col(KEY) == target_id)

@@ -121,6 +121,8 @@ def test_preprocessing(spark, tmp_path):
     assert report["a"].n_windows >= 7 and report["a"].validation.missing_value_pct == 0.5
     assert spark.read.parquet(f"{tmp_path}/out/windows").count() == result.windows.count()
     assert sorted(json.loads(r.value)["target_id"] for r in spark.read.text(f"{tmp_path}/out/report").collect()) == ["a", "b"]
+    plan.save_targets(result, f"{tmp_path}/all")
+    assert sorted(p.name for p in (tmp_path / "all").rglob("[ab].*")) == ["a.csv", "a.npz", "b.csv", "b.npz"]
     names = plan.save_target(result, "a", f"{tmp_path}/a")
     assert all((Path(tmp_path) / "a" / n).exists() for n in names) and len(names) == 5
     assert len(pd.read_csv(f"{tmp_path}/a/processed.csv")) == json.loads((tmp_path / "a/metadata.json").read_text())["n_final_samples"]
@@ -169,6 +171,16 @@ def test_training_scoring_and_models(spark, tmp_path):
     rows = {r.target: r for r in out.benchmark.collect()}
     assert rows["HAT-P-7b"].overall_pass and 0 <= rows["HAT-P-7b"].confidence <= 1 and rows["Kepler-22b"].error == "Data not found"
     assert [r.target_id for r in out.failures.collect()] == ["gone"] and out.windows.count() == 60
+
+    def segments(name):
+        if name == "gone":
+            raise OSError("gone")
+        return [("m", t, f)]
+
+    names = spark.createDataFrame([("HAT-P-7b",), ("gone",)], "target_id string")
+    same = run(spark, trained, fetch=segments, targets=names, config=cfg.Config(windowing=cfg.Windowing(101, 0.5), outliers=cfg.Outliers(sigma_threshold=50.0)), periods=(2.0, 2.4, 201), durations=(0.1, 0.15))
+    (a,), (b,) = (x.detections.drop("target_id").collect() for x in (same, out))
+    assert np.allclose([float(v) for v in a], [float(v) for v in b]) and [r.error for r in same.failures.collect()] == ["OSError: gone"]
     with pytest.raises(ValueError):
         run(spark, trained)
 
