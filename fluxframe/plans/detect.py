@@ -30,10 +30,15 @@ class Trained:
 
 
 def train(spark: SparkSession, n_samples: int = 5000, window_size: int = 2001, seed: int = 42, kind: str = "logistic", samples: DataFrame | None = None) -> Trained:
-    """Samples are made, or given as samples(sample_id, noisy, clean, label), split by label, denoised and classified; metrics are of the test part."""
-    samples = stratified_split(samples if samples is not None else synthetic_dataset(spark, n_samples, window_size, seed=seed), seed=seed)
+    """Samples are made, or given as samples(sample_id, noisy, clean, label), split by label, denoised and classified; metrics are of the test part.
+
+    Samples and features are computed once each and kept in the shared folder, as split, fits and metrics read them many
+    times. Their number of tasks is given, since a few bytes of samples are much work.
+    """
+    samples = samples if samples is not None else synthetic_dataset(spark, n_samples, window_size, seed=seed)
+    samples = settled(stratified_split(settled(samples.repartition(2 * spark.sparkContext.defaultParallelism, "sample_id")), seed=seed))
     denoiser = Denoiser().fit(samples.filter("not is_test"))
-    ready = window_features(denoiser.transform(samples), "denoised")
+    ready = settled(window_features(denoiser.transform(samples), "denoised").select("sample_id", "label", "is_test", "features"))
     classifier = train_classifier(ready.filter("not is_test"), kind, seed=seed)
     scored = predict(classifier, ready.filter("is_test")).withColumnRenamed("label", "y_true")
     return Trained(denoiser, classifier, all_metrics(scored))
