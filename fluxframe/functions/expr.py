@@ -69,6 +69,11 @@ def guarded(top: Column, bottom: Column, otherwise: Column | float | None = None
     return F.when(bottom == 0, other).otherwise(top / F.when(bottom != 0, bottom))
 
 
+def ratio(top: Column, bottom: Column) -> Column:
+    """top / bottom as IEEE 754 divides: infinite where bottom alone is 0, NaN where both are."""
+    return guarded(top, bottom, top * F.lit(INFINITY))
+
+
 def uniform(seed: int, *parts: Column | str) -> Column:
     """A number in [0, 1) that depends on seed and parts alone, the same in any engine with MD5."""
     text = F.concat_ws(":", F.lit(str(seed)), *(col(p).cast("string") for p in parts))

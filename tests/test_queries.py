@@ -31,6 +31,21 @@ def test_query(spark, name):
     assert got == sorted_rows([d[0] for d in found.description], found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["pieces_running_median", "pieces_savgol"])
+def test_flux_of_zero_is_divided_by_as_in_sql(spark, tmp_path, name):
+    """Curves whose first, last or only values are 0, so that trends and medians of segments are."""
+    rows = [(user, i, float((i * 7 + user) % 5 + 1) if i not in (0, 20) and user < 3 else 0.0) for user, n in ((1, 21), (2, 45), (3, 12)) for i in range(n)]
+    values = ", ".join(f"({100 * k + 1}, {user}, timestamp '2024-01-01' + interval {i} hours, {v}::double)" for k, (user, i, v) in enumerate(rows))
+    con = duckdb.connect()
+    con.execute(f"copy (select id::bigint as event_id, ts, u::bigint as user_id, 'x' as event_type, v as value, '' as props from (values {values}) t(id, u, ts, v)) to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    found = con.execute(queries.ORACLE_SQL[name])
+    want = sorted_rows([d[0] for d in found.description], found.fetchall())
+    assert "nan" in str(want)
+    assert str(sorted_rows(df.columns, [tuple(r) for r in df.collect()])) == str(want)
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
