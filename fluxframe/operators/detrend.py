@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import by_seq, by_target, KEY, finite, over_finite
+from ..functions.expr import by_seq, by_target, KEY, finite, over_finite, ratio
 
 METHODS = ("polynomial", "savgol", "running_median")
 FLAT = 1e-10
@@ -124,8 +124,11 @@ def detrend(lc: DataFrame, method: str = "savgol", mode: str = "divide", **setti
     """lc with flux divided by its trend, by 1 where that is nearly 0; mode="subtract" takes the trend away instead.
 
     Dividing flux that was centred on 0 before blows it up where the trend crosses 0; subtracting is the safe choice then.
+    mode="ratio" divides as IEEE 754 does: where the trend is 0, flux is infinite, or NaN if it was 0 too.
     """
     d = add_trend(lc, method, **settings)
+    if mode == "ratio":
+        return d.withColumn("flux", ratio(F.col("flux"), F.col("trend"))).select(*lc.columns)
     safe = F.when(F.abs("trend") < FLAT, F.lit(1.0)).otherwise(F.col("trend"))
     new = F.col("flux") / safe if mode == "divide" else F.col("flux") - F.col("trend")
     return d.withColumn("flux", F.nanvl(new, F.lit(None).cast("double"))).select(*lc.columns)
