@@ -28,6 +28,8 @@ DIGITS = 8
 CELLS = 400_000
 #: Periods that the relational form takes at most: it is the checked form, and rows times periods do not scale.
 MOST_PERIODS = 1_000
+#: Parts of boxes that a task of the relational form adds up: some 250 MB of groups, so none is spilled.
+PARTS = 1_000_000
 
 
 def period_grid(spark: SparkSession, low: float, high: float, n: int) -> DataFrame:
@@ -52,23 +54,25 @@ def periodogram(lc: DataFrame, grid: DataFrame, durations: tuple = DURATIONS, ov
 
     power is half the gain in squared error, over dips alone; ties go to the earlier bin, then the shorter box. A period
     without a dip has power 0. grid(period_id, period) is counted, and more than MOST_PERIODS are refused: fast_periodogram
-    takes those. So its broadcast is bounded. tasks is twice the cluster's cores by default: every row becomes some thousands,
-    so the one exchange keeps that number and is not coalesced by its own small size.
+    takes those. So its broadcast is bounded. Every row becomes a part of a box for each period, length and place in the box;
+    rows are counted, and tasks are by default so many that one adds up PARTS of them, and at least twice the cluster's cores.
+    The one exchange keeps that number and is not coalesced by its own small size.
     """
     n = grid.count()
     if n > MOST_PERIODS:
         raise ValueError(f"{n} periods; the relational form takes {MOST_PERIODS} at most, fast_periodogram any number")
     width, lengths = _boxes(durations, oversample)
     grid = F.broadcast(grid.withColumn("_B", F.ceil(F.col("period") / width).cast("int")))
-    dealt = lc.repartition(tasks or 2 * lc.sparkSession.sparkContext.defaultParallelism, KEY)
-    d = _centred(dealt).join(grid).select(KEY, "period_id", "period", "_B", F.floor(F.pmod("t", F.col("period")) / width).cast("int").alias("bin"), "y", "t_min", "v", "_S", "_N")
+    tasks = tasks or max(2 * lc.sparkSession.sparkContext.defaultParallelism, -(-lc.count() * n * sum(lengths) // PARTS))
+    d = _centred(lc.repartition(tasks, KEY)).join(grid).select(KEY, "period_id", "period", "_B", F.floor(F.pmod("t", F.col("period")) / width).cast("int").alias("bin"), "y", "t_min", "v", "_S", "_N")
     held = ("period", "_B", "t_min", "v", "_S", "_N")
-    first = [F.first(c).alias(c) for c in held]
+    # the same in all rows of a group; a maximum is one number of a group's state, a first value is two
+    first = [F.max(c).alias(c) for c in held]
     bins = d.groupBy(KEY, "period_id", "bin").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"), *first)
     # a bin is part of the k boxes of k bins that begin at it or up to k - 1 bins before it
     steps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("duration"), F.lit(j).alias("j")) for k, q in zip(lengths, durations, strict=True) for j in range(k)))
     parts = bins.select(KEY, "period_id", *held, "bin", "s", "n", F.explode(steps).alias("_x")).select(KEY, "period_id", *held, "s", "n", F.col("_x.k").alias("k"), F.col("_x.duration").alias("duration"), F.pmod(F.col("bin") - F.col("_x.j"), F.col("_B")).alias("start"))
-    boxes = parts.groupBy(KEY, "period_id", "k", "start").agg(F.sum("s").alias("s_in"), F.sum("n").alias("n_in"), F.first("duration").alias("duration"), *first).filter("n_in < _N")
+    boxes = parts.groupBy(KEY, "period_id", "k", "start").agg(F.sum("s").alias("s_in"), F.sum("n").alias("n_in"), F.max("duration").alias("duration"), *first).filter("n_in < _N")
     gap = (F.col("_S") - F.col("s_in")) / (F.col("_N") - F.col("n_in")) - F.col("s_in") / F.col("n_in")
     power = F.when(gap > 0, 0.5 * F.col("n_in") * gap * gap).otherwise(0.0)
     scored = boxes.select(KEY, "period_id", "period", F.col("start").alias("bin"), "k", "duration", power.alias("power"), "v", F.greatest(gap, F.lit(0.0)).alias("depth"), (F.col("t_min") + (F.col("start") + F.col("k") / 2.0) * width).alias("t0"))
