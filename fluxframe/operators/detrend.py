@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -43,6 +45,7 @@ def savgol_window(n: int, window: int, polyorder: int) -> int:
     return window
 
 
+@functools.lru_cache(16)
 def savgol_weights(window: int, polyorder: int) -> np.ndarray:
     """Row i: the weights of a window's samples in the value fitted at place i."""
     x = np.arange(window) - (window - 1) / 2

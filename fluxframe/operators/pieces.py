@@ -8,8 +8,10 @@ results are those of the operators on whole curves.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,18 +120,46 @@ def savgol_trend(lc: DataFrame, window: int = 401, polyorder: int = 3, size: int
     """detrend.savgol_trend by pieces: fixed weights inside, the polynomials of the first and last window at the ends. Rows must be numbered 0, 1, ... in seq."""
     d = _with_halo(_of_target(lc, _sizes(lc, few)), window + polyorder + 2, size)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        n, first, last = int(pdf["_n"].iloc[0]), int(pdf["seq"].iloc[0]), int(pdf["seq"].iloc[-1])
-        flux = pdf["flux"].to_numpy(float)
-        middle = pdf["_m"].iloc[0]
-        filled = np.where(np.isfinite(flux), flux, 1.0 if pd.isna(middle) else middle)
-        pdf = pdf.assign(trend=detrend.smoothed(filled, n, window, polyorder, first == 0, last == n - 1))
-        return pdf.loc[pdf["_own"], names]
+    def trend(rows: pa.Table, cuts: list[int]) -> np.ndarray:
+        n, seq, middle = (rows.column(c).to_numpy() for c in ("_n", "seq", "_m"))
+        flux = rows.column("flux").to_numpy()
+        filled = np.where(np.isfinite(flux), flux, np.where(np.isnan(middle), 1.0, middle))
+        return np.concatenate([detrend.smoothed(filled[a:b], int(n[a]), window, polyorder, seq[a] == 0, seq[b - 1] == n[a] - 1) for a, b in zip(cuts, cuts[1:], strict=False)])
 
-    names = [*lc.columns, "trend"]
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in lc.schema.fields)}, trend double"
-    return d.groupBy(KEY, PIECE).applyInPandas(one, schema)
+    return d.repartition(KEY, PIECE).sortWithinPartitions(KEY, PIECE, "seq").mapInArrow(_by_piece(trend, lc.columns), schema)
+
+
+def _by_piece(trend: Callable[[pa.Table, list[int]], np.ndarray], names: list[str]) -> Callable:
+    """Own rows with their trend. Rows come sorted by piece; those of a piece are held until the next one begins, and many short pieces go at once."""
+
+    def own(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = rows.append_column("trend", pa.array(trend(rows, [0, *_begins(rows), rows.num_rows])))
+        yield from found.filter(found.column("_own")).select([*names, "trend"]).to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # the row before the batch tells whether its first row begins a piece
+            with_last = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b]) if held else pa.Table.from_batches([b])
+            begins = [i - bool(held) for i in _begins(with_last)]
+            if begins:
+                held.append(b.slice(0, begins[-1]))
+                yield from own(pa.Table.from_batches([x for x in held if x.num_rows]))
+                held = []
+            held.append(b.slice(begins[-1] if begins else 0))
+        if held:
+            yield from own(pa.Table.from_batches(held))
+
+    return run
+
+
+def _begins(rows: pa.Table) -> list[int]:
+    """Where another piece begins than that of the row before."""
+    key, piece = (rows.column(c).to_numpy() for c in (KEY, PIECE))
+    return (np.flatnonzero((key[1:] != key[:-1]) | (piece[1:] != piece[:-1])) + 1).tolist()
 
 
 def generate_windows(lc: DataFrame, window_size: int = 2001, overlap: float = 0.75, padding_mode: str = "edge", stride: int | None = None, to_padded: bool = False) -> DataFrame:

@@ -47,6 +47,16 @@ def test_savgol(lc, window, order):
     same(pieces.savgol_trend(lc, window, order, size=50, few=5), detrend.add_trend(lc, "savgol", savgol_window=window, savgol_polyorder=order))
 
 
+def test_savgol_takes_many_pieces_at_once(spark, lc):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # pieces begin and end amid batches
+    try:
+        found = pieces.savgol_trend(lc, 5, 2, size=12, few=5)
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        same(found, detrend.add_trend(lc, "savgol", savgol_window=5, savgol_polyorder=2))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_windows_noise_and_gaps(lc):
     same(pieces.generate_windows(lc.filter("target_id <> 'void'"), 64, 0.5), windows.generate_windows(lc.filter("target_id <> 'void'"), 64, 0.5))
     both = quality.noise_estimate(lc).join(quality.cadence_and_gaps(lc, factor=3.0), "target_id")
