@@ -18,6 +18,8 @@ from ..schema import LIGHT_CURVE
 TIME_NAMES = ("time", "bjd", "bkjd", "btjd", "t")
 FLUX_NAMES = ("flux", "pdcsap_flux", "sap_flux", "f")
 FITS_FLUX = ("PDCSAP_FLUX", "SAP_FLUX", "FLUX")
+#: Rows of curves that a task holds at most, but for a single longer curve: windows take some 4 KB of memory for each and reports 18 KB.
+ROWS_A_TASK = 75_000
 
 
 def detect_input_type(data) -> str:
@@ -241,10 +243,14 @@ def load_input(spark: SparkSession, data, time_col: str | None = None, flux_col:
 def curves_from_events(events: DataFrame, dirty: bool = False) -> DataFrame:
     """Light curves of an event table: a user is a target, a timestamp a time in days, a value the flux.
 
-    dirty spoils them by the ids alone: missing and infinite flux, spikes, and repeated times.
+    dirty spoils them by the ids alone: missing and infinite flux, spikes, and repeated times. The one exchange on target_id, which
+    all later operators share, gets a task for every ROWS_A_TASK rows where that is more than the cluster's cores.
     """
     d = events.select(F.col("user_id").cast("string").alias("target_id"), F.lit("events").alias("mission"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000.0).alias("time"), F.col("value").alias("flux"))
     by = Window.partitionBy("target_id").orderBy("time", "event_id")
+    tasks = -(-events.count() // ROWS_A_TASK)
+    if tasks > events.sparkSession.sparkContext.defaultParallelism:
+        d = d.repartition(tasks, "target_id")
     d = d.withColumn("seq", (F.row_number().over(by) - 1).cast("bigint"))
     if dirty:
         i = F.col("event_id")

@@ -307,3 +307,15 @@ def test_stages_are_observed_by_the_jobs_that_run(spark, tmp_path):
     assert {n: s.n_samples for n, s in log.items()} == {s.stage_name: s.n_samples for s in plain.stages}
     assert log["load_data"].observed["n_missing"] > 0 == log["handle_missing_values"].observed["n_missing"]
     assert set(log["save_output"].observed) == {"processed_sec", "report_sec", "windows_sec"} and result.final.count() == log["augmentation"].n_samples
+
+
+def test_tasks_of_curves_follow_the_rows(spark, monkeypatch):
+    from fluxframe import queries
+    from fluxframe.sources import adapters
+
+    few = queries.curves(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(adapters, "ROWS_A_TASK", 100)
+    many = queries.curves(spark, "/root/testdata/sf0.001")
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and ", 10), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, many.collect()), key=str) == sorted(map(tuple, few.collect()), key=str)
