@@ -37,7 +37,7 @@ def order_bits(value: Column) -> Column:
 def percentiles(df: DataFrame, key: str, value: Column | str, wanted: tuple[float, ...], few: int = FEW) -> DataFrame:
     """(key, q): for every group of df with values, the wanted percentiles as an array, interpolated as percentile() does.
 
-    Null and NaN values are left out, infinite ones count. df is read once for each pass that is needed, six at most.
+    Null and NaN values are left out, infinite ones count. df is read for sizes, small groups and large ones; the values of large groups are settled, as up to six passes read them.
     """
     v = F.col(value) if isinstance(value, str) else value
     d = df.select(F.col(key).alias("_key"), F.nanvl(v.cast("double"), F.lit(None).cast("double")).alias("_v")).filter("_v is not null")
@@ -55,7 +55,7 @@ def _selected(d: DataFrame, large: DataFrame, wanted: tuple[float, ...], few: in
     ranks = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), f(place(p)).cast("bigint").alias("rank")) for i, p in enumerate(wanted) for side, f in enumerate((F.floor, F.ceil))))
     # what is left to find: the rank among a group's values whose bits begin with head
     state = settled(large.select(F.col("_key").alias("_k"), F.explode(ranks).alias("x")).select("_k", "x.i", "x.side", "x.rank", F.lit(None).cast("bigint").alias("head"), F.lit(0).alias("shift")))
-    held = d.join(broadcast_if_small(large.select(F.col("_key").alias("_k"))), F.col("_key").eqNullSafe(F.col("_k")), "left_semi").withColumn("_bits", order_bits(F.col("_v")))
+    held = settled(d.join(broadcast_if_small(large.select(F.col("_key").alias("_k"))), F.col("_key").eqNullSafe(F.col("_k")), "left_semi").withColumn("_bits", order_bits(F.col("_v"))))
     last = 0
     for n, shift in enumerate(SHIFTS):
         heads = state.select("_k", "head").distinct()

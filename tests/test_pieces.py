@@ -108,3 +108,10 @@ def test_percentiles_equal_the_built_in_ones(spark, few):
         hot = selection._selected(df.filter("k = 'ties' and v is not null").select(F.col("k").alias("_key"), F.col("v").alias("_v")), spark.createDataFrame([("ties", 301)], "_key string, n bigint"), (0.5,), 1)
         plan = hot._jdf.queryExecution().executedPlan().toString().lower()
         assert "percentile" not in plan and "median" not in plan
+
+
+def test_values_of_large_groups_are_settled_once_for_all_passes(lc, monkeypatch):
+    kept, settled = [], selection.settled
+    monkeypatch.setattr(selection, "settled", lambda df: kept.append(df.columns) or settled(df))
+    same(selection.medians(lc.filter("flux < 10"), "target_id", "flux", 5), lc.filter("flux < 10").groupBy("target_id").agg(F.median("flux")))
+    assert sum("_bits" in c for c in kept) == 1
