@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import by_target, KEY, finite
+from ..functions.state import settled
 from .transit import fold, transit_parameters
 
 PERIODS = (0.5, 400.0, 50_000)
@@ -24,8 +25,10 @@ DURATIONS = (0.05, 0.10, 0.15, 0.20, 0.25, 0.33)
 OVERSAMPLE = 2
 #: Powers, in units of the curve's variance, are compared to so many digits, so that sums in another order rank alike.
 DIGITS = 8
-#: Curve points times periods, or bins times periods, that NumPy holds at once: some 30 MB.
-CELLS = 400_000
+#: Boxes of a block of periods that NumPy holds at once, or curve points times blocks of periods: a core's cache holds some arrays of them.
+CELLS = 50_000
+#: How far from its period's best power, in units of the curve's variance and as a share, a box is still ranked exactly: far above DIGITS and the rounding of sums.
+NEAR = 1e-6
 #: Periods that the relational form takes at most: it is the checked form, and rows times periods do not scale.
 MOST_PERIODS = 1_000
 #: Parts of boxes that a task of the relational form adds up: some 250 MB of groups, so none is spilled.
@@ -89,28 +92,32 @@ def _gaps(s_in: np.ndarray, n_in: np.ndarray, total: float, n: int) -> tuple[np.
     return gap, power
 
 
-def _over_bins(at: np.ndarray, y: np.ndarray, bins: np.ndarray, lengths: list[int]) -> Iterator[tuple]:
-    """(k's place, starts, gap, power) for every box length: all bins of the folded curve as starts, a row for each period."""
-    rows, most = len(at), max(lengths)
-    size = int(max(bins.max(), at.max() + 1)) + most
-    flat = (at + np.arange(rows)[:, None] * size).ravel()
+def _box_sums(folded: np.ndarray, weights: np.ndarray | None, bins: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """The weights, or without them the points, of boxes by period, length and start: all bins of the folded curve as starts."""
+    rows, most = len(folded), max(lengths)
+    size = int(max(bins.max(), folded.max() + 1)) + most
+    flat = (folded + np.arange(rows)[:, None] * size).ravel()
+    h = np.bincount(flat, None if weights is None else np.tile(weights, rows), rows * size).reshape(rows, size)
     index = np.arange(most)
-    again = (np.arange(rows)[:, None], bins[:, None] + index)
-    sums = []
-    for h in (np.bincount(flat, np.tile(y, rows), rows * size), np.bincount(flat, minlength=rows * size).astype(float)):
-        h = h.reshape(rows, size)
-        h[again] += np.where(index < bins[:, None], h[:, :most], 0)  # boxes run on over the end of the period
-        sums.append(np.pad(h.cumsum(axis=1), ((0, 0), (1, 0))))
-    starts = np.arange(int(bins.max()))
-    outside = starts >= bins[:, None]
+    h[np.arange(rows)[:, None], bins[:, None] + index] += np.where(index < bins[:, None], h[:, :most], 0)  # boxes run on over the end of the period
+    c = np.zeros((rows, size + 1), h.dtype)
+    np.cumsum(h, axis=1, out=c[:, 1:])
+    starts = int(bins.max())
+    out = np.empty((rows, len(lengths), starts), h.dtype)
     for q, k in enumerate(lengths):
-        s_in, n_in = (c[:, k : k + len(starts)] - c[:, : len(starts)] for c in sums)
-        gap, power = _gaps(s_in, n_in, y.sum(), len(y))
-        power[outside] = 0
-        yield q, np.broadcast_to(starts, power.shape), gap, power
+        np.subtract(c[:, k : k + starts], c[:, :starts], out=out[:, q])
+    return out
+
 
+def _over_bins(at: np.ndarray, y: np.ndarray, bins: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, sum, points) of boxes by period, length and start. What is no box has no points."""
+    s_in, n_in = _box_sums(at, y, bins, lengths), _box_sums(at, None, bins, lengths)
+    starts = np.arange(n_in.shape[2])
+    n_in *= (starts < bins[:, None])[:, None]
+    return np.broadcast_to(starts, n_in.shape), s_in, n_in
 
-def _over_points(at: np.ndarray, y: np.ndarray, bins: np.ndarray, lengths: list[int]) -> Iterator[tuple]:
+
+def _over_points(at: np.ndarray, y: np.ndarray, bins: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for curves with fewer points than bins: what a box holds changes only where it has just left a point or just reached one, so two starts a point are all."""
     rows, n = at.shape
     order = np.argsort(at, axis=1, kind="stable")
@@ -127,6 +134,7 @@ def _over_points(at: np.ndarray, y: np.ndarray, bins: np.ndarray, lengths: list[
     wrapped = left >= bins[:, None]
     left = np.where(wrapped, 0, left)
     left_from = np.where(wrapped, 0, after[:, :n])
+    starts, s_in, n_in = (np.empty((rows, len(lengths), 2 * n), kind) for kind in (int, float, int))
     for q, k in enumerate(lengths):
         reach = at - k + 1
         before = reach < 0
@@ -134,41 +142,50 @@ def _over_points(at: np.ndarray, y: np.ndarray, bins: np.ndarray, lengths: list[
         ok = reach >= 0  # a box longer than the period twice over has no such start
         lo = np.concatenate([left_from, first(np.maximum(reach, 0))], axis=1)
         hi = np.concatenate([first(left + k), np.where(before, after[:, n:], after[:, :n])], axis=1)
-        gap, power = _gaps(np.take_along_axis(sums, hi, axis=1) - np.take_along_axis(sums, lo, axis=1), hi - lo, y.sum(), n)
-        power[:, n:] = np.where(ok, power[:, n:], 0)
-        yield q, np.concatenate([left, reach], axis=1), gap, power
+        starts[:, q] = np.concatenate([left, reach], axis=1)
+        s_in[:, q] = np.take_along_axis(sums, hi, axis=1) - np.take_along_axis(sums, lo, axis=1)
+        n_in[:, q] = hi - lo
+        n_in[:, q, n:] *= ok
+    return starts, s_in, n_in
 
 
 def search_arrays(t: np.ndarray, y: np.ndarray, periods: np.ndarray, durations: tuple = DURATIONS, oversample: int = OVERSAMPLE) -> tuple[np.ndarray, ...]:
-    """(power, duration, t0 after the first time, depth), each for every period, of one curve centred on its median, t from 0."""
+    """(power, duration, t0 after the first time, depth), each for every period, of one curve centred on its median, t from 0.
+
+    The power of a box of m of n points is its squared sum of deviations from the mean by a factor of m alone, which a table
+    holds. So all boxes are compared without a division, and only those that come near their period's best are ranked by _gaps.
+    """
     width, lengths = _boxes(durations, oversample)
     bins = np.ceil(periods / width).astype(int)
     power, depth, start, chosen = np.zeros(len(periods)), np.zeros(len(periods)), np.zeros(len(periods), int), np.zeros(len(periods), int)
-    scale = y.var() or 1.0
+    scale, total, n = y.var() or 1.0, y.sum(), len(y)
+    m = np.arange(1, n)
+    factor, expected = np.zeros(n + 1), np.arange(n + 1) * (total / n)
+    factor[1:n] = (n / (n - m)) ** 2 / (2 * m * scale)
     at = 0
     while at < len(periods):
-        dense = bins[at] <= 4 * len(t)
-        per_row = int(bins[at]) + max(lengths) + len(t) if dense else 4 * len(t)
+        dense = bins[at] <= 4 * n
+        per_row = len(lengths) * (int(bins[at]) + max(lengths) + n if dense else 4 * n)
         to = min(len(periods), at + max(1, CELLS // per_row))
         if dense:
-            to = max(at + 1, min(to, int(np.searchsorted(bins[at:to], max(4 * len(t), bins[at]), "right")) + at))
-        own = periods[at:to, None]
-        folded = np.floor(np.mod(t, own) / width).astype(int)
-        best = np.full(to - at, -1.0)
-        for q, starts, gap, found in (_over_bins if dense else _over_points)(folded, y, bins[at:to], lengths):
-            rank = np.round(found / scale, DIGITS)
-            top = rank.max(axis=1)
-            # the earliest of the best starts
-            begin = np.where((rank == top[:, None]) & (found > 0), starts, np.iinfo(int).max)
-            i = begin.argmin(axis=1)
-            row = np.arange(to - at)
-            better = (top > best) | ((top == best) & (found[row, i] > 0) & (begin[row, i] < start[at:to]))
-            better &= found[row, i] > 0
-            best = np.where(better, top, best)
-            power[at:to] = np.where(better, found[row, i], power[at:to])
-            depth[at:to] = np.where(better, gap[row, i], depth[at:to])
-            start[at:to] = np.where(better, begin[row, i], start[at:to])
-            chosen[at:to] = np.where(better, q, chosen[at:to])
+            to = max(at + 1, min(to, int(np.searchsorted(bins[at:to], max(4 * n, bins[at]), "right")) + at))
+        folded = np.floor(np.mod(t, periods[at:to, None]) / width).astype(int)
+        starts, s_in, n_in = (_over_bins if dense else _over_points)(folded, y, bins[at:to], lengths)
+        near = expected.take(n_in, mode="clip")
+        np.subtract(s_in, near, out=near)
+        np.minimum(near, 0, out=near)
+        near *= near
+        near *= factor.take(n_in, mode="clip")
+        top = near.max(axis=(1, 2))
+        row, q, i = np.nonzero(near >= (top - NEAR * (1 + top))[:, None, None])
+        gap, found = _gaps(s_in[row, q, i], n_in[row, q, i], total, n)
+        dips = found > 0
+        row, q, begin, gap, found = row[dips], q[dips], starts[row, q, i][dips], gap[dips], found[dips]
+        # the greatest power of each period, then the earliest start, then the first length
+        order = np.lexsort((q, begin, -np.round(found / scale, DIGITS), row))
+        first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+        own = at + row[first]
+        power[own], depth[own], start[own], chosen[own] = found[first], gap[first], begin[first], q[first]
         at = to
     return power, np.array(durations)[chosen], (start + np.array(lengths)[chosen] / 2) * width, depth
 
@@ -262,25 +279,45 @@ def block_bounds(t: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarr
     return out
 
 
+def period_bounds(t: np.ndarray, y: np.ndarray, periods: np.ndarray, durations: tuple = DURATIONS, oversample: int = OVERSAMPLE) -> np.ndarray:
+    """The same bound for every period by itself, from its longest boxes alone, as shorter ones lie in them: a sixth of the boxes that a search tries."""
+    width, lengths = _boxes(durations, oversample)
+    bins = np.ceil(periods / width).astype(int)
+    n, longest = len(t), [max(lengths)]
+    q = np.minimum(y - y.mean(), 0) ** 2
+    factor = 0.5 * (n / (n - np.minimum(np.arange(n + 1), max(n - 1, 0)))) ** 2  # no box holds all points
+    out = np.empty(len(periods))
+    at = 0
+    while at < len(periods):
+        to = at + max(1, CELLS // (int(bins[at:].max()) + longest[0] + n))
+        folded = np.floor(np.mod(t, periods[at:to, None]) / width).astype(int)
+        bound = _box_sums(folded, q, bins[at:to], longest) * factor.take(_box_sums(folded, None, bins[at:to], longest), mode="clip")
+        out[at:to] = bound.max(axis=(1, 2)) * (1 + 1e-9)
+        at = to
+    return out
+
+
 def _blocks(periods: np.ndarray, span: float, room: float) -> np.ndarray:
     """Where blocks begin: within a block cycles and the period itself move a point by room at most."""
+    following = np.searchsorted(periods, periods + room / (span // periods + 1), "right").tolist()
     starts, i = [], 0
-    while i < len(periods):
+    while i < len(following):
         starts.append(i)
-        i = int(np.searchsorted(periods, periods[i] + room / (span // periods[i] + 1), "right"))
-    return np.array(starts)
+        i = following[i]
+    return np.array(starts, int)
 
 
 #: Coarse bins of the bounds, in bins, from the first pass to the last; periods of the best bounds that each pass tries; periods that are tried at once after that.
-COARSE, TRIED, AT_ONCE = (26, 13, 6), 64, 256
+COARSE, TRIED, AT_ONCE = (26, 13, 6), 16, 64
 
 
 def best_of_arrays(t: np.ndarray, y: np.ndarray, periods: np.ndarray, durations: tuple = DURATIONS, oversample: int = OVERSAMPLE) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """(places of periods, their power, duration, t0 and depth): the greatest power and all that equal it but for DIGITS, as search_arrays finds them.
 
     Branch and bound. Periods beyond the curve's length and the longest box fold it alike, so the first stands for all.
-    The others are bounded in blocks that get shorter from pass to pass; what is bounded below the best so far is dropped,
-    and what is left is searched, the most promising first. Of a curve without a dip the first period is given.
+    The others are bounded in blocks that get shorter from pass to pass, and what is left of them each by itself; what is
+    bounded below the best so far is dropped, and the rest is searched, the most promising first. Of a curve without a dip the
+    first period is given.
     """
     width, lengths = _boxes(durations, oversample)
     alike = int(np.searchsorted(periods, t.max() + (max(lengths) + 1) * width, "right"))
@@ -298,18 +335,28 @@ def best_of_arrays(t: np.ndarray, y: np.ndarray, periods: np.ndarray, durations:
     attempt(alive[:1])
     bounds = np.full(len(alive), np.inf)
     near = 1 - 10.0**-DIGITS
-    for coarse in COARSE:
-        starts = _blocks(periods[alive], t.max(), (coarse - 1) * width)
-        ends = np.append(starts[1:], len(alive))
-        long = np.flatnonzero(ends - starts > 2)  # shorter ones cost more to bound than to search
-        if len(long):
+    # each by itself: a search of the others costs less by their points
+    left = np.ceil(periods[alive] / width) <= 4 * len(t)
+    for coarse in (*COARSE, None):
+        if coarse:
+            starts = _blocks(periods[alive], t.max(), (coarse - 1) * width)
+            ends = np.append(starts[1:], len(alive))
+            long = np.flatnonzero(ends - starts > 2)  # shorter ones cost more to bound as blocks
             bound = np.full(len(starts), np.inf)
-            bound[long] = block_bounds(t, y, periods[alive[starts[long]]], periods[alive[ends[long] - 1]], coarse, durations, oversample)
-            bounds = np.minimum(bounds, np.repeat(bound, ends - starts))
-            known = np.flatnonzero(np.isfinite(bounds))
+            if len(long):
+                bound[long] = block_bounds(t, y, periods[alive[starts[long]]], periods[alive[ends[long] - 1]], coarse, durations, oversample)
+            bound = np.repeat(bound, ends - starts)
+            bounds = np.minimum(bounds, bound)
+            now = left & np.isinf(bound)
+        else:
+            now = left
+        left = left & ~now
+        bounds[now] = np.minimum(bounds[now], period_bounds(t, y, periods[alive[now]], durations, oversample))
+        known = np.flatnonzero(np.isfinite(bounds))
+        if coarse:
             attempt(alive[known[np.argsort(-bounds[known], kind="stable")[:TRIED]]])
-            keep = (bounds >= best * near) & (bounds > 0)
-            alive, bounds = alive[keep], bounds[keep]
+        keep = (bounds >= best * near) & (bounds > 0)
+        alive, bounds, left = alive[keep], bounds[keep], left[keep]
     order = np.argsort(-bounds, kind="stable")
     for i in range(0, len(order), AT_ONCE):
         some = order[i : i + AT_ONCE]
@@ -349,7 +396,10 @@ def best_period(power: DataFrame) -> DataFrame:
 
 
 def transit_features(lc: DataFrame, power: DataFrame) -> DataFrame:
-    """Detections: the best period with the parameters of the curve folded at it. Both period and best_period are given."""
-    best = best_period(power).withColumnsRenamed({"power": "bls_power", "duration": "bls_duration", "depth": "bls_depth"})
+    """Detections: the best period with the parameters of the curve folded at it. Both period and best_period are given.
+
+    The best periods are settled when this is called, as they are joined several times and a search runs once for each.
+    """
+    best = settled(best_period(power)).withColumnsRenamed({"power": "bls_power", "duration": "bls_duration", "depth": "bls_depth"})
     found = transit_parameters(fold(lc, best))
     return best.join(found, KEY).withColumn("best_period", F.col("period"))

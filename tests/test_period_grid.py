@@ -66,3 +66,24 @@ def test_no_bound_drops_the_best(case):
         ends = np.append(begins[1:], len(grid))
         bound = bls.block_bounds(t, y, grid[begins], grid[ends - 1], coarse)
         assert (np.repeat(bound, ends - begins) >= power).all()
+
+
+def test_bounds_leave_few_periods_to_search(monkeypatch):
+    rng = np.random.default_rng(12)
+    t = np.sort(rng.uniform(0, 30, 67))
+    y = rng.exponential(50, 67)
+    t, y, grid = t - t[0], y - np.median(y), np.linspace(*bls.PERIODS)
+    power = bls.search_arrays(t, y, grid[:3800])[0]
+    near = np.arange(0, 3800, 9)
+    assert (bls.period_bounds(t, y, grid[near]) >= power[near]).all()
+    real, tried = bls.search_arrays, []
+    monkeypatch.setattr(bls, "search_arrays", lambda t, y, periods, *a: tried.extend(periods) or real(t, y, periods, *a))
+    at, found = bls.best_of_arrays(t, y, grid)
+    assert found[0].max() == power.max() and at[found[0].argmax()] == power.argmax()
+    assert len(tried) < 250
+
+
+def test_transit_features_searches_once(spark):
+    lc = queries.curves(spark, "/root/testdata/sf0.001", False)
+    plan = bls.transit_features(lc, bls.bounded_search(lc, n=500))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
