@@ -1,7 +1,7 @@
 """FITS binary tables as a data source: spark.read.format("fits") and df.write.format("fits") after register(spark).
 
 A file is read in ranges of table rows, so one large file makes many tasks, and only the columns of the given schema are
-decoded. A null text is written as an empty one. Files are opened through pyarrow's file systems (file, s3, gs, hdfs), which seek. Compressed files are one range
+decoded. Of more than TASKS ranges, a task takes neighbours. A null text is written as an empty one. Files are opened through pyarrow's file systems (file, s3, gs, hdfs), which seek. Compressed files are one range
 each. A task writes its rows to one file, which becomes visible when the whole job has ended well.
 """
 
@@ -35,6 +35,8 @@ BLOCK, CARD = 2880, 80
 EXTRA = "_file string, _row bigint, _object string, _telescope string"
 ROWS = 1_000_000
 CHUNK_BYTES = 8 << 20
+#: Ranges of up to so many are a task each; of more, a task takes neighbours up to its share of the bytes, at most TASK_BYTES. So small ranges and files make no tasks that cost more to start than to run.
+TASKS, TASK_BYTES = 200, 16 << 20
 
 
 @dataclass
@@ -140,29 +142,58 @@ def _files(uri: str) -> list[str]:
 
 
 @dataclass
-class Rows(InputPartition):
+class Rows:
     uri: str
     first: int
     count: int
 
 
+@dataclass
+class Task(InputPartition):
+    ranges: list[Rows]
+
+
+def _dealt(found: list[tuple[Rows, int]]) -> list[Task]:
+    """Tasks of ranges and their bytes, in order; neighbours in a file become one range."""
+    if len(found) <= TASKS:
+        return [Task([r]) for r, _ in found]
+    share = min(TASK_BYTES, -(-sum(b for _, b in found) // TASKS))
+    out: list[Task] = []
+    held = share
+    for r, size in found:
+        if held >= share:
+            out.append(Task([]))
+            held = 0
+        own = out[-1].ranges
+        if own and own[-1].uri == r.uri and own[-1].first + own[-1].count == r.first:
+            own[-1].count += r.count
+        else:
+            own.append(r)
+        held += size
+    return out
+
+
 class _Reader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.schema, self.uri, self.rows = schema, options["path"], int(options.get("rowsPerPartition", ROWS))
 
-    def partitions(self) -> list[Rows]:
-        out = []
+    def partitions(self) -> list[Task]:
+        found = []
         for uri in _files(self.uri):
             with _open(uri) as source:
-                n = read_header(source).rows
+                table = read_header(source)
+            n = table.rows
             step = n if uri.endswith(".gz") else self.rows
-            out += [Rows(uri, i, min(step, n - i)) for i in range(0, n, max(step, 1))]
-        return out or [Rows("", 0, 0)]
+            ranges = (Rows(uri, i, min(step, n - i)) for i in range(0, n, max(step, 1)))
+            found += [(r, r.count * table.width) for r in ranges]
+        return _dealt(found) or [Task([])]
+
+    def read(self, task: Task) -> Iterator[pa.RecordBatch]:
+        for part in task.ranges:
+            yield from self._read(part)
 
-    def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
+    def _read(self, part: Rows) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(self.schema)
-        if not part.count:
-            return
         with _open(part.uri) as source:
             table = read_header(source)
             known = {k.lower(): c for k, c in table.columns.items()}

@@ -50,3 +50,18 @@ def test_a_failed_job_leaves_no_file(spark, tmp_path):
     assert not [p for p in tmp_path.rglob("*") if p.is_file()]
     with pytest.raises(Exception, match="no type"):
         spark.createDataFrame([([1],)], "a array<int>").write.format("fits").mode("append").save(f"{tmp_path}/bad")
+
+
+def test_many_ranges_and_files_make_few_tasks(spark, tmp_path, monkeypatch):
+    """Ranges in order, each row once; a task starts for a share of the bytes, not for every range or file."""
+    for i in range(30):
+        (tmp_path / f"c{i:02d}.fits").write_bytes(adapters.write_fits(T[: 40 + i], X[: 40 + i], f"KIC {i}", "Kepler"))
+    (tmp_path / "long.fits").write_bytes(adapters.write_fits(T, X, "KIC 99", "Kepler"))
+    lc = fits.read_curves(spark, f"file://{tmp_path}", 10)
+    assert 100 < lc.rdd.getNumPartitions() <= fits.TASKS
+    rows = [tuple(r) for r in lc.select("target_id", "seq", "time").collect()]
+    assert sorted(rows) == sorted([(f"KIC {i}", j, T[j]) for i in range(30) for j in range(40 + i)] + [("KIC 99", j, T[j]) for j in range(5000)])
+    parts = fits._Reader(None, {"path": f"{tmp_path}", "rowsPerPartition": "10"}).partitions()
+    assert len(parts) == lc.rdd.getNumPartitions() and any(len({r.uri for r in p.ranges}) > 1 for p in parts)
+    monkeypatch.setattr(fits, "TASK_BYTES", 140)
+    assert len(fits._Reader(None, {"path": f"{tmp_path}", "rowsPerPartition": "10"}).partitions()) > fits.TASKS
