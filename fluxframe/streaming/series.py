@@ -2,80 +2,68 @@
 
 Rows wait in their target's state until the watermark has passed them and then are taken in time order, so whatever order
 they arrive in, spacings and steps are those of the ordered curve. The state is what waits and one row of sums, kept by the
-state store over restarts. Rows that arrive behind the watermark change nothing and are counted.
+state store over restarts. It travels with its target's rows, many targets in a batch, as a call for each variable of each
+target would cost more than the rows. Rows that arrive behind the watermark change nothing and are counted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.expr import KEY, over_finite
 
 DAY_US = 86_400_000_000
-#: The state store that state of several variables needs.
+#: The state store that holds more state than memory.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-_SUMS = "settled_us bigint, last_us bigint, last_flux double, n bigint, n_gaps bigint, longest_us bigint, n_steps bigint, mean double, m2 double, n_late bigint"
+#: Sums, and the times and then the fluxes of the rows that wait, NaN where missing.
+_STATE = "settled_us bigint, last_us bigint, last_flux double, n bigint, n_gaps bigint, longest_us bigint, n_steps bigint, mean double, m2 double, n_late bigint, waiting binary"
 _OUT = f"{KEY} string, settled_to timestamp, n bigint, n_gaps bigint, longest_gap_days double, noise double, n_late bigint"
 
 
-class _Series(StatefulProcessor):
-    def __init__(self, gap_us: int) -> None:
-        self.gap_us = gap_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, flux double")
-        self.sums = handle.getValueState("sums", _SUMS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(int(us), None if pd.isna(flux) else float(flux)) for pdf in rows for us, flux in zip(pdf["us"], pdf["flux"], strict=True) if not pd.isna(us)]
-        yield from self._settle(key, new, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._settle(key, [], timerValues)
-
-    def _settle(self, key, new: list, timer) -> Iterator[pd.DataFrame]:
-        known = tuple(self.sums.get()) if self.sums.exists() else (-(1 << 62), None, None, 0, 0, 0, 0, 0.0, 0.0, 0)
+def _series(gap_us: int) -> Callable:
+    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *known, held = state.getOption or (-(1 << 62), None, None, 0, 0, 0, 0, 0.0, 0.0, 0, b"")
         settled, last_us, last_flux, n, n_gaps, longest, steps, mean, m2, late = known
-        mark = max(settled, timer.getCurrentWatermarkInMs() * 1000)
-        in_time = [x for x in new if x[0] > settled]
-        late += len(new) - len(in_time)
-        waiting = [*map(tuple, self.waiting.get()), *in_time]
-        ready = sorted((x for x in waiting if x[0] <= mark), key=lambda x: (x[0], x[1] is None, x[1] or 0.0))
-        left = [x for x in waiting if x[0] > mark]
-        for us, flux in ready:
+        mark = max(settled, state.getCurrentWatermarkMs() * 1000)
+        new = [(pdf["us"].to_numpy(np.int64), pdf["flux"].to_numpy(float)) for pdf in batches if len(pdf)]
+        in_time = [(us[us > settled], flux[us > settled]) for us, flux in new]
+        n_late = sum(len(us) for us, _ in new) - sum(len(us) for us, _ in in_time)
+        late += n_late
+        half = len(held) // 2
+        us, flux = (np.concatenate(x) for x in zip((np.frombuffer(held[:half], np.int64), np.frombuffer(held[half:], float)), *in_time, strict=True))
+        ready = us <= mark
+        order = np.lexsort((np.nan_to_num(flux[ready], posinf=np.inf, neginf=-np.inf), np.isnan(flux[ready]), us[ready]))
+        left, left_flux = us[~ready], flux[~ready]
+        us, flux = us[ready][order].tolist(), flux[ready][order].tolist()
+        for at, value in zip(us, flux, strict=True):
             n += 1
             if last_us is not None:
-                longest = max(longest, us - last_us)
-                n_gaps += us - last_us > self.gap_us
-            last_us = us
-            if flux is not None and abs(flux) != float("inf"):
+                longest = max(longest, at - last_us)
+                n_gaps += at - last_us > gap_us
+            last_us = at
+            if math.isfinite(value):
                 if last_flux is not None:
                     steps += 1
-                    off = flux - last_flux - mean
+                    off = value - last_flux - mean
                     mean += off / steps
-                    m2 += off * (flux - last_flux - mean)
-                last_flux = flux
-        self.sums.update((mark, last_us, last_flux, n, n_gaps, longest, steps, mean, m2, late))
-        if left:
-            self.waiting.put(left)
-            # one timer for a target: when the watermark has passed the first row that waits now
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(min(x[0] for x in left) // 1000 + 1)
-        elif self.waiting.exists():
-            self.waiting.clear()
-        if ready or len(new) > len(in_time):
+                    m2 += off * (value - last_flux - mean)
+                last_flux = value
+        state.update((mark, last_us, last_flux, n, n_gaps, longest, steps, mean, m2, late, left.tobytes() + left_flux.tobytes()))
+        if len(left):
+            # when the watermark, in whole milliseconds, has passed the first row that waits now: it must be above this number
+            state.setTimeoutTimestamp(max(-(-int(left.min()) // 1000) - 1, 1))
+        if us or n_late:
             noise = (m2 / steps / 2) ** 0.5 if steps else 0.0
             yield pd.DataFrame({KEY: [key[0]], "settled_to": [pd.Timestamp(max(mark, 0), unit="us")], "n": [n], "n_gaps": [n_gaps], "longest_gap_days": [longest / DAY_US], "noise": [noise], "n_late": [late]})
 
-    def close(self) -> None:
-        pass
+    return settle
 
 
 def gaps_and_noise(stream: DataFrame, gap_days: float, late: str = "1 hour", ts: str = "ts") -> DataFrame:
@@ -83,11 +71,11 @@ def gaps_and_noise(stream: DataFrame, gap_days: float, late: str = "1 hour", ts:
 
     Of stream(target_id, ts, flux), whose rows may come in any order within late: rows so far that the watermark has passed,
     their spacings above gap_days, the longest of them, and the standard deviation of the steps between finite fluxes over
-    the root of two. Rows without a time are left out. The query's output mode is update, and its session must have the
+    the root of two. Rows without a time are left out. The query's output mode is update, and its session should have the
     setting PROVIDER when it is started.
     """
     rows = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, late).select(F.col(KEY).cast("string").alias(KEY), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col("flux").cast("double").alias("flux"), ts)
-    return rows.groupBy(KEY).transformWithStateInPandas(_Series(round(gap_days * DAY_US)), _OUT, "Update", "EventTime")
+    return rows.groupBy(KEY).applyInPandasWithState(_series(round(gap_days * DAY_US)), _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def settle_now(stream: DataFrame, folder: str, gap_days: float, late: str = "1 hour", ts: str = "ts") -> DataFrame:

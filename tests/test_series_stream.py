@@ -75,3 +75,14 @@ def test_sketches_of_windows_merge(spark):
         assert r["n"] == len(own)
         assert all(abs(np.searchsorted(own, v) / len(own) - q) < 0.012 for v, q in zip(r["approx_quantiles"], (0.1, 0.5, 0.9), strict=True))
     assert {r["n"] for r in series.approximate_quantiles(sketches, (0.5,), "window").agg(F.sum("n").alias("n")).collect()} == {20_000}
+
+
+def test_state_travels_with_rows_and_a_row_at_the_watermark_is_passed(spark, tmp_path):
+    rows = [("a", START, 1.0), ("b", START + dt.timedelta(hours=-2), 3.0), ("b", START + dt.timedelta(milliseconds=1), None), ("c", START + dt.timedelta(hours=1), 5.0)]
+    schema = "target_id string, ts timestamp, flux double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    plan = series.gaps_and_noise(stream, 1.0)._jdf.queryExecution().analyzed().toString()
+    found = series.settle_now(stream, f"{tmp_path}/out", 1.0)
+    assert sorted((r.target_id, r.n) for r in found.collect()) == [("a", 1), ("b", 1)]
+    assert "FlatMapGroupsInPandasWithState" in plan
